@@ -35,3 +35,68 @@ def op10(docs, sp):
         ids = sp.encode(t or "") + [sp.eos_id()]
         out.append((d, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest()))
     return out
+
+
+def _luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c)
+        if i % 2:
+            d = 2 * d - 9 if d > 4 else 2 * d
+        total += d
+    return total % 10 == 0
+
+
+PII = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+]
+
+
+def op5(docs):
+    """(doc_id, counts, base_sha256)"""
+    out = []
+    for d, t in docs:
+        spans, counts = [], []
+        for rank, (kind, pattern) in enumerate(PII):
+            n = 0
+            for m in re.finditer(pattern, t or ""):
+                digits = re.sub("[^0-9]", "", m[0])
+                ok = {
+                    "email": lambda: True,
+                    "ip": lambda: all(int(p) <= 255 for p in m[0].split(".")),
+                    "card": lambda: 12 <= len(digits) <= 19 and _luhn(digits),
+                    "phone": lambda: 9 <= len(digits) <= 15,
+                }[kind]()
+                if ok:
+                    n += 1
+                    spans.append((m.start(), rank, f"{kind}:{m.start()}:{m.end()}"))
+            counts.append(n)
+        out.append((d, *counts, hashlib.sha256(",".join(s[2] for s in sorted(spans)).encode()).hexdigest()))
+    return out
+
+
+def op8(rows):
+    """rows: (conv_id, turn, role, text), conversation -1 included."""
+    convs = {}
+    for c, n, r, t in rows:
+        convs.setdefault(c, []).append((n, r or "", t or ""))
+    out = []
+    for c, turns in convs.items():
+        turns.sort()
+        loss = "".join(t for _, r, t in turns if r == "assistant")
+        out.append((c, len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()))
+    return out
+
+
+def op9(docs):
+    """(doc_id, n_chars, edited_sha256)"""
+    docs = sorted((d, t or "") for d, t in docs)
+    out = []
+    for i, (d, t) in enumerate(docs):
+        k = len(t) // 4
+        edited = t[: len(t) - k] + docs[(i + 1) % len(docs)][1][:k]
+        out.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest()))
+    return out
