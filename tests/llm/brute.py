@@ -100,3 +100,83 @@ def op9(docs):
         edited = t[: len(t) - k] + docs[(i + 1) % len(docs)][1][:k]
         out.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest()))
     return out
+
+
+def op1(docs, n=4, percent=85):
+    """(doc_id, n_shingles, component_id, n_links)"""
+    sets = []
+    for _, t in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", low(t))
+        sets.append(frozenset(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))) if w else frozenset())
+    posts = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            posts.setdefault(x, []).append(i)
+    root = list(range(len(docs)))
+    links = [0] * len(docs)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in enumerate(sets):
+        common = {}
+        for x in s:
+            for j in posts[x]:
+                if j < i:
+                    common[j] = common.get(j, 0) + 1
+        for j, c in common.items():
+            if 100 * c >= percent * (len(s) + len(sets[j]) - c):
+                links[i] += 1
+                links[j] += 1
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    least = {}
+    for i, (d, _) in enumerate(docs):
+        r = find(i)
+        least[r] = min(least.get(r, d), d)
+    return [(d, len(s), least[find(i)], links[i]) for i, ((d, _), s) in enumerate(zip(docs, sets, strict=True))]
+
+
+def op2(docs, m=2):
+    """(doc_id, n_lines, n_removed, kept_sha256)"""
+    order = sorted(range(len(docs)), key=lambda i: docs[i][0])
+    seen, out = {}, []
+    for i in order:
+        d, t = docs[i]
+        lines = t.split("\n") if t is not None else []
+        gone = set()
+        for k in range(len(lines) - m + 1):
+            run = tuple(lines[k : k + m])
+            if run in seen:
+                gone.update(range(k, k + m))
+            else:
+                seen[run] = (d, k)
+        kept = [x for k, x in enumerate(lines) if k not in gone]
+        out.append((d, len(lines), len(gone), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    return out
+
+
+def op7(docs, width=50):
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256)"""
+    texts = [(d, (t or "").encode()) for d, t in docs]
+    first = {}
+    for d, b in texts:
+        for k in range(len(b) - width + 1):
+            w = b[k : k + width]
+            if first.get(w, d) >= d:
+                first[w] = d
+    out = []
+    for d, b in texts:
+        gone = bytearray(len(b) + 1)
+        end = 0
+        for k in range(len(b) - width + 1):
+            if first[b[k : k + width]] < d:
+                for i in range(max(k, end), k + width):
+                    gone[i] = 1
+                end = k + width
+        kept = bytes(c for c, g in zip(b, gone, strict=False) if not g)
+        spans = sum(gone[i] and not gone[i + 1] for i in range(len(b)))
+        out.append((d, len(b), len(b) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
+    return out
