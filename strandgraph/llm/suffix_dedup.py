@@ -5,7 +5,7 @@ a document with a smaller doc_id.  Only suffixes that can matter are sorted:
 
 1. Anchors: in every string of ``width`` bytes the ``gram``-byte substrings
    with the least hash.  Equal strings have equal anchors at equal places, so
-   it is enough to compare anchors, one in about 18 positions.
+   it is enough to compare anchors, one in about 14 positions.
 2. Duplicate detection, as in communication-efficient string sorting: hashes of
    anchors are dealt by value, and only anchors whose gram occurs in two texts
    stay.
@@ -56,12 +56,16 @@ def _sliding(values: np.ndarray, w: int, pick) -> np.ndarray:
     return pick(values[: len(values) - (w - size)], values[w - size :]) if w > size else values
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, width: int, gram: int, powers: B.Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places, gram hashes, rows) of anchors."""
+def anchors(data: np.ndarray, offsets: np.ndarray, width: int, gram: int, powers: B.Powers) -> tuple[np.ndarray, ...]:
+    """(places, gram hashes, rows, least, most) of anchors.
+
+    The strings that an anchor is the anchor of start ``least`` to ``most``
+    bytes before it.
+    """
     n = len(data)
-    none = np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64)
     if n < width:
-        return none
+        none = np.zeros(0, np.int64)
+        return none, np.zeros(0, _U), none, none, none
     powers.reserve(n)
     sums = np.zeros(n + 1, _U)
     np.cumsum(B.BYTE_VALUES[data] * powers.up[:n], out=sums[1:])
@@ -75,7 +79,14 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int, gram: int, powers
     padded = np.concatenate([np.zeros(w - 1, _U), least, np.zeros(w - 1, _U)])
     best = _sliding(padded, w, np.maximum)
     places = np.flatnonzero(best == hashes)
-    return places, hashes[places], np.searchsorted(offsets, places, side="right") - 1
+    found = hashes[places]
+    # padded[i + w - 1] is the least hash of the string that starts at i.
+    first, last = np.full(len(places), w, np.int64), np.zeros(len(places), np.int64)
+    for j in range(w):
+        own = padded[places + (w - 1) - j] == found
+        np.minimum(first, np.where(own, j, w), out=first)
+        last[own] = j
+    return places, found, np.searchsorted(offsets, places, side="right") - 1, first, last
 
 
 def _names(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,28 +96,28 @@ def _names(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _emit_hashes(width: int, gram: int, buckets: int):
-    """Step 2, first half: (bucket, texts, slots, names)."""
+    """Step 2, first half: (bucket, docs, slots, names), all packed; docs and slots as differences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, held, count = B.Powers(), [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            bucket, name, slot, keys = (np.concatenate([h[i] for h in held]) for i in range(4))
-            order = np.lexsort((slot, bucket))
+            bucket, name, doc = (np.concatenate([h[i] for h in held]) for i in range(3))
+            order = np.lexsort((doc, bucket))
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for k in range(buckets):
                 own = order[edges[k] : edges[k + 1]]
                 if len(own):
-                    used, slots = np.unique(slot[own], return_inverse=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (keys[used], slots.astype(np.uint32), name[own]))], names=["bucket", "keys", "slots", "names"])
+                    used, slots = np.unique(doc[own], return_inverse=True)
+                    parts = np.diff(used, prepend=0), np.diff(slots, prepend=0).astype(np.uint8), name[own]
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], names=["bucket", "docs", "slots", "names"])
 
         for batch, data, offsets in B.pieces(batches, 1):
-            places, hashes, rows = anchors(data, offsets, width, gram, powers)
+            _, hashes, rows, _, _ = anchors(data, offsets, width, gram, powers)
             bucket, name = _names(hashes, buckets)
-            code = np.unique((rows.astype(_U) << _U(40)) ^ (bucket.astype(_U) << _U(32)) ^ name.astype(_U), return_index=True)[1]
-            held.append((bucket[code], name[code], rows[code] + count, batch.column(0).to_numpy()))
-            count += batch.num_rows
-            if sum(len(h[0]) for h in held) > 3_000_000:
+            held.append((bucket.astype(np.int32), name, batch.column(0).to_numpy()[rows]))
+            count += len(rows)
+            if count > 1_500_000:
                 yield from flush()
                 held, count = [], 0
         if count:
@@ -116,14 +127,14 @@ def _emit_hashes(width: int, gram: int, buckets: int):
 
 
 def _shared_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 2, second half: (key, name) of grams in two texts or more; bit 0 of name tells very frequent ones."""
+    """Step 2, second half: (doc, name) of grams in two texts or more; bit 0 of name tells very frequent ones."""
     by: dict[int, list] = {}
     for batch in batches:
-        for bucket, keys, slots, names in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            by.setdefault(bucket, []).append((np.frombuffer(keys, np.int64), np.frombuffer(slots, np.uint32), np.frombuffer(names, np.uint32)))
+        for bucket, docs, slots, names in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            by.setdefault(bucket, []).append((docs, slots, names))
     for bucket, parts in by.items():
-        keys = np.concatenate([p[0][p[1]] for p in parts])
-        names = np.concatenate([p[2] for p in parts])
+        keys = np.concatenate([np.cumsum(np.frombuffer(d, np.int64))[np.cumsum(np.frombuffer(s, np.uint8), dtype=np.int64)] for d, s, _ in parts])
+        names = np.concatenate([np.frombuffer(n, np.uint32) for _, _, n in parts])
         order = np.lexsort((keys, names))
         keys, names = keys[order], names[order]
         new = np.ones(len(names), bool)
@@ -136,17 +147,19 @@ def _shared_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         hot = times > max(256, len(names) // 32)
         code = ((np.int64(bucket) << 33) | (names.astype(np.int64) << 1) | hot)[stay]
         for at in range(0, len(code), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[stay][at : at + (1 << 16)]), pa.array(code[at : at + (1 << 16)])], names=["key", "name"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[stay][at : at + (1 << 16)]), pa.array(code[at : at + (1 << 16)])], names=["doc", "name"])
 
 
 def front_code(strings: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """(common prefix with the row before, the remaining bytes) of sorted rows of a byte matrix."""
+    """(common prefix with the row before, the remaining bytes) of sorted rows of a byte matrix.
+
+    Rows are padded with zeros behind their length; prefixes count the padding.
+    """
     n, width = strings.shape
     prefix = np.zeros(n, np.int64)
     if n > 1:
         differ = strings[1:] != strings[:-1]
         prefix[1:] = np.where(differ.any(1), differ.argmax(1), width)
-        prefix[1:] = np.minimum(prefix[1:], np.minimum(lengths[1:], lengths[:-1]))
     keep = (np.arange(width) >= prefix[:, None]) & (np.arange(width) < lengths[:, None])
     return prefix.astype(np.uint8), strings[keep].tobytes()
 
@@ -200,7 +213,7 @@ def _emit_runs(width: int, gram: int, buckets: int):
                 yield pa.RecordBatch.from_arrays([pa.array([x % buckets for x in k], pa.int32()), pa.nulls(len(d), pa.binary()), pa.array(d), pa.array(k), pa.array(spans, pa.binary())], names=names_out)
 
         for batch, data, offsets in B.pieces(batches, 2):
-            places, hashes, rows = anchors(data, offsets, width, gram, powers)
+            places, hashes, rows, least, most = anchors(data, offsets, width, gram, powers)
             bucket, name = _names(hashes, buckets)
             code = (bucket << 33) | (name.astype(np.int64) << 1)
             # The names that each text shares, with the row in front.
@@ -215,22 +228,22 @@ def _emit_runs(width: int, gram: int, buckets: int):
             at = np.searchsorted(table, wanted) if len(table) else np.zeros(len(wanted), np.int64)
             at[at == len(table)] = 0
             has = (table[at] == wanted) if len(table) else np.zeros(len(wanted), bool)
-            places, rows, bucket, is_hot = places[has], rows[has], bucket[has], (hot[at[has]] if len(table) else np.zeros(0, bool))
+            places, rows, bucket, least, most = places[has], rows[has], bucket[has], least[has], most[has]
+            is_hot = hot[at[has]] if len(table) else np.zeros(0, bool)
             doc, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             padded = np.concatenate([np.zeros(left, np.uint8), data, np.zeros(width, np.uint8)])
             if is_hot.any():
-                starts = (places[is_hot][:, None] - np.arange(left + 1)).ravel()
-                owner = np.repeat(rows[is_hot], left + 1)
-                fits = (starts >= offsets[owner]) & (starts + width <= offsets[owner + 1])
-                starts, pick = np.unique(starts[fits], return_index=True)
-                owner = owner[fits][pick]
+                before = np.arange(left + 1)
+                mine = (before >= least[is_hot][:, None]) & (before <= most[is_hot][:, None])
+                starts, pick = np.unique((places[is_hot][:, None] - before)[mine], return_index=True)
+                owner = np.repeat(rows[is_hot], mine.sum(1))[pick]
                 powers.reserve(len(data))
                 strings = padded[starts[:, None] + left + reach]
                 own_hash = B.span_hashes(data, starts, starts + width, B.BYTE_VALUES, powers)
                 held.append((_names(own_hash, buckets)[0], strings, np.full(len(starts), width), np.zeros((len(starts), left), np.uint8), np.zeros(len(starts), np.int64), doc[owner], key[owner], starts - offsets[owner]))
                 total += len(starts)
             p, r = places[~is_hot], rows[~is_hot]
-            rlen, llen = np.minimum(width, offsets[r + 1] - p), np.minimum(left, p - offsets[r])
+            rlen, llen = width - least[~is_hot], most[~is_hot]
             right, lefts = padded[p[:, None] + left + reach], padded[p[:, None] + left - back]
             right[reach >= rlen[:, None]] = 0
             lefts[np.arange(left) >= llen[:, None]] = 0
@@ -453,19 +466,20 @@ def _cut(width: int, keep_text: bool):
     return run
 
 
-def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 50, gram: int = 16, keep_text: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 50, gram: int = 24, keep_text: bool = True) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, unless told otherwise, the kept bytes."""
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(body, F.octet_length(body)).alias("key"), body.alias("text"))
 
-    names = rows.select("key", "text").mapInArrow(_emit_hashes(width, gram, buckets), "bucket int, keys binary, slots binary, names binary")
-    names = names.repartition("bucket").mapInArrow(_shared_names, "key long, name long")
-    shared = names.groupBy("key").agg(F.collect_list("name").alias("names"))
+    # The smallest document of each text stands for it.
     firsts = rows.groupBy("key").agg(F.min("doc").alias("first"))
-    wanted = shared.join(firsts, "key").select(F.col("first").alias("doc"), "key", "names")
-
+    stands = firsts.select(F.col("first").alias("doc"), "key")
+    standing = rows.join(stands.hint("shuffle_hash"), ["doc", "key"])
+    names = standing.select("doc", "text").mapInArrow(_emit_hashes(width, gram, buckets), "bucket int, docs binary, slots binary, names binary")
+    names = names.repartition("bucket").mapInArrow(_shared_names, "doc long, name long")
+    wanted = names.groupBy("doc").agg(F.collect_list("name").alias("names")).join(stands, "doc")
     standing = rows.join(wanted.hint("shuffle_hash"), ["doc", "key"]).select("doc", "key", "text", "names")
     sent = standing.mapInArrow(_emit_runs(width, gram, buckets), "bucket int, run binary, doc long, key long, spans binary")
     spans = sent.repartition("bucket").mapInArrow(_merge_runs(width, gram), "doc long, key long, spans binary")
