@@ -87,33 +87,36 @@ def set_keys(tokens: np.ndarray, owner: np.ndarray, rows: int) -> tuple[np.ndarr
 
 
 def _first_pass(n: int, percent: int, buckets: int):
-    """(bucket, ids, needs, index, tokens): bucket -1 holds ids, sizes and keys of all rows."""
+    """(bucket, docs, slots, tokens, needs), all packed, docs and slots as differences; rows without slots hold sizes and keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = B.Powers()
-        names = ["bucket", "ids", "needs", "slots", "tokens"]
-        held, count = [], 0
+        names = ["bucket", "docs", "slots", "tokens", "needs"]
+        held, count, turn = [], 0, 0
+
+        def packed(bucket: int, *parts) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *(pa.array([None if x is None else x.tobytes()], pa.binary()) for x in parts)], names=names)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            tokens, slots, ids, needs = (np.concatenate([h[i] for h in held]) for i in range(4))
+            tokens, docs, needs = (np.concatenate([h[i] for h in held]) for i in range(3))
             tokens = B.mix64(tokens ^ np.uint64(ORDERS[0]))  # a prefix holds small hashes only
             bucket = ((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            order = np.lexsort((slots, bucket))
+            order = np.lexsort((docs, bucket))
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for k in range(buckets):
                 own = order[edges[k] : edges[k + 1]]
                 if len(own):
-                    used, slot = np.unique(slots[own], return_inverse=True)
+                    used, first, slots = np.unique(docs[own], return_index=True, return_inverse=True)
                     low = ((tokens[own] * np.uint64(buckets)) >> np.uint64(32)).astype(np.uint32)
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids[used], needs[used], slot.astype(np.uint32), low))], names=names)
+                    yield packed(k, np.diff(used, prepend=0), np.diff(slots, prepend=0).astype(np.uint8), low, needs[own][first])
 
         for batch, data, offsets in B.pieces(batches, 1):
             tokens, owner = shingle_sets(data, offsets, n, powers)
-            rows = batch.num_rows
-            size, key = set_keys(tokens, owner, rows)
+            size, key = set_keys(tokens, owner, batch.num_rows)
             known = np.asarray(batch.column(0).is_valid())
             ids = batch.column(0).fill_null(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([size.astype(np.int64).tobytes()], pa.binary()), pa.array([known.astype(np.uint32).tobytes()], pa.binary()), pa.array([key.tobytes()], pa.binary())], names=names)
+            turn += 1
+            yield packed(turn * 7919 % buckets, ids, None, np.stack([size, key, known.astype(np.int64)]), None)
             least = need(size, percent)
             length = np.minimum(size, 2 * (size - least + 1))
             # What a prefix shares with that of the smallest set it may link with.
@@ -121,9 +124,9 @@ def _first_pass(n: int, percent: int, buckets: int):
             needs = np.minimum(need(small, percent), small - need(small, percent) + 2)
             place = np.arange(len(tokens)) - np.repeat(np.concatenate([[0], np.cumsum(size)[:-1]]), size)
             mine = (place < length[owner]) & known[owner]
-            held.append((tokens[mine], owner[mine] + count, ids, needs.astype(np.int32)))
-            count += rows
-            if sum(len(h[0]) for h in held) > 4_000_000:
+            held.append((tokens[mine], ids[owner[mine]], needs.astype(np.int32)[owner[mine]]))
+            count += int(mine.sum())
+            if count > 1_500_000:
                 yield from flush()
                 held, count = [], 0
         if count:
@@ -133,16 +136,23 @@ def _first_pass(n: int, percent: int, buckets: int):
 
 
 def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All arrays of one or more buckets -> (doc_id, needs, tokens that another document has)."""
+    """(doc_id, needs, shared) where shared counts the tokens of a bucket that another document has too; (doc_id, n, node) of keys."""
+    names = ["doc_id", "needs", "shared", "n", "node"]
     by: dict[int, list] = {}
     for batch in batches:
-        for bucket, ids, needs, slots, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            by.setdefault(bucket, []).append((np.frombuffer(ids, np.int64), np.frombuffer(needs, np.int32), np.frombuffer(slots, np.uint32), np.frombuffer(tokens, np.uint32)))
+        for bucket, docs, slots, tokens, needs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if slots is not None:
+                by.setdefault(bucket, []).append((docs, slots, tokens, needs))
+            else:
+                size, key, known = np.frombuffer(tokens, np.int64).reshape(3, -1)
+                none = pa.nulls(len(size), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(docs, np.int64), mask=known == 0), none, none, pa.array(size), pa.array(key)], names=names)
     for parts in by.values():
-        starts = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])
-        ids, needs = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        slots = np.concatenate([p[2].astype(np.int64) + s for p, s in zip(parts, starts, strict=False)])
-        tokens = np.concatenate([p[3] for p in parts])
+        ids = [np.cumsum(np.frombuffer(p[0], np.int64)) for p in parts]
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+        ids, needs = np.concatenate(ids), np.concatenate([np.frombuffer(p[3], np.int32) for p in parts])
+        slots = np.concatenate([np.cumsum(np.frombuffer(p[1], np.uint8), dtype=np.int64) + s for p, s in zip(parts, starts, strict=False)])
+        tokens = np.concatenate([np.frombuffer(p[2], np.uint32) for p in parts])
         order = np.argsort(tokens, kind="stable")
         tokens, slots = tokens[order], slots[order]
         same = tokens[1:] == tokens[:-1]
@@ -151,14 +161,10 @@ def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         shared[:-1] |= same
         counts = np.bincount(slots[shared], minlength=len(ids))
         some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(needs[some].astype(np.int64)), pa.array(counts[some].astype(np.int64))], names=["doc_id", "needs", "shared"])
-
-
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for ids, size, known, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            valid = np.frombuffer(known, np.uint32).astype(bool)
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, np.int64), mask=~valid), pa.array(np.frombuffer(size, np.int64)), pa.array(np.frombuffer(key, np.int64))], names=["doc_id", "n_shingles", "node"])
+        for at in range(0, len(some), 1 << 16):
+            part = some[at : at + (1 << 16)]
+            none = pa.nulls(len(part), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(needs[part].astype(np.int64)), pa.array(counts[part].astype(np.int64)), none, none], names=names)
 
 
 def _sets(n: int):
@@ -265,25 +271,29 @@ def _verify(percent: int):
 def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85, block: int = 128) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, n_links (other documents linked with it)."""
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    packed = checkpoint(read.mapInArrow(_first_pass(n, percent, buckets), "bucket int, ids binary, needs binary, slots binary, tokens binary"))
-    keys = packed.filter("bucket < 0").select("ids", "needs", "slots", "tokens").mapInArrow(_unpack, "doc_id long, n_shingles long, node long")
-    dealt = packed.filter("bucket >= 0").repartition("bucket").mapInArrow(_shared_counts, "doc_id long, needs long, shared long")
-    survivors = dealt.groupBy("doc_id").agg(F.sum("shared").alias("s"), F.max("needs").alias("needs")).filter("s >= needs").select("doc_id")
+    packed = read.mapInArrow(_first_pass(n, percent, buckets), "bucket int, docs binary, slots binary, tokens binary, needs binary")
+    told = packed.repartition("bucket").mapInArrow(_shared_counts, "doc_id long, needs long, shared long, n long, node long")
+    # Rows without an id are spread by their key.
+    salt = F.when(F.col("doc_id").isNull(), F.col("node")).otherwise(F.lit(0))
+    key = F.when(F.col("node").isNotNull(), F.struct("n", "node"))
+    told = checkpoint(told.groupBy("doc_id", salt.alias("salt")).agg(F.sum("shared").alias("shared"), F.max("needs").alias("needs"), F.collect_list(key).alias("keys")))
+    keys = told.select("doc_id", F.inline("keys")).withColumnRenamed("n", "n_shingles")
+    survivors = told.filter("doc_id is not null and shared >= needs").select("doc_id")
 
     # One document stands for each set; copies were only counted.
-    classes = keys.filter("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("times"))
+    classes = keys.filter("doc_id is not null and n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("times"), F.first("n_shingles").alias("n"))
     classes = checkpoint(classes)
     standing = classes.select(F.col("first").alias("doc_id")).join(survivors, "doc_id", "left_semi").distinct()
     chosen = read.filter("doc_id is not null").join(standing.hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = checkpoint(chosen.mapInArrow(_sets(n), "node long, n long, tokens array<long>").filter("n > 0").dropDuplicates(["node"]))
+    sets = checkpoint(chosen.mapInArrow(_sets(n), "node long, n long, tokens array<long>").filter("n > 0"))
 
-    each = sets.select("node", "n", F.explode("tokens").alias("token"))
+    each = sets.select("node", F.explode("tokens").alias("token"))
     often = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("token", F.floor(F.log2("df")).cast("int").alias("level"))
-    common = each.join(often, "token").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("level", "token"))).alias("shared"))
+    common = each.join(often, "token").groupBy("node").agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("level", "token")))).alias("shared"))
     least = f"cast(ceil(n * {percent} / 100.0) as int)"
-    common = common.filter(f"size(shared) >= {least}").join(classes.select("node", "times"), "node")
+    common = common.join(classes.select("node", "n", "times"), "node").filter(f"size(shared) >= {least}")
     nodes = checkpoint(common.select("node", "n", "times", F.col("shared.level").alias("levels"), F.col("shared.token").alias("tokens"), F.array_min("shared.token").alias("near")))
 
     # Similar nodes lie together: ordered by a min-hash, then size.
