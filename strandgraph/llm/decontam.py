@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytesops as B
+from .sparkops import bounded_batches
 
 #: Bytes of words: digits, letters, and all of non-ASCII characters.
 WORD = np.zeros(256, bool)
@@ -126,6 +127,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", item_id
     ``hit_spans`` are the maximal runs of marked words, by which a caller can
     cut a passage as well as drop a document.
     """
+    bounded_batches(docs.sparkSession)
     outputs = ["n_words", "hit_spans", "items"]
     if clash := {*outputs, "n_hit"} & {*docs.columns}:
         raise ValueError(f"the input already has {sorted(clash)}")

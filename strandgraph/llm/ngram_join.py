@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from . import bytesops as B
 from .components import components
-from .sparkops import checkpoint
+from .sparkops import bounded_batches, checkpoint
 
 #: Words end at space, tab, line feed, vertical tab, form feed and carriage return only.
 WORD = np.ones(256, bool)
@@ -271,6 +271,7 @@ def _verify(percent: int):
 def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85, block: int = 128) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, n_links (other documents linked with it)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     packed = read.mapInArrow(_first_pass(n, percent, buckets), "bucket int, docs binary, slots binary, tokens binary, needs binary")
@@ -291,7 +292,7 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     each = sets.select("node", F.explode("tokens").alias("token"))
     often = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("token", F.floor(F.log2("df")).cast("int").alias("level"))
-    common = each.join(often, "token").groupBy("node").agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("level", "token")))).alias("shared"))
+    common = each.join(often, "token").groupBy("node").agg(F.array_sort(F.collect_set(F.struct("level", "token"))).alias("shared"))
     least = f"cast(ceil(n * {percent} / 100.0) as int)"
     common = common.join(classes.select("node", "n", "times"), "node").filter(f"size(shared) >= {least}")
     nodes = checkpoint(common.select("node", "n", "times", F.col("shared.level").alias("levels"), F.col("shared.token").alias("tokens"), F.array_min("shared.token").alias("near")))

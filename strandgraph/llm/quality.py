@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
+from .sparkops import bounded_batches
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -184,6 +185,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | N
     """docs with score (0 to 1; higher: label 1 is likelier) and predicted (0 or 1)."""
     if clash := {"score", "predicted"} & {*docs.columns}:
         raise ValueError(f"the input already has {sorted(clash)}")
+    bounded_batches(docs.sparkSession)
     model = fit(*training_bags(docs if train_docs is None else train_docs, labels, label, sample, longest, passage_bytes))
     columns, at = [*docs.columns, "score"], docs.columns.index("text")
 

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .sparkops import bounded_batches
+
 MARK = "▁"
 #: One chunk: markers, then other characters.
 CHUNK = rf"{MARK}*[^{MARK}]+|{MARK}+"
@@ -108,6 +110,7 @@ def encode_decode(df: DataFrame, model: bytes, text: str = "text", end_id: bool
     """df with any of: ids array<int>, decoded, n_tokens, ids_sha256, decoded_sha256."""
     if clash := {*outputs} & {*df.columns}:
         raise ValueError(f"the input already has {sorted(clash)}")
+    bounded_batches(df.sparkSession)
     prefix = check_model(model)["prefix"]
     kinds = {"ids": T.ArrayType(T.IntegerType()), "decoded": T.StringType(), "n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
     types = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64()}

@@ -20,3 +20,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read from there: its lineage ends, lost executors lose nothing of it."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches hold few rows: texts are long, and each task keeps a batch outside the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))

@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
+from .sparkops import bounded_batches
 
 LAST = (1 << 63) - 1
 _U = np.uint64
@@ -469,6 +470,7 @@ def _cut(width: int, keep_text: bool):
 def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 50, gram: int = 24, keep_text: bool = True) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, unless told otherwise, the kept bytes."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(body, F.octet_length(body)).alias("key"), body.alias("text"))
