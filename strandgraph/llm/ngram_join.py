@@ -303,9 +303,19 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     placed = checkpoint(placed.select("node", (F.shiftright(row, 33) * (1 << 33) + F.floor(row.bitwiseAND(F.lit((1 << 33) - 1)) / block)).alias("block")))
     nodes = checkpoint(nodes.drop("near").join(placed, "node"))
     prefix = nodes.select("node", "n", "block", F.explode(F.expr(f"slice(tokens, 1, size(tokens) - {least} + 1)")).alias("token"))
-    there = prefix.groupBy("token", F.col("block").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("k"))
-    meet = prefix.join(there, "token").filter(f"(block <> other or k > 1) and n * 100 >= {percent} * low and high * 100 >= {percent} * n")
-    meet = meet.select(F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "node").distinct()
+    # A token of more nodes than a block holds would meet each of them with each block: such tokens pair blocks.
+    hot = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > block).select("token")
+    there = lambda p: p.groupBy("token", F.col("block").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("k"))
+    rare = prefix.join(hot, "token", "left_anti")
+    meet = rare.join(there(rare), "token").filter(f"(block <> other or k > 1) and n * 100 >= {percent} * low and high * 100 >= {percent} * n")
+    meet = meet.select(F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "node")
+    dense = prefix.join(hot, "token", "left_semi")
+    side = there(dense)
+    first = side.select("token", F.col("other").alias("b1"), F.col("low").alias("low1"), F.col("high").alias("high1"), F.col("k").alias("k1"))
+    second = side.select("token", F.col("other").alias("b2"), "low", "high")
+    pairs = first.join(second, "token").filter(f"(b1 < b2 or b1 = b2 and k1 > 1) and high * 100 >= {percent} * low1 and high1 * 100 >= {percent} * low").select("b1", "b2").distinct()
+    both = pairs.select("b1", "b2", F.col("b1").alias("block")).union(pairs.filter("b1 < b2").select("b1", "b2", F.col("b2").alias("block")))
+    meet = meet.union(both.join(dense.select("node", "block").distinct(), "block").select("b1", "b2", "node")).distinct()
     groups = meet.join(nodes, "node").groupBy("b1", "b2")
     found = checkpoint(groups.applyInArrow(_verify(percent), "node long, root long, links long"))
 
