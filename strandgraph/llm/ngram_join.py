@@ -200,7 +200,7 @@ def _prefix_pairs(tokens, owner, size, shared, least, hashes, levels) -> np.ndar
 
 
 def _verify(percent: int):
-    """Links among the nodes of two blocks: (node, root, links)."""
+    """Links among the nodes of two blocks, or of one: (node, root, links, own)."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -263,7 +263,7 @@ def _verify(percent: int):
                 break
             root = new
         has = links > 0
-        return pa.table({"node": node[has], "root": node[root[has]], "links": links[has].astype(np.int64)})
+        return pa.table({"node": node[has], "root": node[root[has]], "links": links[has].astype(np.int64), "own": np.full(int(has.sum()), not between)})
 
     return run
 
@@ -317,9 +317,18 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     both = pairs.select("b1", "b2", F.col("b1").alias("block")).union(pairs.filter("b1 < b2").select("b1", "b2", F.col("b2").alias("block")))
     meet = meet.union(both.join(dense.select("node", "block").distinct(), "block").select("b1", "b2", "node")).distinct()
     groups = meet.join(nodes, "node").groupBy("b1", "b2")
-    found = checkpoint(groups.applyInArrow(_verify(percent), "node long, root long, links long"))
-
-    labels = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), classes.select("node", F.col("first").alias("rank")))
+    found = checkpoint(groups.applyInArrow(_verify(percent), "node long, root long, links long, own boolean"))
+
+    # Components within blocks first, so that between blocks only these are joined.
+    local = checkpoint(classes.select("node", "first").join(found.filter("own").select("node", "root"), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first"))
+    rank = local.groupBy("root").agg(F.min("first").alias("rank")).withColumnRenamed("root", "node")
+    to = local.filter("node <> root").select("node", F.col("root").alias("to"))
+    crossing = found.filter("not own and node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    crossing = crossing.join(to.withColumnsRenamed({"node": "a", "to": "la"}), "a", "left").join(to.withColumnsRenamed({"node": "b", "to": "lb"}), "b", "left")
+    crossing = crossing.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b").distinct()
+    rank = checkpoint(rank)
+    joined = components(crossing, rank)
+    labels = local.select("node", "root").join(rank.withColumnRenamed("node", "root"), "root").join(joined.withColumnsRenamed({"node": "root", "label": "wide"}), "root", "left").select("node", F.coalesce("wide", "rank").alias("label"))
     degree = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = checkpoint(classes.join(labels, "node", "left").join(degree, "node", "left"))
     out = keys.join(classes, "node", "left")
