@@ -20,11 +20,40 @@ _INCOMPATIBILITY = "struct<kind:string,driver:string,driverVersion:string,engine
 
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_SCALARS = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType()}
 
 
-NODES = _struct(
+def _parts(text: str) -> list[str]:
+    """Split at commas outside of angle brackets."""
+    out, depth, last = [], 0, 0
+    for i, c in enumerate(text):
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append(text[last:i])
+            last = i + 1
+    return [*out, text[last:]]
+
+
+def _type(text: str) -> T.DataType:
+    text = text.strip()
+    head, _, inner = text.partition("<")
+    inner = inner[:-1]
+    if head == "array":
+        return T.ArrayType(_type(inner))
+    if head == "map":
+        key, value = _parts(inner)
+        return T.MapType(_type(key), _type(value))
+    if head == "struct":
+        return T.StructType([T.StructField(*((x := f.strip().partition(":"))[0], _type(x[2]))) for f in _parts(inner)])
+    return _SCALARS[head]
+
+
+def struct(ddl: str) -> T.StructType:
+    """A schema from ``name type, ...``; needs no session, unlike Spark's own parser."""
+    return T.StructType([T.StructField(f.strip().split(" ", 1)[0], _type(f.strip().split(" ", 1)[1])) for f in _parts(ddl)])
+
+
+NODES = struct(
     "id string, type string, name string, service string, language string, env string, framework string, platform string, platformName string,"
     " discoveredVia string, version string, dbConnectionTarget string, repoPath string, owner string, dependencies map<string,string>,"
     f" aliases array<string>, nodeEngine string, incompatibilities array<{_INCOMPATIBILITY}>, engine string, engineVersion string,"
@@ -33,25 +62,25 @@ NODES = _struct(
     " originalPath string, method string, pathTemplate string, operationType string, operationName string, rpcService string, rpcMethod string,"
     " channel string, qualname string, relPath string, module string, exportName string, line int, span struct<startLine:int,endLine:int>"
 )
-EDGES = _struct(
+EDGES = struct(
     "id string, source string, target string, type string, provenance string, confidence double, lastObserved timestamp, callCount bigint,"
     " evidence struct<file:string,line:int,snippet:string,method:string,pathTemplate:string,hostSource:string>,"
     " signal struct<spanCount:bigint,errorCount:bigint,lastObservedAgeMs:double,latencyMs:struct<p50:double,p95:double>,latencyHist:map<int,bigint>,anomalous:boolean>,"
     " grain string"
 )
-SPANS = _struct(
+SPANS = struct(
     "service string, env string, traceId string, spanId string, parentSpanId string, name string, kind int, startTimeUnixNano bigint, durationNanos bigint,"
     " statusCode int, attributes map<string,string>, exception struct<type:string,message:string,stacktrace:string>, resourceServiceNamePresent boolean,"
     " dbSystem string, dbName string, dbStatement string, dbTable string, dbColumns array<string>, httpRoute string, httpMethod string, messagingSystem string, messagingDestination string,"
     " graphqlOperationName string, graphqlOperationType string, rpcSystem string, rpcService string, rpcMethod string, websocketChannel string"
 )
-INCIDENTS = _struct(
+INCIDENTS = struct(
     "id string, timestamp string, service string, traceId string, spanId string, errorType string, errorMessage string, exceptionType string,"
     " exceptionStacktrace string, attributes map<string,string>, affectedNode string, httpStatusCode int, incidentCount int, firstTimestamp string, lastTimestamp string"
 )
-STALE_EVENTS = _struct("edgeId string, source string, target string, edgeType string, thresholdMs bigint, ageMs bigint, lastObserved string, transitionedAt string")
-LOGS = _struct("id string, projectName string, source string, serviceName string, nodeId string, timestamp string, severity string, message string, attributes map<string,string>")
-SIGNALS = _struct(
+STALE_EVENTS = struct("edgeId string, source string, target string, edgeType string, thresholdMs bigint, ageMs bigint, lastObserved string, transitionedAt string")
+LOGS = struct("id string, projectName string, source string, serviceName string, nodeId string, timestamp string, severity string, message string, attributes map<string,string>")
+SIGNALS = struct(
     "targetKind string, targetName string, method string, path string, callCount bigint, errorCount bigint, lastObservedIso string,"
     " callSite struct<file:string,line:int>, columns array<string>, incident struct<errorType:string,errorMessage:string,id:string>"
 )
