@@ -73,3 +73,14 @@ def vector_search_many(vectors: DataFrame, queries: DataFrame, key: str, query_k
     near = pairs.select(F.col("_q").alias(query_key), key, cosine(F.col(embedding), F.col("_v")).alias("score"))
     best = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("score", (-F.col(key)).alias("m"))))), 1, k)
     return near.groupBy(query_key).agg(best.alias("b")).select(query_key, F.posexplode("b").alias("rank", "x")).select(query_key, (F.col("rank") + 1).alias("rank"), (-F.col("x.m")).alias(key), "x.score")
+
+
+def hashed_embedding(text: Column, dims: int = 64) -> Column:
+    """A fallback embedder without a model: counts of hashed words, in built-in functions.
+
+    Any function of a text column that gives array<double> can stand in its
+    place (a pandas UDF over a served model, for instance).
+    """
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)))
+    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))

@@ -9,7 +9,7 @@ from strandgraph.functions import latency, text
 from strandgraph.operators import incidents, ingest
 from strandgraph.operators.graph import Graph
 from strandgraph.schema import EDGES, INCIDENTS, NODES, SPANS, empty, table
-from strandgraph.sources import connectors, otlp
+from strandgraph.sources import connectors, otlp, otlp_proto
 from strandgraph.streaming import pipelines
 
 
@@ -129,3 +129,21 @@ def test_poll_resolves_routes_and_tables(spark):
 )
 def test_sql_columns(sql, columns):
     assert text.columns_of(sql) == columns
+
+
+def test_protobuf_requests(spark, tmp_path):
+    def field(n, kind, body):
+        key = bytes([n << 3 | kind]) if n < 16 else b""
+        return key + (bytes([len(body)]) + body if kind == 2 else body)
+
+    text_value = lambda s: field(1, 2, s.encode())
+    attribute = lambda k, v: field(1, 2, k.encode()) + field(2, 2, v)
+    span_bytes = field(1, 2, b"\x01" * 4) + field(2, 2, b"\x02" * 2) + field(5, 2, b"op") + field(6, 0, b"\x03") + field(7, 1, (1_000_000_000).to_bytes(8, "little")) + field(8, 1, (1_005_000_000).to_bytes(8, "little")) + field(9, 2, attribute("http.route", text_value("/x"))) + field(15, 2, field(3, 0, b"\x02"))
+    resource = field(1, 2, field(1, 2, attribute("service.name", text_value("svc"))))
+    request = field(1, 2, resource + field(2, 2, field(2, 2, span_bytes)))
+    (tmp_path / "a.pb").write_bytes(request)
+    (tmp_path / "b.pb").write_bytes(request[:-3])
+    good, bad = otlp_proto.read_protobuf(spark, str(tmp_path))
+    r = otlp.flatten(good).first()
+    assert (r["service"], r["traceId"], r["kind"], r["durationNanos"], r["statusCode"], r["httpRoute"]) == ("svc", "01010101", 3, 5_000_000, 2, "/x")
+    assert bad.count() == 1
