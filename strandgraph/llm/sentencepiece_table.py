@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,49 +61,80 @@ def check_model(model: bytes) -> dict:
     return {"prefix": bool(normal.add_dummy_prefix)}
 
 
+class _Column(dict):
+    """One column of the chunk table; a missing chunk is segmented once and enters all columns."""
+
+    def __init__(self, add, place: int) -> None:
+        super().__init__()
+        self.add, self.place = add, place
+
+    def __missing__(self, key: str):
+        return self.add(key)[self.place]
+
+
 class ChunkTable:
-    """Distinct chunk -> (ids, decimal ids, number of ids, decoded text)."""
+    """Distinct chunk -> its ids, their decimal form and its decoded text.
+
+    With a dummy prefix every chunk starts with a marker, which its key leaves
+    out, so the words of an ordinary text are keys as they are.
+    """
 
     def __init__(self, model: bytes, prefix: bool, entries: int) -> None:
         import re
 
         self.sp, self.prefix, self.entries = load(model), prefix, entries
         self.chunks = re.compile(CHUNK).findall
-        self.table: dict[str, tuple[list[int], str, int, str]] = {}
+        self.ids, self.told, self.decoded_texts = (_Column(self.add, i) for i in range(3))
         # A first piece after which decoding no longer drops a leading space.
         self.anchor = self.sp.encode("a")
         self.skip = len(self.sp.decode(self.anchor))
 
-    def add(self, chunk: str) -> tuple[list[int], str, int, str]:
-        if len(self.table) >= self.entries:
-            self.table.clear()
-        body = chunk[1:] if self.prefix and chunk[0] == MARK else chunk
-        if self.prefix and chunk[0] != MARK:
-            raise AssertionError("a chunk must start with a marker")
-        ids = self.sp.encode(body) if body else self.lone_marker()
-        text = self.sp.decode(self.anchor + ids)[self.skip :]
-        got = self.table[chunk] = (ids, " ".join(map(str, ids)), len(ids), text)
-        return got
-
-    def lone_marker(self) -> list[int]:
-        piece = self.sp.piece_to_id(MARK)
-        return [piece]
-
-    def text(self, text: str) -> list[tuple[list[int], str, int, str]]:
-        """The table's entries for a text, in order."""
+    def add(self, key: str) -> tuple[list[int], str, str]:
+        if len(self.ids) >= self.entries:
+            for column in (self.ids, self.told, self.decoded_texts):
+                column.clear()
+        ids = self.sp.encode(key) if key else [self.sp.piece_to_id(MARK)]
+        row = ids, " ".join(map(str, ids)), self.sp.decode(self.anchor + ids)[self.skip :]
+        self.ids[key], self.told[key], self.decoded_texts[key] = row
+        return row
+
+    def add_many(self, lists: list[list[str]]) -> None:
+        """Segment the chunks that the table lacks in one call."""
+        new = [*set().union(*lists).difference(self.ids)]
+        if len(self.ids) + len(new) > self.entries:
+            for column in (self.ids, self.told, self.decoded_texts):
+                column.clear()
+            new = [*set().union(*lists)]
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            ids = [i if k else [self.sp.piece_to_id(MARK)] for k, i in zip(part, self.sp.encode(part, num_threads=1), strict=True)]
+            texts = self.sp.decode([self.anchor + i for i in ids], num_threads=1)
+            self.ids.update(zip(part, ids, strict=True))
+            self.told.update(zip(part, (" ".join(map(str, i)) for i in ids), strict=True))
+            self.decoded_texts.update(zip(part, (t[self.skip :] for t in texts), strict=True))
+
+    def keys_of(self, text: str) -> list[str]:
+        """The chunks of a text, in order."""
         if not text:
             return []
+        if self.prefix and MARK not in text and "  " not in text and text[0] != " " and text[-1] != " ":
+            return text.split(" ")
         marked = text.replace(" ", MARK)
         if self.prefix:
-            marked = MARK + marked
-        table, found = self.table, []
-        for chunk in self.chunks(marked):
-            found.append(table.get(chunk) or self.add(chunk))
-        return found
+            return [c[1:] for c in self.chunks(MARK + marked)]
+        return self.chunks(marked)
+
+    def encode(self, keys: list[str]) -> list[int]:
+        return list(chain.from_iterable(map(self.ids.__getitem__, keys)))
+
+    def encode_text(self, keys: list[str], end: int) -> str:
+        """The ids in decimal, joined by spaces, with the end id if there is one."""
+        body = " ".join(map(self.told.__getitem__, keys))
+        return body if end < 0 else f"{body} {end}" if keys else str(end)
 
-    def decoded(self, entries: list) -> str:
+    def decode(self, keys: list[str]) -> str:
         """What decoding the whole list of ids gives: the joined texts without the prefix's space."""
-        out = "".join(e[3] for e in entries)
+        out = "".join(map(self.decoded_texts.__getitem__, keys))
         return out[1:] if self.prefix and out[:1] == " " else out
 
 
@@ -125,16 +157,19 @@ def encode_decode(df: DataFrame, model: bytes, text: str = "text", end_id: bool
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
                 made: dict[str, list] = {o: [] for o in outputs}
-                for value in batch.column(at).to_pylist():
-                    found = table.text(value or "")
+                chunked = [table.keys_of(value or "") for value in batch.column(at).to_pylist()]
+                table.add_many(chunked)
+                for keys in chunked:
                     if "ids" in made:
-                        made["ids"].append([i for e in found for i in e[0]] + [end] * (end >= 0))
-                    if "n_tokens" in made:
-                        made["n_tokens"].append(sum(e[2] for e in found) + (end >= 0))
-                    if "ids_sha256" in made:
-                        made["ids_sha256"].append(hashlib.sha256(" ".join([*(e[1] for e in found), *([str(end)] if end >= 0 else [])]).encode()).hexdigest())
+                        made["ids"].append(table.encode(keys) + [end] * (end >= 0))
+                    if "n_tokens" in made or "ids_sha256" in made:
+                        told = table.encode_text(keys, end)
+                        if "n_tokens" in made:
+                            made["n_tokens"].append(told.count(" ") + 1 if told else 0)
+                        if "ids_sha256" in made:
+                            made["ids_sha256"].append(hashlib.sha256(told.encode()).hexdigest())
                     if "decoded" in made or "decoded_sha256" in made:
-                        decoded = table.decoded(found)
+                        decoded = table.decode(keys)
                         if "decoded" in made:
                             made["decoded"].append(decoded)
                         if "decoded_sha256" in made:
