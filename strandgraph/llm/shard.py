@@ -73,7 +73,7 @@ def curve(*dimensions: Column, bits: int = BITS) -> Column:
     return index(*dimensions)
 
 
-def hilbert_shards(df: DataFrame, cell: Column, shards: int, key: str, bucket_rows: int = 20_000) -> DataFrame:
+def hilbert_shards(df: DataFrame, cell: Column, shards: int, key: str, bucket_rows: int = 1_000) -> DataFrame:
     """df (without large columns) with hilbert, shard and slot, by the law ``rows``."""
     if clash := {"hilbert", "shard", "slot"} & {*df.columns}:
         raise ValueError(f"the input already has {sorted(clash)}")
