@@ -3,7 +3,8 @@
 A text is its lines (between line feeds); a line's id is a 64-bit hash.  The
 suffixes of all id sequences are ranked by prefix doubling: from ranks by the
 first k lines, ranks by the first 2k lines are those of the pairs (rank at i,
-rank at i + k).  Suffixes whose rank is unique are in their final place and
+rank at i + k); two doublings are done in one round, on (rank at i, i + k,
+i + 2k, i + 3k).  Suffixes whose rank is unique are in their final place and
 leave; the others stay, so each round handles only runs that repeat.  Suffixes
 with one rank at depth k are an LCP interval of depth k or more: one repeated
 run and all its places.  Doubling goes on until no run repeats.
@@ -24,7 +25,7 @@ through; a clash with an output name is refused.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sparkops import checkpoint
@@ -32,45 +33,45 @@ from .sparkops import checkpoint
 LAST = (1 << 63) - 1
 
 
-def dense_ranks(keys: DataFrame, *order: str) -> DataFrame:
-    """keys (distinct rows) with rank: 0, 1, ... in the order given, by a range sort."""
-    ordered = keys.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    ordered = checkpoint(ordered)
-    # One row for each partition.
-    sizes = ordered.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
-    ranked = ordered.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(sizes), "_part")
-    return ranked.withColumn("rank", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_before")
+def ranks(keys: DataFrame, *order: str) -> DataFrame:
+    """keys (distinct rows) with rank: numbers that ascend in the order given, by a range sort.
+
+    A rank is the number of the row's range and its place in it, so ranks have
+    gaps between ranges and need no count over all rows.
+    """
+    ordered = keys.repartitionByRange(*order).sortWithinPartitions(*order)
+    return checkpoint(ordered.withColumn("rank", F.monotonically_increasing_id()))
 
 
 def repeated_runs(lines: DataFrame, min_lines: int) -> DataFrame:
     """(doc, pos, depth) of suffixes whose first ``depth`` lines also start earlier.
 
     lines: (doc, pos, id), doc and pos giving the order.  ``depth`` is the
-    largest power of two times ``min_lines`` reached, so that runs cover just
-    the lines that runs of ``min_lines`` lines cover.
+    largest ``min_lines * 4 ** k`` reached, so that runs cover just the lines
+    that runs of ``min_lines`` lines cover.
     """
     place = F.struct("doc", "pos")
     names = lines.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
-    active = checkpoint(lines.join(dense_ranks(names, "id"), "id").select("doc", "pos", "rank"))
-    depth, out = 1, None
-    while True:
+    active = checkpoint(lines.join(ranks(names, "id"), "id").select("doc", "pos", "rank"))
+    depth, out = 1, active.select("doc", "pos", F.lit(0).alias("depth")).filter("false")
+    while not active.isEmpty():
         if depth >= min_lines:
-            first = active.groupBy("rank").agg(F.min(place).alias("first"))
-            later = active.join(first, "rank").filter(place > F.col("first")).select("doc", "pos", F.lit(depth).alias("depth"))
-            later = checkpoint(later)
-            out = later if out is None else out.union(later)
-        # Depths below min_lines double, the last of them overlapping.
-        step = min(depth, min_lines - depth) if depth < min_lines else depth
-        ahead = active.select("doc", (F.col("pos") - step).alias("pos"), F.col("rank").alias("next"))
-        pairs = checkpoint(active.join(ahead, ["doc", "pos"]))
-        names = pairs.groupBy("rank", "next").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("rank").alias("a"), F.col("next").alias("b"))
-        ranked = dense_ranks(names, "a", "b")
-        active = checkpoint(pairs.join(ranked.withColumnRenamed("rank", "deeper"), (F.col("rank") == F.col("a")) & (F.col("next") == F.col("b"))).select("doc", "pos", F.col("deeper").alias("rank")))
-        depth += step
-        if active.isEmpty():
-            return out.groupBy("doc", "pos").agg(F.max("depth").alias("depth")) if out is not None else active.select("doc", "pos", F.lit(0).alias("depth"))
+            # Written, so that the join has plain shuffles on both sides and a hot run's rows can be split.
+            first = checkpoint(active.groupBy("rank").agg(F.min(place).alias("first")))
+            out = out.union(active.join(first, "rank").filter(place > F.col("first")).select("doc", "pos", F.lit(depth).alias("depth")))
+        # Below min_lines depths double, the last of them overlapping; then two doublings make a round.
+        if depth < min_lines:
+            offsets = [0, min(depth, min_lines - depth)]
+        else:
+            offsets = [0, depth, 2 * depth, 3 * depth]
+        parts = [f"r{j}" for j in range(len(offsets))]
+        spread = F.array(*(F.struct((F.col("pos") - o).alias("at"), F.lit(j).alias("j")) for j, o in enumerate(offsets)))
+        rows = active.select("doc", "rank", F.explode(spread).alias("s")).select("doc", F.col("s.at").alias("pos"), F.col("s.j").alias("j"), "rank")
+        tuples = rows.groupBy("doc", "pos").agg(F.count(F.lit(1)).alias("n"), *(F.max(F.when(F.col("j") == j, F.col("rank"))).alias(r) for j, r in enumerate(parts))).filter(F.col("n") == len(parts)).drop("n")
+        names = tuples.groupBy(*parts).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+        active = checkpoint(tuples.join(ranks(names, *parts), parts).select("doc", "pos", "rank"))
+        depth += offsets[-1]
+    return out.groupBy("doc", "pos").agg(F.max("depth").alias("depth"))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_lines: int = 2) -> DataFrame:
