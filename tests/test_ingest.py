@@ -147,3 +147,13 @@ def test_protobuf_requests(spark, tmp_path):
     r = otlp.flatten(good).first()
     assert (r["service"], r["traceId"], r["kind"], r["durationNanos"], r["statusCode"], r["httpRoute"]) == ("svc", "01010101", 3, 5_000_000, 2, "/x")
     assert bad.count() == 1
+
+
+def test_burst_stream(spark, tmp_path):
+    rows = [span(str(i), attributes={"server.address": "b", "http.response.status_code": "404"}) for i in range(6)]
+    table(spark, SPANS, rows).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = pipelines.burst_stream(spark.readStream.schema(SPANS).parquet(str(tmp_path / "in")))
+    run = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert [(r["service"], r["peer"], r["n"], r["code"]) for r in got] == [("a", "b", 5, 404)]
