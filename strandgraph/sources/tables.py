@@ -7,6 +7,7 @@ from urllib.request import urlopen
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.graph import Graph
 from ..schema import EDGES, INCIDENTS, LOGS, NODES, STALE_EVENTS, conform, empty
@@ -50,6 +51,15 @@ def _migrate(version: int, nodes: list[dict], edges: list[dict]) -> tuple[list[d
     return nodes, edges
 
 
+def _for_json(kind):
+    """A schema as JSON can hold it: map keys are texts (``conform`` casts them back)."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _for_json(f.dataType)) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_for_json(kind.elementType))
+    return T.MapType(T.StringType(), _for_json(kind.valueType)) if isinstance(kind, T.MapType) else kind
+
+
 def read_snapshot_json(spark: SparkSession, text: str) -> Graph:
     """An exported graph document {schemaVersion, exportedAt, graph: {nodes: [{key, attributes}], edges: [...]}}."""
     document = json.loads(text)
@@ -58,7 +68,7 @@ def read_snapshot_json(spark: SparkSession, text: str) -> Graph:
     edges = [e.get("attributes", e) for e in graph.get("edges", [])]
     nodes, edges = _migrate(int(document.get("schemaVersion", 1)), nodes, edges)
     lines = lambda rows: spark.sparkContext.parallelize([json.dumps(r) for r in rows], 1)
-    read = lambda rows, schema: spark.read.schema(schema).json(lines(rows)) if rows else empty(spark, schema)
+    read = lambda rows, schema: spark.read.schema(_for_json(schema)).json(lines(rows)) if rows else empty(spark, schema)
     return Graph(conform(read(nodes, NODES), NODES), conform(read(edges, EDGES), EDGES), document.get("exportedAt") or "1970-01-01 00:00:00")
 
 
