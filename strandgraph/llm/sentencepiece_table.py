@@ -138,7 +138,7 @@ class ChunkTable:
         return out[1:] if self.prefix and out[:1] == " " else out
 
 
-def encode_decode(df: DataFrame, model: bytes, text: str = "text", end_id: bool = True, table_entries: int = 500_000, outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+def encode_decode(df: DataFrame, model: bytes, text: str = "text", end_id: bool = True, table_entries: int = 150_000, outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
     """df with any of: ids array<int>, decoded, n_tokens, ids_sha256, decoded_sha256."""
     if clash := {*outputs} & {*df.columns}:
         raise ValueError(f"the input already has {sorted(clash)}")
