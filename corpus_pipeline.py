@@ -5,8 +5,9 @@ as Parquet and read again as the next stage's ``docs``.  All stages but the
 last return the columns of ``documents``; ``n_chars`` follows the text.
 
 1. ``quality`` drops documents that the classifier rejects.
-2. ``line_dedup`` deletes repeated line runs but for their first copy; documents
-   without any text left are copies and go.  A document that had no text stays.
+2. ``line_dedup`` deletes repeated runs of two lines or more, and repeated single
+   lines of 50 words or more, but for their first copy; documents without any
+   text left are copies and go.  A document that had no text stays.
 3. ``near_duplicates`` keeps the smallest doc_id of each group of linked
    documents (five-word shingles, similarity 0.8 or more).
 4. ``decontamination`` drops documents that share a window with the benchmark.
@@ -40,7 +41,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their first copies of repeated line runs; those of which nothing is left go."""
-    done = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    done = line_dedup.dedup_lines(docs.select(*COLUMNS), min_words=line_dedup.PASSAGE)
     kept = done.filter("n_kept > 0 or n_lines = 0")
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 

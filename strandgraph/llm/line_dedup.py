@@ -11,11 +11,14 @@ run and all its places.  Doubling goes on until no run repeats.
 
 A line is deleted if a repeated run of ``min_lines`` or more lines that also
 starts earlier (smaller document, then smaller line) covers it, so the first
-copy stays.  Overlaps count, and runs are judged on the input.
+copy stays.  Overlaps count, and runs are judged on the input.  With
+``min_words``, a single line of so many words (runs without ASCII whitespace)
+is a run too, whatever its neighbours are.
 
 Equal texts are one sequence, which their smallest doc_id holds; the others
-are copies, all of whose lines go if there are ``min_lines`` of them.  Texts
-themselves are moved only once, to the join with what is deleted.
+are copies, all of whose lines go if there are ``min_lines`` of them, and else
+those of ``min_words``.  Texts themselves are moved only once, to the join with
+what is deleted.
 
 Null texts have no lines, an empty text has one empty line.  Rows that share
 doc_id and text get the same result.  A null doc_id comes after all others.
@@ -25,14 +28,22 @@ through; a clash with an output name is refused.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sparkops import checkpoint
 
+WORD = r"[^\x20\x09-\x0D]+"
+#: A passage: so many words of one line are deleted without a second line.
+PASSAGE = 50
 LAST = (1 << 63) - 1
 
 
+def has_words(line: Column, least: int) -> Column:
+    """Whether a line has ``least`` words or more; too short ones are told by their bytes."""
+    return F.when(F.octet_length(line) >= 2 * least - 1, F.size(F.regexp_extract_all(line, F.lit(WORD), F.lit(0))) >= least).otherwise(False)
+
+
 def ranks(keys: DataFrame, *order: str) -> DataFrame:
     """keys (distinct rows) with rank: numbers that ascend in the order given, by a range sort.
 
@@ -43,22 +54,29 @@ def ranks(keys: DataFrame, *order: str) -> DataFrame:
     return checkpoint(ordered.withColumn("rank", F.monotonically_increasing_id()))
 
 
-def repeated_runs(lines: DataFrame, min_lines: int) -> DataFrame:
+def repeated_runs(lines: DataFrame, min_lines: int, min_words: int | None = None) -> DataFrame:
     """(doc, pos, depth) of suffixes whose first ``depth`` lines also start earlier.
 
-    lines: (doc, pos, id), doc and pos giving the order.  ``depth`` is the
+    lines: (doc, pos, id, long), doc and pos giving the order.  ``depth`` is the
     largest ``min_lines * 4 ** k`` reached, so that runs cover just the lines
-    that runs of ``min_lines`` lines cover.
+    that runs of ``min_lines`` lines cover; 1 for a long line in no such run.
     """
     place = F.struct("doc", "pos")
     names = lines.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
-    active = checkpoint(lines.join(ranks(names, "id"), "id").select("doc", "pos", "rank"))
-    depth, out = 1, active.select("doc", "pos", F.lit(0).alias("depth")).filter("false")
+    active = checkpoint(lines.join(ranks(names, "id"), "id").select("doc", "pos", "rank", "long"))
+
+    def later(rows: DataFrame, depth: int) -> DataFrame:
+        # Written, so that the join has plain shuffles on both sides and a hot run's rows can be split.
+        first = checkpoint(rows.groupBy("rank").agg(F.min(place).alias("first")))
+        return rows.join(first, "rank").filter(place > F.col("first")).select("doc", "pos", F.lit(depth).alias("depth"))
+
+    out = active.select("doc", "pos", F.lit(0).alias("depth")).filter("false")
+    if min_words is not None and min_lines > 1:
+        out = out.union(later(active.filter("long"), 1))
+    active, depth = active.drop("long"), 1
     while not active.isEmpty():
         if depth >= min_lines:
-            # Written, so that the join has plain shuffles on both sides and a hot run's rows can be split.
-            first = checkpoint(active.groupBy("rank").agg(F.min(place).alias("first")))
-            out = out.union(active.join(first, "rank").filter(place > F.col("first")).select("doc", "pos", F.lit(depth).alias("depth")))
+            out = out.union(later(active, depth))
         # Below min_lines depths double, the last of them overlapping; then two doublings make a round.
         if depth < min_lines:
             offsets = [0, min(depth, min_lines - depth)]
@@ -74,18 +92,19 @@ def repeated_runs(lines: DataFrame, min_lines: int) -> DataFrame:
     return out.groupBy("doc", "pos").agg(F.max("depth").alias("depth"))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_lines: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_lines: int = 2, min_words: int | None = None) -> DataFrame:
     """docs with the text's kept lines, n_lines and n_kept."""
     if clash := {"n_lines", "n_kept", "_doc", "_key", "_gone", "_first"} & {*docs.columns}:
         raise ValueError(f"the input already has {sorted(clash)}")
+    long = lambda line: F.lit(False) if min_words is None else has_words(line, min_words)
     doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))
     texts = docs.select(doc.alias("doc"), F.xxhash64(text, F.octet_length(text)).alias("key"), F.col(text).alias("text")).filter("text is not null")
-    exploded = texts.select("key", "doc", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).select("key", "doc", "pos", F.xxhash64("line").alias("id"))
+    exploded = texts.select("key", "doc", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).select("key", "doc", "pos", F.xxhash64("line").alias("id"), long(F.col("line")).alias("long"))
     # Copies collapse before the shuffle; the smallest doc_id stands for a text.
-    lines = checkpoint(exploded.groupBy("key", "pos", "id").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies")))
+    lines = checkpoint(exploded.groupBy("key", "pos", "id").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("long").alias("long")))
     order = F.struct("doc", "key")
-    sequences = lines.select(order.alias("doc"), "pos", "id")
-    runs = repeated_runs(sequences, min_lines)
+    sequences = lines.select(order.alias("doc"), "pos", "id", "long")
+    runs = repeated_runs(sequences, min_lines, min_words)
     gone = runs.select("doc", F.explode(F.sequence("pos", F.col("pos") + F.col("depth") - 1)).alias("line"))
     gone = gone.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("_gone"))
     shared = lines.filter("pos = 0 and copies > 1").select("key", F.col("doc").alias("_first"))
@@ -94,10 +113,12 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     keyed = docs.withColumns({"_doc": doc, "_key": F.xxhash64(text, F.octet_length(text))})
     joined = keyed.join(told.hint("shuffle_hash"), "_key", "left")
     split = joined.withColumn("_lines", F.split(text, "\n", -1))
-    copy = F.col("_first").isNotNull() & (F.col("_doc") > F.col("_first")) & (F.size("_lines") >= min_lines)
+    copy = F.col("_first").isNotNull() & (F.col("_doc") > F.col("_first"))
+    whole = copy & (F.size("_lines") >= min_lines)
     kept = (
         F.when(F.col(text).isNull(), F.expr("cast(array() as array<string>)"))
-        .when(copy, F.expr("cast(array() as array<string>)"))
+        .when(whole, F.expr("cast(array() as array<string>)"))
+        .when(copy, F.filter("_lines", lambda line: ~long(line)))
         .when(F.col("_gone").isNull(), F.col("_lines"))
         .otherwise(F.expr("array_compact(transform(_lines, (x, i) -> if(array_contains(_gone, i), null, x)))"))
     )
@@ -109,7 +130,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     )
 
 
-def op2_line_dedup(docs: DataFrame) -> DataFrame:
+def op2_line_dedup(docs: DataFrame, min_words: int | None = None) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed, kept_chars, kept_sha256 (null text: none)."""
-    done = dedup_lines(docs.select("doc_id", "text"))
+    done = dedup_lines(docs.select("doc_id", "text"), min_words=min_words)
     return done.select("doc_id", "n_lines", (F.col("n_lines") - F.col("n_kept")).alias("n_removed"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

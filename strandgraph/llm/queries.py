@@ -29,6 +29,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op2_line_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op2_long_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of two lines, and single lines of a passage's length; the twin of op2_line_dedup has only the former."""
+    return line_dedup.op2_line_dedup(_read(spark, sf_dir, "documents"), min_words=line_dedup.PASSAGE)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.op3_decontamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -64,6 +69,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_line_dedup": op2_line_dedup,
+    "op2_long_line_dedup": op2_long_line_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_pii": op5_pii,

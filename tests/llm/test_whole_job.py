@@ -1,0 +1,45 @@
+"""Cases that an operator once left out."""
+
+import random
+
+import pytest
+
+from strandgraph.llm import line_dedup
+
+
+def long_lines(docs, m, w):
+    """(doc_id, n_lines, kept text): repeated runs of m lines and repeated lines of w words go."""
+    seen, out = set(), []
+    for d, t in sorted(docs, key=lambda r: r[0]):
+        lines, gone = t.split("\n"), set()
+        for size in {1, m}:
+            for k in range(len(lines) - size + 1):
+                run = tuple(lines[k : k + size])
+                if size < m and len(run[0].split()) < w:
+                    continue
+                if run in seen:
+                    gone.update(range(k, k + size))
+                seen.add(run)
+        out.append((d, len(lines), len(lines) - len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone)))
+    return out
+
+
+@pytest.mark.parametrize("m", [1, 2, 3])
+def test_long_single_lines(spark, m):
+    rng = random.Random(5)
+    passage, short = " ".join(f"p{i}" for i in range(50)), " ".join(f"q{i}" for i in range(49))
+    pool = [passage, short, passage + " more", "a", "b", "c d"]
+    plain = [(1, f"x\n{passage}\ny"), (2, f"u\n{passage}\nv"), (3, f"s\n{short}\nt"), (4, f"k\n{short}\nl"), (5, passage), (6, passage), (7, f"{passage}\nend"), (8, f"{passage}\nend"), (9, f"n1 {passage}\nend2"), (10, f"n1 {passage}\nend2"), (11, "z" * 200), (12, "z" * 200)]
+    plain += [(d, "\n".join(rng.choice([*pool, f"own {d} {k}"]) for k in range(rng.randint(1, 6)))) for d in range(20, 60)]
+    done = line_dedup.dedup_lines(spark.createDataFrame(plain, "doc_id long, text string").repartition(3), min_lines=m, min_words=50)
+    got = sorted((r["doc_id"], r["n_lines"], r["n_kept"], r["text"]) for r in done.collect())
+    assert got == long_lines(plain, m, 50)
+
+
+def test_pipeline_deletes_a_long_line_between_others(spark):
+    import corpus_pipeline
+
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(d, f"first {d}\n{passage}\nlast {d}", "en", "s", 0) for d in (1, 2)]
+    out = corpus_pipeline.line_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: rows[0][1], 2: "first 2\nlast 2"}
