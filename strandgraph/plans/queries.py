@@ -418,6 +418,14 @@ def vector_top_k(spark, sf_dir):
     return found.select("q", "rank", "vec_id", F.round("score", 5).alias("score"))
 
 
+@query
+def vector_top_k_hundredths(spark, sf_dir):
+    """Every hundredth id against all vectors; vector_top_k has the five queries of its SQL twin."""
+    e = bound.tables(spark, sf_dir)["embeddings"]
+    found = search.vector_search_many(e, e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), "embedding"), "vec_id", "q", k=5)
+    return found.select("q", "rank", "vec_id", F.round("score", 5).alias("score"))
+
+
 @query
 def substring_search(spark, sf_dir):
     return search.substring_search(bound.graph(spark, sf_dir).nodes, "Supplier-1", None).select("id", "type", "score")
