@@ -11,7 +11,8 @@ The vector has a count, 8 dense lanes modulo 2**32 (equality), and
 paragraph takes part with probability 8**-k and adds to one lane.  Two
 fingerprints are compared at the first level on which the larger count leaves
 at most two paragraphs a lane; likeness is the share of lanes equal there
-among those in use.  So likeness keeps its resolution for texts of any length.
+among those in use.  Nine levels leave two paragraphs a lane at 2**30 paragraphs, more
+than a text of 2 GB holds, so likeness keeps its resolution for any length.
 
 Null and empty texts have the zero fingerprint; two of these are alike (1.0).
 Equal texts have equal fingerprints; so have texts with the same paragraphs
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .sparkops import checkpoint
 
 PARAGRAPH_BREAK = r"\n+|(?<=[.!?])[ \t]+"
-LEVELS, LANES = 4, 32
+LEVELS, LANES = 9, 32
 DENSE_MASK, LANE_MASK = 0xFFFFFFFF, 0xFFFF
 PER_LANE = 2
 
@@ -37,14 +38,15 @@ def fingerprint(text: str) -> Column:
     hashed = f"transform({units}, u -> named_struct('a', xxhash64(u), 'b', xxhash64(7, u)))"
     lanes_of = lambda h, i: f"s[{i}] + (shiftrightunsigned(xxhash64(u.a, u.b, {i // 2}), {32 * (i % 2)}) & {DENSE_MASK}L)"
     dense = f"aggregate(x, array_repeat(0L, 8), (s, u) -> array({', '.join(f'({lanes_of("u", i)}) & {DENSE_MASK}L' for i in range(8))}))"
-    lane = f"cast(aggregate(y, 0L, (s, h) -> if((h & {LANES - 1}) = i, s + (shiftrightunsigned(h, 20) & {LANE_MASK}), s)) & {LANE_MASK} as int)"
-    levels = []
-    for k in range(LEVELS):
-        mask = sum(7 << (5 + 3 * j) for j in range(k))
-        part = "transform(x, u -> u.a)" if not k else f"filter(transform(x, u -> u.a), h -> (h & {mask}) = 0)"
-        levels.append(f"transform(array({part}), y -> transform(sequence(0, {LANES - 1}), i -> {lane}))[0]")
+    # Levels up to 3 take the bits above 20 of a hash, higher ones, whose sampling uses up to 28 bits, those above 32.
+    lane = f"cast(aggregate(s.y, 0L, (t, h) -> if((h & {LANES - 1}) = i, t + (shiftrightunsigned(h, if(k < 4, 20, 32)) & {LANE_MASK}), t)) & {LANE_MASK} as int)"
+    # A level samples what is left of the level below.
+    left = "if(k = 0, s.y, filter(s.y, h -> (h & shiftleft(7L, 2 + 3 * k)) = 0))"
+    start = "named_struct('y', transform(x, u -> u.a), 'lanes', cast(array() as array<array<int>>))"
+    step = f"transform(array(named_struct('y', {left}, 'lanes', s.lanes)), s -> named_struct('y', s.y, 'lanes', array_append(s.lanes, transform(sequence(0, {LANES - 1}), i -> {lane}))))[0]"
+    lanes = f"aggregate(sequence(0, {LEVELS - 1}), {start}, (s, k) -> {step}, s -> s.lanes)"
     # transform(array(e), x -> ...)[0] binds x, so that e is computed once.
-    return F.expr(f"transform(array({hashed}), x -> named_struct('n', cast(size(x) as bigint), 'dense', {dense}, 'lanes', array({', '.join(levels)})))[0]")
+    return F.expr(f"transform(array({hashed}), x -> named_struct('n', cast(size(x) as bigint), 'dense', {dense}, 'lanes', {lanes}))[0]")
 
 
 def combine(left: Column, right: Column, sign: int = 1) -> Column:

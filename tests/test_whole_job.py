@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from strandgraph.llm import line_dedup
+from strandgraph.llm import fingerprint, line_dedup
 from strandgraph.operators import search
 
 
@@ -91,3 +91,14 @@ def test_vector_top_k_takes_every_hundredth(spark):
     got = sorted((r["q"], r["rank"], r["vec_id"], r["score"]) for r in e.queries()["vector_top_k_hundredths"](spark, SF).collect())
     want = nearest(vectors, [x for x in vectors if x[0] % 100 == 0], 5)
     assert [r[:3] for r in got] == [r[:3] for r in want] and all(math.isclose(a[3], b[3], abs_tol=1e-5) for a, b in zip(got, want, strict=True))
+
+
+def test_fingerprints_of_very_long_texts(spark):
+    """Three quarters of 100,000 lines stay, and of 3,000,000 (level 5); other lines are unlike."""
+    assert 2 * fingerprint.LANES * 8 ** (fingerprint.LEVELS - 1) >= 1 << 30
+    for n in (100_000, 3_000_000):
+        text = lambda a, b: f"array_join(transform(sequence({a}, {b}), i -> cast(i as string)), chr(10))"
+        df = spark.range(1).selectExpr(f"{text(1, n)} as x", f"{text(n // 4 + 1, n + n // 4)} as y", f"{text(2 * n, 3 * n - 1)} as z")
+        p = df.select(*(fingerprint.fingerprint(c).alias(c) for c in "xyz"))
+        near, far = p.select(fingerprint.likeness(p["x"], p["y"]), fingerprint.likeness(p["x"], p["z"])).first()
+        assert near > 0.3 and far < 0.1
