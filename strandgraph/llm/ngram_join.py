@@ -108,7 +108,7 @@ def _first_pass(n: int, percent: int, buckets: int):
                 if len(own):
                     used, first, slots = np.unique(docs[own], return_index=True, return_inverse=True)
                     low = ((tokens[own] * np.uint64(buckets)) >> np.uint64(32)).astype(np.uint32)
-                    yield packed(k, np.diff(used, prepend=0), np.diff(slots, prepend=0).astype(np.uint8), low, needs[own][first])
+                    yield packed(k, np.diff(used, prepend=0), np.diff(slots, prepend=0).astype(np.uint8), low, np.minimum.reduceat(needs[own], first))
 
         for batch, data, offsets in B.pieces(batches, 1):
             tokens, owner = shingle_sets(data, offsets, n, powers)
@@ -276,10 +276,11 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     packed = read.mapInArrow(_first_pass(n, percent, buckets), "bucket int, docs binary, slots binary, tokens binary, needs binary")
     told = packed.repartition("bucket").mapInArrow(_shared_counts, "doc_id long, needs long, shared long, n long, node long")
+    # Texts that share an id are counted together against the smallest of their needs, which lets all that may link survive.
     # Rows without an id are spread by their key.
     salt = F.when(F.col("doc_id").isNull(), F.col("node")).otherwise(F.lit(0))
     key = F.when(F.col("node").isNotNull(), F.struct("n", "node"))
-    told = checkpoint(told.groupBy("doc_id", salt.alias("salt")).agg(F.sum("shared").alias("shared"), F.max("needs").alias("needs"), F.collect_list(key).alias("keys")))
+    told = checkpoint(told.groupBy("doc_id", salt.alias("salt")).agg(F.sum("shared").alias("shared"), F.min("needs").alias("needs"), F.collect_list(key).alias("keys")))
     keys = told.select("doc_id", F.inline("keys")).withColumnRenamed("n", "n_shingles")
     survivors = told.filter("doc_id is not null and shared >= needs").select("doc_id")
 

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from strandgraph.llm import fingerprint, line_dedup
+from strandgraph.llm import fingerprint, line_dedup, ngram_join
 from strandgraph.operators import search
 
 
@@ -102,3 +102,13 @@ def test_fingerprints_of_very_long_texts(spark):
         p = df.select(*(fingerprint.fingerprint(c).alias(c) for c in "xyz"))
         near, far = p.select(fingerprint.likeness(p["x"], p["y"]), fingerprint.likeness(p["x"], p["z"])).first()
         assert near > 0.3 and far < 0.1
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_near_copies_of_a_text_that_shares_its_id(spark, order):
+    """A long text without copies must not raise the threshold of a short one with the same id."""
+    long = " ".join(f"l{i}" for i in range(2000))
+    short = [" ".join(f"s{i}" for i in range(40)) + f" end{j}" for j in range(2)]
+    plain = [(1, long), (1, short[0]), (2, short[1]), (3, "some other words here")][::order]
+    got = ngram_join.ngram_jaccard_join(spark.createDataFrame(plain, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in got) == [(1, 38, 1, 1), (1, 1997, 1, 0), (2, 38, 1, 1), (3, 1, 3, 0)]
