@@ -16,7 +16,7 @@ large the benchmark is; between every ``blocks_per_pass`` blocks the documents
 are checkpointed.
 
 Null and empty texts have no words and no hits; null or empty items have no
-windows; repeated documents give repeated rows; repeated items count once each
+windows; items without an id are searched too, but not named; repeated documents give repeated rows; repeated items count once each
 id; an empty benchmark leaves every document clean.  Other columns pass
 through; a clash with an output name is refused.
 """
@@ -133,15 +133,15 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", item_id
         raise ValueError(f"the input already has {sorted(clash)}")
     span = T.ArrayType(T.LongType())
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("hit_spans", span), T.StructField("items", T.ArrayType(T.StringType()))])
-    items = bench.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).filter("i is not null")
-    total = items.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
+    items = bench.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("string").alias("t"))
+    total = items.agg(F.sum(F.coalesce(F.octet_length("t"), F.lit(0)) + 16)).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     at = docs.columns.index(text)
     width = len(docs.columns)
     columns = [*docs.columns, *outputs]
     out = docs
     for k in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k)
+        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
         rows = part.toArrow()
         index = Index(rows["i"].to_pylist(), rows["t"].to_pylist(), window, gram)
 
@@ -162,7 +162,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", item_id
                 for size, places, hashes in found:
                     owner = rows[places]
                     for row in np.unique(owner):
-                        names.setdefault(int(row), set()).update(index.ids[i] for i in index.table(size).items_of(hashes[owner == row]))
+                        names.setdefault(int(row), set()).update(index.ids[i] for i in index.table(size).items_of(hashes[owner == row]) if index.ids[i] is not None)
                 old_spans = None if first else batch.column(width + 1).to_pylist()
                 old_items = None if first else batch.column(width + 2).to_pylist()
                 spans, listed = [], []

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from strandgraph.llm import fingerprint, line_dedup, ngram_join
+from strandgraph.llm import decontam, fingerprint, line_dedup, ngram_join
 from strandgraph.operators import search
 
 
@@ -112,3 +112,12 @@ def test_near_copies_of_a_text_that_shares_its_id(spark, order):
     plain = [(1, long), (1, short[0]), (2, short[1]), (3, "some other words here")][::order]
     got = ngram_join.ngram_jaccard_join(spark.createDataFrame(plain, "doc_id long, text string").coalesce(1)).collect()
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in got) == [(1, 38, 1, 1), (1, 1997, 1, 0), (2, 38, 1, 1), (3, 1, 3, 0)]
+
+
+@pytest.mark.parametrize("block_bytes", [32 << 20, 100])
+def test_benchmark_items_without_an_id(spark, block_bytes):
+    words = [" ".join(f"{c}{i}" for i in range(30)) for c in "abc"]
+    bench = spark.createDataFrame([(None, words[0]), (7, words[1]), (None, None), (None, "zz yy")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {words[0]} y"), (2, f"x {words[1]} y"), (3, words[2]), (4, "zz yy"), (5, words[0] + " . " + words[1])], "doc_id long, text string")
+    found = decontam.decontaminate(docs, bench, block_bytes=block_bytes).collect()
+    assert {r["doc_id"]: (r["n_hit"], r["items"]) for r in found} == {1: (30, []), 2: (30, ["7"]), 3: (0, []), 4: (2, []), 5: (60, ["7"])}
