@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from strandgraph.llm import decontam, fingerprint, line_dedup, ngram_join
+from strandgraph.llm import decontam, fingerprint, line_dedup, ngram_join, pii
 from strandgraph.operators import search
 
 
@@ -121,3 +121,11 @@ def test_benchmark_items_without_an_id(spark, block_bytes):
     docs = spark.createDataFrame([(1, f"x {words[0]} y"), (2, f"x {words[1]} y"), (3, words[2]), (4, "zz yy"), (5, words[0] + " . " + words[1])], "doc_id long, text string")
     found = decontam.decontaminate(docs, bench, block_bytes=block_bytes).collect()
     assert {r["doc_id"]: (r["n_hit"], r["items"]) for r in found} == {1: (30, []), 2: (30, ["7"]), 3: (0, []), 4: (2, []), 5: (60, ["7"])}
+
+
+def test_account_numbers_before_other_words(spark):
+    gb, de, no = "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "NO93 8601 1117 947"
+    texts = [f"{gb} BIC ABCDEF", f"{gb} 2024", f"{de} 12 EUR", f"{no} {gb}", f"{gb}5", f"{gb[:-1]}3 BIC"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: [(s["start"], s["value"]) for s in r["pii"] if s["kind"] == "iban"] for r in pii.find_pii(df).collect()}
+    assert found == {0: [(0, gb)], 1: [(0, gb)], 2: [(0, de)], 3: [(0, no), (len(no) + 1, gb)], 4: [], 5: []}
