@@ -12,18 +12,20 @@ a document with a smaller doc_id.  Only suffixes that can matter are sorted:
 3. Each task sorts its anchors' suffixes (cut at ``width`` bytes), front-codes
    them (each one as its common prefix with the one before, and the rest) and
    sends such sorted runs to buckets.  A suffix carries the bytes to its left.
-   Of equal contexts in a run only those of the smallest document go out; the
-   others are removed on the spot.
+   Strings of which the run itself has a smaller document are removed on the
+   spot, and only suffixes with other strings go out.
 4. A bucket's runs are combined by a loser tree that keeps, for each contender,
    its common prefix with the last winner, and looks at characters only where
    two contenders agree on that length.  The prefixes it puts out group the
    merged suffixes at every length from ``gram`` to ``width``; with the bytes
    to the left, they give the least document for each string around an anchor.
-5. Removed spans join the texts, which are shuffled once for steps 3 and 5.
+5. Removed spans go to the part that their document is in, packed, and from
+   there, one row for each document, to the texts, which are shuffled once for
+   steps 3 and 5.
 
-A gram in very many texts (more than 1/32 of its bucket) would put the edges of
-all its copies into one bucket; its strings are sent as suffixes of their own,
-dealt by their own hash, where equal ones collapse in each task.
+A gram in very many texts (``hot`` and more than 1/32 of its bucket) would put
+the edges of all its copies into one bucket; its strings are sent as suffixes
+of their own, dealt by their own hash, where equal ones collapse in each task.
 
 Texts are UTF-8 bytes; nulls and empty texts have none.  Equal texts are one
 text that its smallest doc_id holds; copies with a larger doc_id lose all if
@@ -42,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .sparkops import bounded_batches
+from .sparkops import bounded_batches, checkpoint
 
 LAST = (1 << 63) - 1
 _U = np.uint64
@@ -127,13 +129,13 @@ def _emit_hashes(width: int, gram: int, buckets: int):
     return run
 
 
-def _shared_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 2, second half: (doc, name) of grams in two texts or more; bit 0 of name tells very frequent ones."""
-    by: dict[int, list] = {}
-    for batch in batches:
-        for bucket, docs, slots, names in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            by.setdefault(bucket, []).append((docs, slots, names))
-    for bucket, parts in by.items():
+def _shared_names(least_hot: int):
+    """Step 2, second half: (doc, name) of grams in two texts or more; bit 0 of name tells very frequent ones.
+
+    Rows come sorted by bucket, so one bucket is held at a time.
+    """
+
+    def shared(bucket: int, parts: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         keys = np.concatenate([np.cumsum(np.frombuffer(d, np.int64))[np.cumsum(np.frombuffer(s, np.uint8), dtype=np.int64)] for d, s, _ in parts])
         names = np.concatenate([np.frombuffer(n, np.uint32) for _, _, n in parts])
         order = np.lexsort((keys, names))
@@ -145,24 +147,46 @@ def _shared_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         texts = np.diff(np.concatenate([np.flatnonzero(first), [len(names)]]))
         times = np.repeat(texts, texts)
         stay = times > 1
-        hot = times > max(256, len(names) // 32)
-        code = ((np.int64(bucket) << 33) | (names.astype(np.int64) << 1) | hot)[stay]
+        hot = times > max(least_hot, len(names) // 32)
+        keys, code = keys[stay], ((np.int64(bucket) << 33) | (names.astype(np.int64) << 1) | hot)[stay]
         for at in range(0, len(code), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[stay][at : at + (1 << 16)]), pa.array(code[at : at + (1 << 16)])], names=["doc", "name"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 16)]), pa.array(code[at : at + (1 << 16)])], names=["doc", "name"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for batch in batches:
+            for bucket, docs, slots, names in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now and parts:
+                    yield from shared(now, parts)
+                    parts = []
+                now = bucket
+                parts.append((docs, slots, names))
+        if parts:
+            yield from shared(now, parts)
+
+    return run
+
+
+def common_prefixes(strings: np.ndarray) -> np.ndarray:
+    """Each row's common prefix with the row before (0 for the first); rows are padded with zeros, which count."""
+    prefix = np.zeros(len(strings), np.int64)
+    differ = strings[1:] != strings[:-1]
+    prefix[1:] = np.where(differ.any(1), differ.argmax(1), strings.shape[1])
+    return prefix
 
 
 def front_code(strings: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """(common prefix with the row before, the remaining bytes) of sorted rows of a byte matrix.
+    """(common prefix with the row before, the remaining bytes) of rows of a byte matrix, zero behind their lengths."""
+    prefix, column = common_prefixes(strings), np.arange(strings.shape[1])
+    return prefix.astype(np.uint8), strings[(column >= prefix[:, None]) & (column < lengths[:, None])].tobytes()
 
-    Rows are padded with zeros behind their length; prefixes count the padding.
-    """
-    n, width = strings.shape
-    prefix = np.zeros(n, np.int64)
-    if n > 1:
-        differ = strings[1:] != strings[:-1]
-        prefix[1:] = np.where(differ.any(1), differ.argmax(1), width)
-    keep = (np.arange(width) >= prefix[:, None]) & (np.arange(width) < lengths[:, None])
-    return prefix.astype(np.uint8), strings[keep].tobytes()
+
+def packed_run(right, rlen, lefts, llen, place, doc, key) -> bytes:
+    """A sorted run as bytes: both sides front-coded."""
+    prefix, rest = front_code(right, rlen)
+    lp, body = front_code(lefts, llen)
+    parts = [prefix, rlen.astype(np.uint8), lp, llen.astype(np.uint8), place.astype(np.int64), doc, key]
+    return np.array([len(place), len(rest)], np.int64).tobytes() + b"".join(p.tobytes() for p in parts) + rest + body
 
 
 def _order(strings: np.ndarray) -> list[np.ndarray]:
@@ -173,45 +197,109 @@ def _order(strings: np.ndarray) -> list[np.ndarray]:
     return list(wide.view(">u8").astype(_U).T[::-1])
 
 
+def covered_by_less(known: np.ndarray, rlen: np.ndarray, llen: np.ndarray, lefts: np.ndarray, doc: np.ndarray, width: int) -> np.ndarray:
+    """(entry, s): whether a smaller document among the entries has the string that starts s bytes before the entry's gram.
+
+    Entries are sorted by the bytes from the gram on; ``known`` is each one's
+    common prefix with the one before.
+    """
+    n, left = lefts.shape
+    covered = np.zeros((n, left + 1), bool)
+    if not n:
+        return covered
+    # Only grams of two documents or more need a look.
+    first = np.flatnonzero(np.concatenate([[True], known[1:] < width - left]))
+    size = np.diff(np.concatenate([first, [n]]))
+    many = np.repeat(np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first), size)
+    mark = np.zeros(n, _U)
+    for s in range(left + 1):
+        if s:
+            mark = (mark + B.BYTE_VALUES[lefts[:, s - 1]]) * _U(B._BASE)
+        able = np.flatnonzero(many & (rlen >= width - s) & (llen >= s))
+        if not len(able):
+            continue
+        group = np.cumsum(known < width - s)
+        code = B.mix64(mark[able] ^ B.mix64(group[able].astype(_U)))
+        by_code = np.argsort(code, kind="stable")
+        c, d = code[by_code], doc[able][by_code]
+        first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+        size = np.diff(np.concatenate([first, [len(c)]]))
+        covered[able[by_code], s] = d > np.repeat(np.minimum.reduceat(d, first), size)
+    return covered
+
+
+def spans_of(covered: np.ndarray, place: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entry, start, end) of the bytes that each entry's covered strings span."""
+    edge = np.diff(np.pad(covered, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    i, low = np.nonzero(edge == 1)
+    high = np.nonzero(edge == -1)[1] - 1
+    return i, place[i] - high, place[i] - low + width
+
+
+class Answers:
+    """Removed spans of many documents, gathered in a task and packed for each part of the documents."""
+
+    NAMES = ("part", "found")
+
+    def __init__(self, parts: int, most: int = 500_000) -> None:
+        self.parts, self.most, self.held, self.count = parts, most, [], 0
+
+    def add(self, doc, key, start, end) -> bool:
+        """Whether enough is held for a flush."""
+        self.held.append((doc, key, start, end))
+        self.count += len(doc)
+        return self.count > self.most
+
+    def flush(self) -> Iterator[tuple[int, bytes]]:
+        if not self.count:
+            return
+        doc, key, start, end = joined(*(np.concatenate([h[i] for h in self.held]) for i in range(4)))
+        self.held, self.count = [], 0
+        part = (B.mix64(doc.astype(_U) ^ B.mix64(key.astype(_U))) % _U(self.parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        edges = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0, [True]]))
+        rows = np.stack([doc, key, start, end], 1)[order]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield int(part[order[a]]), np.ascontiguousarray(rows[a:b].T).tobytes()
+
+
 def _emit_runs(width: int, gram: int, buckets: int):
-    """Step 3: (bucket, run) of front-coded suffixes, and (doc, key, spans) of what a run settles itself."""
+    """Step 3: (bucket, run) of front-coded suffixes, and (part, found) of what a run settles itself."""
     left = width - gram
+    names_out = ["bucket", "run", "part", "found"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, held, total = B.Powers(), [], 0
         reach, back = np.arange(width), np.arange(1, left + 1)
-        names_out = ["bucket", "run", "doc", "key", "spans"]
+        answers = Answers(buckets)
 
         def flush() -> Iterator[pa.RecordBatch]:
             bucket, right, rlen, lefts, llen, doc, key, place = (np.concatenate([h[i] for h in held]) for i in range(8))
             order = np.lexsort([doc, llen, *_order(lefts), rlen, *_order(right), bucket])
             bucket, right, rlen, lefts, llen, doc, key, place = (x[order] for x in (bucket, right, rlen, lefts, llen, doc, key, place))
-            n = len(bucket)
-            same = np.zeros(n, bool)
-            same[1:] = (bucket[1:] == bucket[:-1]) & (rlen[1:] == rlen[:-1]) & (llen[1:] == llen[:-1]) & (right[1:] == right[:-1]).all(1) & (lefts[1:] == lefts[:-1]).all(1)
-            group = np.flatnonzero(~same)[np.cumsum(~same) - 1]
-            settled = doc > doc[group]
-            if settled.any():
-                # All strings around such an anchor are in the group's first document.
-                most, least = np.minimum(llen[settled], left), np.maximum(0, width - rlen[settled])
-                ok = least <= most
-                yield from span_rows(doc[settled][ok], key[settled][ok], (place[settled] - most)[ok], (place[settled] - least + width)[ok])
-            go = np.flatnonzero(~settled)
+            known = common_prefixes(right)
+            known[1:][bucket[1:] != bucket[:-1]] = 0
+            covered = covered_by_less(known, rlen, llen, lefts, doc, width)
+            i, start, end = spans_of(covered, place, width)
+            if answers.add(doc[i], key[i], start, end):
+                yield from told()
+            # What goes out are the strings of which this task knows no smaller document.
+            shift = np.arange(left + 1)
+            open_ = ~covered & (shift >= width - rlen[:, None]) & (shift <= llen[:, None])
+            go = np.flatnonzero(open_.any(1))
+            llen = left - np.argmax(open_[:, ::-1], axis=1)
+            lefts[np.arange(left) >= llen[:, None]] = 0
             edges = np.searchsorted(bucket[go], np.arange(buckets + 1))
-            for k in range(buckets):
+            for k in np.flatnonzero(np.diff(edges)).tolist():
                 own = go[edges[k] : edges[k + 1]]
-                if len(own):
-                    prefix, rest = front_code(right[own], rlen[own])
-                    lp = np.zeros(len(own), np.int64)
-                    lp[1:] = np.where(same[own][1:] & (np.diff(own) == 1), llen[own][1:], 0)
-                    body = lefts[own][(np.arange(left) >= lp[:, None]) & (np.arange(left) < llen[own][:, None])].tobytes()
-                    parts = [prefix, rlen[own].astype(np.uint8), lp.astype(np.uint8), llen[own].astype(np.uint8), place[own].astype(np.int64), doc[own], key[own]]
-                    head = np.array([len(own), len(rest)], np.int64).tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([head + b"".join(p.tobytes() for p in parts) + rest + body], pa.binary()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary())], names=names_out)
-
-        def span_rows(doc, key, start, end) -> Iterator[pa.RecordBatch]:
-            for d, k, spans in by_document(doc, key, start, end):
-                yield pa.RecordBatch.from_arrays([pa.array([x % buckets for x in k], pa.int32()), pa.nulls(len(d), pa.binary()), pa.array(d), pa.array(k), pa.array(spans, pa.binary())], names=names_out)
+                yield row(k, packed_run(right[own], rlen[own], lefts[own], llen[own], place[own], doc[own], key[own]), None, None)
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for part, found in answers.flush():
+                yield row(part, None, part, found)
+
+        def row(bucket, blob, part, found) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([blob], pa.binary()), pa.array([part], pa.int32()), pa.array([found], pa.binary())], names=names_out)
 
         for batch, data, offsets in B.pieces(batches, 2):
             places, hashes, rows, least, most = anchors(data, offsets, width, gram, powers)
@@ -255,14 +343,15 @@ def _emit_runs(width: int, gram: int, buckets: int):
                 held, total = [], 0
         if total:
             yield from flush()
+        yield from told()
 
     return run
 
 
-def by_document(doc, key, start, end) -> Iterator[tuple[list, list, list]]:
-    """Spans packed for each document: (docs, keys, bytes of int64 start and end pairs), joined where they touch."""
+def joined(doc, key, start, end) -> tuple[np.ndarray, ...]:
+    """Spans by document, those that overlap or touch joined: (doc, key, start, end), sorted."""
     if not len(doc):
-        return
+        return doc, key, start, end
     order = np.lexsort((start, key, doc))
     doc, key, start, end = doc[order], key[order], start[order], end[order]
     new = np.ones(len(doc), bool)
@@ -273,12 +362,8 @@ def by_document(doc, key, start, end) -> Iterator[tuple[list, list, list]]:
     opens = new.copy()
     opens[1:] |= start[1:] + lift[1:] > furthest[:-1]
     first = np.flatnonzero(opens)
-    pairs = np.stack([start[first], (furthest - lift)[np.concatenate([first[1:], [len(doc)]]) - 1]], 1).astype(np.int64)
-    owner = np.flatnonzero(new[first])
-    edges = np.concatenate([owner, [len(first)]])
-    for at in range(0, len(owner), 4096):
-        part = range(at, min(at + 4096, len(owner)))
-        yield [int(doc[first[owner[i]]]) for i in part], [int(key[first[owner[i]]]) for i in part], [pairs[edges[i] : edges[i + 1]].tobytes() for i in part]
+    last = np.concatenate([first[1:], [len(doc)]]) - 1
+    return doc[first], key[first], start[first], (furthest - lift)[last]
 
 
 class LoserTree:
@@ -382,69 +467,86 @@ def _read_run(blob: bytes, width: int, left: int):
     strings[(np.arange(width) >= prefix[:, None]) & (np.arange(width) < rlen[:, None])] = np.frombuffer(blob, np.uint8, rest, at)
     lefts = np.zeros((n, left), np.uint8)
     lefts[(np.arange(left) >= lp[:, None]) & (np.arange(left) < llen[:, None])] = np.frombuffer(blob, np.uint8, -1, at + rest)
-    # A left context that equals the one before was not sent.
-    source = np.maximum.accumulate(np.where((lp == 0) | (llen == 0), np.arange(n), 0))
-    return prefix, rlen, llen, place, doc, key, strings, lefts[source]
+    # A byte that was not sent is that of the last row that had its own there.
+    source = np.maximum.accumulate(np.where(np.arange(left) >= lp[:, None], np.arange(n)[:, None], 0), axis=0)
+    return prefix, rlen, llen, place, doc, key, strings, np.take_along_axis(lefts, source, 0)
 
 
-def _merge_runs(width: int, gram: int):
-    """Step 4: (doc, key, spans), with what step 3 has settled."""
+def _merge_runs(width: int, gram: int, parts: int):
+    """Step 4: (part, found), with what step 3 has settled.  Rows come sorted by bucket, so one bucket is held at a time."""
     left = width - gram
 
+    def merged(blobs: list[bytes]):
+        """(doc, key, start, end) of one bucket's runs."""
+        parsed = [_read_run(b, width, left) for b in blobs]
+        runs = []
+        for prefix, _, _, _, _, _, strings, _ in parsed:
+            # Front coding is undone on integers: keep the first bytes of the one before.
+            values, now, full = [], 0, 8 * width
+            packed = strings.tobytes()
+            for i, p in enumerate(prefix.tolist()):
+                own = int.from_bytes(packed[i * width : (i + 1) * width], "big")
+                keep = full - 8 * p
+                now = ((now >> keep) << keep) | own
+                values.append(now)
+            runs.append((values, prefix.tolist()))
+        which, index, known = (np.array(x, np.int64) for x in LoserTree(runs, width).merge())
+        starts = np.concatenate([[0], np.cumsum([len(p[0]) for p in parsed])])[:-1]
+        order = starts[which] + index
+        rlen, llen, place, doc, key, lefts = (np.concatenate([p[i] for p in parsed])[order] for i in (1, 2, 3, 4, 5, 7))
+        covered = covered_by_less(known, rlen.astype(np.int64), llen.astype(np.int64), lefts, doc, width)
+        i, start, end = spans_of(covered, place, width)
+        return doc[i], key[i], start, end
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[bytes]] = {}
+        answers, blobs, now = Answers(parts), [], None
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for part, found in answers.flush():
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([found], pa.binary())], names=Answers.NAMES)
+
         for batch in batches:
             done = batch.column(1).is_null()
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(done) for k in (2, 3, 4)], names=["doc", "key", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(done) for k in (2, 3)], names=Answers.NAMES)
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if blob is not None:
-                    by.setdefault(bucket, []).append(blob)
-        while by:
-            parsed = [_read_run(b, width, left) for b in by.popitem()[1]]
-            runs = []
-            for prefix, _, _, _, _, _, strings, _ in parsed:
-                # Front coding is undone on integers: keep the first bytes of the one before.
-                values, now, full = [], 0, 8 * width
-                packed = strings.tobytes()
-                for i, p in enumerate(prefix.tolist()):
-                    own = int.from_bytes(packed[i * width : (i + 1) * width], "big")
-                    keep = full - 8 * p
-                    now = ((now >> keep) << keep) | own
-                    values.append(now)
-                runs.append((values, prefix.tolist()))
-            which, index, known = (np.array(x, np.int64) for x in LoserTree(runs, width).merge())
-            del runs
-            starts = np.concatenate([[0], np.cumsum([len(p[0]) for p in parsed])])[:-1]
-            order = starts[which] + index
-            rlen, llen, place, doc, key, lefts = (np.concatenate([p[i] for p in parsed])[order] for i in (1, 2, 3, 4, 5, 7))
-            del parsed
-            rlen, llen = rlen.astype(np.int64), llen.astype(np.int64)
-            n = len(order)
-            covered = np.zeros((n, left + 1), bool)
-            mark = np.zeros(n, _U)
-            for s in range(left + 1):
-                if s:
-                    mark = (mark + B.BYTE_VALUES[lefts[:, s - 1]]) * _U(B._BASE)
-                able = np.flatnonzero((rlen >= width - s) & (llen >= s))
-                group = np.cumsum(known < width - s)
-                code = B.mix64(mark[able] ^ B.mix64(group[able].astype(_U)))
-                by_code = np.argsort(code, kind="stable")
-                c, d = code[by_code], doc[able][by_code]
-                first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
-                if not len(c):
+                if blob is None:
                     continue
-                size = np.diff(np.concatenate([first, [len(c)]]))
-                least = np.repeat(np.minimum.reduceat(d, first), size)
-                covered[able[by_code], s] = d > least
-            edge = np.diff(np.pad(covered, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-            i, low = np.nonzero(edge == 1)
-            high = np.nonzero(edge == -1)[1] - 1
-            for d, k, spans in by_document(doc[i], key[i], place[i] - high, place[i] - low + width):
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(k, pa.int64()), pa.array(spans, pa.binary())], names=["doc", "key", "spans"])
+                if bucket != now and blobs:
+                    if answers.add(*merged(blobs)):
+                        yield from told()
+                    blobs = []
+                now = bucket
+                blobs.append(blob)
+        if blobs:
+            answers.add(*merged(blobs))
+        yield from told()
 
     return run
 
 
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Step 5, first half: (doc, key, spans), a row for each document; rows come sorted by part."""
+    now, held = None, []
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        doc, key, start, end = joined(*np.concatenate([np.frombuffer(h, np.int64).reshape(4, -1) for h in held], axis=1))
+        edges = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(key) != 0), [True]]))
+        pairs = np.stack([start, end], 1)
+        for at in range(0, len(edges) - 1, 4096):
+            a, b = edges[:-1][at : at + 4096], edges[1:][at : at + 4096]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[a]), pa.array(key[a]), pa.array([pairs[x:y].tobytes() for x, y in zip(a, b, strict=True)], pa.binary())], names=["doc", "key", "spans"])
+
+    for batch in batches:
+        for part, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if part != now and held:
+                yield from rows()
+                held = []
+            now = part
+            held.append(found)
+    if held:
+        yield from rows()
+
+
 def _cut(width: int, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in B.pieces(batches, 2):
@@ -455,9 +557,8 @@ def _cut(width: int, keep_text: bool):
                 gone = np.zeros(len(text) + 1, np.int8)
                 if whole[i] and len(text) >= width:
                     gone[:-1] = 1
-                for blob in lists[i] or ():
-                    for a, b in np.frombuffer(blob, np.int64).reshape(-1, 2):
-                        gone[a:b] = 1
+                for a, b in np.frombuffer(lists[i] or b"", np.int64).reshape(-1, 2):
+                    gone[a:b] = 1
                 kept = text[gone[:-1] == 0].tobytes()
                 spans = int(((gone[1:] == 0) & (gone[:-1] == 1)).sum())
                 for x, value in zip(made, (len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if keep_text else None), strict=True):
@@ -467,28 +568,38 @@ def _cut(width: int, keep_text: bool):
     return run
 
 
-def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 50, gram: int = 24, keep_text: bool = True) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, unless told otherwise, the kept bytes."""
+def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 50, gram: int = 24, keep_text: bool = True, hot: int = 4096, bucket_bytes: int = 128 << 20) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, unless told otherwise, the kept bytes.
+
+    ``bucket_bytes`` of text make a bucket, so a bucket's size does not grow
+    with the input; a gram of more than ``hot`` texts may be hot.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(body, F.octet_length(body)).alias("key"), body.alias("text"))
 
-    # The smallest document of each text stands for it.
-    firsts = rows.groupBy("key").agg(F.min("doc").alias("first"))
-    stands = firsts.select(F.col("first").alias("doc"), "key")
+    # The smallest document of each text stands for it.  Salts keep a text of very many copies apart.
+    salt = F.pmod(F.xxhash64("doc"), F.lit(1024)).cast("int").alias("salt")
+    salted = checkpoint(rows.groupBy("key", salt).agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n"), F.first(F.octet_length("text")).alias("bytes")))
+    firsts = checkpoint(salted.groupBy("key").agg(F.min("doc").alias("doc"), F.sum("n").alias("n"), F.first("bytes").alias("bytes")))
+    total = firsts.agg(F.sum("bytes")).first()[0] or 0
+    buckets = max(partitions, -(-total // bucket_bytes))
+    stands = firsts.select("doc", "key")
     standing = rows.join(stands.hint("shuffle_hash"), ["doc", "key"])
     names = standing.select("doc", "text").mapInArrow(_emit_hashes(width, gram, buckets), "bucket int, docs binary, slots binary, names binary")
-    names = names.repartition("bucket").mapInArrow(_shared_names, "doc long, name long")
+    names = names.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_names(hot), "doc long, name long")
     wanted = names.groupBy("doc").agg(F.collect_list("name").alias("names")).join(stands, "doc")
     standing = rows.join(wanted.hint("shuffle_hash"), ["doc", "key"]).select("doc", "key", "text", "names")
-    sent = standing.mapInArrow(_emit_runs(width, gram, buckets), "bucket int, run binary, doc long, key long, spans binary")
-    spans = sent.repartition("bucket").mapInArrow(_merge_runs(width, gram), "doc long, key long, spans binary")
-    copies = rows.select("doc", "key").join(firsts, "key").filter("doc > first").select("doc", "key", F.lit(None).cast("binary").alias("spans")).distinct()
-    told = spans.union(copies).groupBy("doc", "key").agg(F.collect_list("spans").alias("spans"), F.max(F.col("spans").isNull()).alias("whole"))
-    joined = rows.join(told.hint("shuffle_hash"), ["doc", "key"], "left").select("doc", "key", "text", "spans", "whole")
-    out = joined.mapInArrow(_cut(width, keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    sent = standing.mapInArrow(_emit_runs(width, gram, buckets), "bucket int, run binary, part int, found binary")
+    found = sent.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge_runs(width, gram, buckets), "part int, found binary")
+    spans = found.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(_gather, "doc long, key long, spans binary")
+    copied = salted.select("key", "salt").join(firsts.filter("n > 1").select("key", F.col("doc").alias("first")), "key")
+    copies = rows.select("doc", "key", salt).join(copied.hint("shuffle_hash"), ["key", "salt"]).filter("doc > first").select("doc", "key", F.lit(None).cast("binary").alias("spans")).distinct()
+    told = spans.union(copies).withColumn("whole", F.col("spans").isNull())
+    joined_ = rows.join(told.hint("shuffle_hash"), ["doc", "key"], "left").select("doc", "key", "text", "spans", "whole")
+    out = joined_.mapInArrow(_cut(width, keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     out = out.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))
     return out if keep_text else out.drop("kept")
 
