@@ -589,12 +589,12 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     stands = firsts.select("doc", "key")
     standing = rows.join(stands.hint("shuffle_hash"), ["doc", "key"])
     names = standing.select("doc", "text").mapInArrow(_emit_hashes(width, gram, buckets), "bucket int, docs binary, slots binary, names binary")
-    names = names.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_names(hot), "doc long, name long")
+    names = names.repartitionById(partitions, F.col("bucket") % partitions).sortWithinPartitions("bucket").mapInArrow(_shared_names(hot), "doc long, name long")
     wanted = names.groupBy("doc").agg(F.collect_list("name").alias("names")).join(stands, "doc")
     standing = rows.join(wanted.hint("shuffle_hash"), ["doc", "key"]).select("doc", "key", "text", "names")
     sent = standing.mapInArrow(_emit_runs(width, gram, buckets), "bucket int, run binary, part int, found binary")
-    found = sent.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge_runs(width, gram, buckets), "part int, found binary")
-    spans = found.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(_gather, "doc long, key long, spans binary")
+    found = sent.repartitionById(partitions, F.col("bucket") % partitions).sortWithinPartitions("bucket").mapInArrow(_merge_runs(width, gram, buckets), "part int, found binary")
+    spans = found.repartitionById(partitions, F.col("part") % partitions).sortWithinPartitions("part").mapInArrow(_gather, "doc long, key long, spans binary")
     copied = salted.select("key", "salt").join(firsts.filter("n > 1").select("key", F.col("doc").alias("first")), "key")
     copies = rows.select("doc", "key", salt).join(copied.hint("shuffle_hash"), ["key", "salt"]).filter("doc > first").select("doc", "key", F.lit(None).cast("binary").alias("spans")).distinct()
     told = spans.union(copies).withColumn("whole", F.col("spans").isNull())
