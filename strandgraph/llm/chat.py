@@ -22,6 +22,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from .native import running_sums
 from pyspark.sql import types as T
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -169,20 +171,19 @@ def parse(formatted: Column) -> Column:
 
 def loss_spans(formatted: Column, trained: str = "assistant") -> Column:
     """array<struct<start,end>>: code points of a formatted conversation that carry loss (the trained role's texts)."""
-    return F.aggregate(
-        F.filter(F.split(formatted, r"<\|im_end\|>\n", -1), lambda p: p != ""),
-        F.expr("named_struct('at', 0L, 'out', cast(array() as array<struct<start:bigint,end:bigint>>))"),
-        lambda a, p: F.struct(
-            (a["at"] + F.length(p) + len(END) + 1).alias("at"),
-            F.when(
-                _unescape_role(F.substring(F.substring_index(p, "\n", 1), len(START) + 1, F.length(p))) == trained,
-                F.array_append(a["out"], F.struct((a["at"] + F.length(F.substring_index(p, "\n", 1)) + 1).alias("start"), (a["at"] + F.length(p)).alias("end"))),
-            )
-            .otherwise(a["out"])
-            .alias("out"),
-        ),
-        lambda a: a["out"],
-    )
+
+    def spans(parts: Column) -> Column:
+        starts = running_sums(F.transform(parts, lambda p: F.length(p) + len(END) + 1))
+
+        def span(p: Column, at: Column) -> Column:
+            head = F.substring_index(p, "\n", 1)
+            own = _unescape_role(F.substring(head, len(START) + 1, F.length(p))) == trained
+            return F.when(own, F.struct((at + F.length(head) + 1).alias("start"), (at + F.length(p)).alias("end")))
+
+        return F.filter(F.zip_with(parts, starts, span), lambda s: s.isNotNull())
+
+    parts = F.filter(F.split(formatted, r"<\|im_end\|>\n", -1), lambda p: p != "")
+    return F.get(F.transform(F.array(parts), spans), 0)
 
 
 def format_chats(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
