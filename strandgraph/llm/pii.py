@@ -2,10 +2,10 @@
 
 Patterns propose spans (leftmost, not overlapping within a kind), validators
 confirm them (Luhn for cards, mod 97 for account numbers, number ranges for
-addresses), and words near a span adjust its score.  Base kinds (email, ip,
-card, phone) are kept once valid; further kinds (iban, ssn) are kept from
-``threshold`` on, so a bare ssn-like number without a context word is not
-reported.
+addresses, the variety of characters for secrets), and words near a span adjust
+its score.  Base kinds (email, ip, card, phone) are kept once valid; further
+kinds (iban, ssn, secret) are kept from ``threshold`` on, so a bare ssn-like
+number or a random-looking word without a context word is not reported.
 
 Patterns are linear in the text: runs are taken possessively, and an attempt
 starts only at a run's first character or where the last match ended, which
@@ -20,8 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .native import running_sums
+
 #: Order of kinds among spans that start together.
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE = KINDS[:4]
 #: Length of the account numbers of each country in the registry.
 IBAN_LENGTHS = {
@@ -40,9 +42,10 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": rf"(?<![A-Za-z0-9])(?:{'|'.join(_IBANS)})(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}+",
 }
 #: A cheap test that a text may hold the kind at all.
-HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "iban": "[A-Z]{2}[0-9]{2}", "ssn": "[0-9]-[0-9]{2}-[0-9]"}
+HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "iban": "[A-Z]{2}[0-9]{2}", "ssn": "[0-9]-[0-9]{2}-[0-9]", "secret": "[A-Za-z0-9_-]{16}"}
 CONTEXT = {
     "email": "mail|contact|write to",
     "ip": r"\bip\b|address|server|host",
@@ -50,11 +53,16 @@ CONTEXT = {
     "phone": r"phone|tel\b|call|mobile|fax",
     "iban": "iban|account|bank|konto",
     "ssn": "ssn|social security",
+    "secret": "pass|pwd|secret|token|key|credential|auth|bearer",
 }
 #: Score of a proposal that its validator confirms, before context; a context word adds CONTEXT_BONUS.
-BASE_SCORE = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3}
+BASE_SCORE = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3, "secret": 0.3}
 CONTEXT_BONUS = 0.2
 CONTEXT_BEFORE, CONTEXT_AFTER = 40, 20
+#: Key ids that need no context word, of published forms.
+KEY_ID = r"^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^xox[abprs]-[A-Za-z0-9-]{10,}$"
+#: A secret has letters and digits, and so many different characters.
+VARIETY = 8
 
 
 def _digits(value: Column) -> Column:
@@ -89,19 +97,20 @@ def _valid(kind: str, value: Column) -> Column:
         return F.length(_digits(value)).between(9, 15)
     if kind == "iban":
         return mod97(F.replace(value, F.lit(" "), F.lit("")))
+    if kind == "secret":
+        mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+        return F.when(mixed, F.size(F.array_distinct(F.split(F.lower(value), ""))) >= VARIETY).otherwise(F.lit(False))
     return F.lit(True)
 
 
 def _positions(kind: str) -> Column:
     """Matches with code-point offsets, from the texts between them."""
-    return F.expr(f"""
-        if(_m_{kind} is null or size(_m_{kind}) = 0, cast(array() as array<struct<start:bigint,end:bigint,value:string>>),
-           aggregate(_m_{kind},
-             named_struct('i', 0, 'at', 0L, 'out', cast(array() as array<struct<start:bigint,end:bigint,value:string>>)),
-             (a, m) -> named_struct('i', a.i + 1,
-                'at', a.at + length(_g_{kind}[a.i]) + length(m),
-                'out', array_append(a.out, named_struct('start', a.at + length(_g_{kind}[a.i]), 'end', a.at + length(_g_{kind}[a.i]) + length(m), 'value', m))),
-             a -> a.out))""")
+    found, gaps = F.col(f"_m_{kind}"), F.col(f"_g_{kind}")
+    # A match starts behind all gaps and matches before it, and its own gap.
+    before = running_sums(F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.length(m) + F.length(g)))
+    told = F.zip_with(found, F.zip_with(before, gaps, lambda at, g: at + F.length(g)), lambda m, at: F.struct(at.alias("start"), (at + F.length(m)).alias("end"), m.alias("value")))
+    some = F.filter(told, lambda s: s["value"].isNotNull())
+    return F.when(F.coalesce(F.size(found), F.lit(0)) > 0, some).otherwise(F.expr("cast(array() as array<struct<start:bigint,end:bigint,value:string>>)"))
 
 
 def find_pii(df: DataFrame, text: str = "text", threshold: float = 0.5, keep_score: bool = True) -> DataFrame:
@@ -123,7 +132,8 @@ def find_pii(df: DataFrame, text: str = "text", threshold: float = 0.5, keep_sco
         def span(s: Column) -> Column:
             first = F.greatest(F.lit(1).cast("long"), s["start"] + 1 - CONTEXT_BEFORE).cast("int")
             near = F.substring(body, first, (s["end"] - s["start"] + CONTEXT_BEFORE + CONTEXT_AFTER).cast("int"))
-            score = F.lit(BASE_SCORE[kind]) + F.when(near.rlike("(?i)" + CONTEXT[kind]), CONTEXT_BONUS).otherwise(0.0)
+            first_score = F.when(s["value"].rlike(KEY_ID), 0.9).otherwise(BASE_SCORE[kind]) if kind == "secret" else F.lit(BASE_SCORE[kind])
+            score = first_score + F.when(near.rlike("(?i)" + CONTEXT[kind]), CONTEXT_BONUS).otherwise(0.0)
             return F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value"), F.round(score, 2).alias("score"))
 
         spans = F.transform(F.filter(f"_s_{kind}", lambda s: _valid(kind, s["value"])), span)
@@ -147,7 +157,7 @@ def redact(df: DataFrame, text: str = "text", pii: str = "pii") -> DataFrame:
 
 
 def op5_pii(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_iban, n_ssn, n_secret."""
     found = find_pii(docs.select("doc_id", "text")).drop("text")
     label = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
     base = F.filter("pii", lambda s: s["rank"] < len(BASE))
@@ -155,4 +165,4 @@ def op5_pii(docs: DataFrame) -> DataFrame:
     def count(kind: str) -> Column:
         return F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *(count(k) for k in BASE), F.sha2(F.array_join(F.transform(base, label), ","), 256).alias("base_sha256"), F.array_join(F.transform("pii", label), ",").alias("spans"))
+    return found.select("doc_id", *(count(k) for k in BASE), F.sha2(F.array_join(F.transform(base, label), ","), 256).alias("base_sha256"), F.array_join(F.transform("pii", label), ",").alias("spans"), *(count(k) for k in KINDS[len(BASE) :]))
