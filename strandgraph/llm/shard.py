@@ -12,9 +12,11 @@ bounded table.  A cell is split by a hash of the row into buckets of about
 ordered by many tasks; a row's rank is its cell's offset, its bucket's offset
 and its place in the bucket.  Shard and slot follow from the rank alone.
 
-Null metadata is a value of its own; a null text has size 8 and crc 0; equal
+Categories are numbered in the order of their values, so that neighbours on the
+curve are neighbours in value.  Null metadata is a value of its own; a null text has size 8 and crc 0; equal
 rows are ordered arbitrarily among themselves, which no output shows; an empty
-table gives an empty result; other columns pass through.
+table gives an empty result; other columns pass through, and a clash with an
+output or helper name is refused.  Texts are only measured, whatever their length.
 """
 
 from __future__ import annotations
@@ -27,6 +29,10 @@ from pyspark.sql import functions as F
 from .sparkops import checkpoint
 
 BITS = 5
+#: Buckets whose offsets are summed in one task.
+GROUP = 1024
+#: Columns that are made and dropped on the way.
+HELPERS = ("_count", "_before", "_total", "_buckets", "_bucket", "_place", "_n", "_earlier", "_rank", "_group", "_in_group", "_groups")
 
 
 def hilbert(coordinates: list[np.ndarray], bits: int = BITS) -> np.ndarray:
@@ -55,9 +61,36 @@ def hilbert(coordinates: list[np.ndarray], bits: int = BITS) -> np.ndarray:
     return index
 
 
-def category(column: str, bits: int = BITS) -> Column:
-    """A categorical dimension as a number of ``bits`` bits; null has its own."""
-    return F.pmod(F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("\0null"))), F.lit(1 << bits))
+def _value(column: str) -> Column:
+    """A category as a string that sorts; null comes first."""
+    return F.coalesce(F.concat(F.lit("1"), F.col(column).cast("string")), F.lit("0"))
+
+
+def category(df: DataFrame, column: str, bits: int = BITS) -> Column:
+    """A categorical dimension as a number of ``bits`` bits that follows the order of its values; null comes first.
+
+    Up to ``2 ** bits`` values have codes of their own.  More of them are cut
+    into ranges of about equally many rows; at most ``2 ** bits`` limits come
+    to the driver, and no task holds more than a range of values.
+    """
+    most = 1 << bits
+    values = checkpoint(df.groupBy(_value(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
+    if (distinct := values.count()) <= most:
+        limits = [(r["_v"], i * most // distinct) for i, r in enumerate(values.orderBy("_v").collect())]
+    else:
+        ranged = checkpoint(values.repartitionByRange("_v").withColumn("_p", F.spark_partition_id()))
+        whole = Window.partitionBy(F.lit(0))
+        # A row for each range.
+        ranges = ranged.groupBy("_p").agg(F.sum("_n").alias("_n"))
+        ranges = ranges.select("_p", F.coalesce(F.sum("_n").over(whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"), F.sum("_n").over(whole).alias("_all"))
+        within = Window.partitionBy("_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum("_n").over(within), F.lit(0)) + F.col("_first")
+        coded = ranged.join(F.broadcast(ranges), "_p").select("_v", F.floor(before * most / F.col("_all")).alias("_code"))
+        limits = [(r["_v"], r["_code"]) for r in coded.groupBy("_code").agg(F.min("_v").alias("_v")).orderBy("_code").collect()]
+    out = F.lit(0)
+    for low, code in limits:
+        out = F.when(_value(column) >= low, code).otherwise(out) if code else out
+    return out.cast("long")
 
 
 def magnitude(column: str, bits: int = BITS) -> Column:
@@ -73,9 +106,9 @@ def curve(*dimensions: Column, bits: int = BITS) -> Column:
     return index(*dimensions)
 
 
-def hilbert_shards(df: DataFrame, cell: Column, shards: int, key: str, bucket_rows: int = 1_000) -> DataFrame:
+def hilbert_shards(df: DataFrame, cell: Column, shards: int, key: str, bucket_rows: int = 256) -> DataFrame:
     """df (without large columns) with hilbert, shard and slot, by the law ``rows``."""
-    if clash := {"hilbert", "shard", "slot"} & {*df.columns}:
+    if clash := {"hilbert", "shard", "slot", *HELPERS} & {*df.columns}:
         raise ValueError(f"the input already has {sorted(clash)}")
     rows = checkpoint(df.withColumn("hilbert", cell))
     everything = Window.partitionBy(F.lit(0))
@@ -90,8 +123,13 @@ def hilbert_shards(df: DataFrame, cell: Column, shards: int, key: str, bucket_ro
     salted = rows.join(F.broadcast(cells), "hilbert").withColumn("_bucket", F.pmod(F.xxhash64(*rows.columns), F.col("_buckets")))
     bucket = Window.partitionBy("hilbert", "_bucket")
     placed = salted.withColumn("_place", F.row_number().over(bucket.orderBy(key, *(c for c in df.columns if c != key))) - 1)
-    offsets = salted.groupBy("hilbert", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = offsets.select("hilbert", "_bucket", F.coalesce(F.sum("_n").over(Window.partitionBy("hilbert").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"))
+    # Offsets of buckets within their cell, in two steps, so that no task holds all buckets of a hot cell.
+    sizes = salted.groupBy("hilbert", "_bucket").agg(F.count(F.lit(1)).alias("_n")).withColumn("_group", F.floor(F.col("_bucket") / GROUP))
+    earlier = lambda *of: Window.partitionBy(*of).rowsBetween(Window.unboundedPreceding, -1)
+    groups = sizes.groupBy("hilbert", "_group").agg(F.sum("_n").alias("_n"))
+    groups = groups.select("hilbert", "_group", F.coalesce(F.sum("_n").over(earlier("hilbert").orderBy("_group")), F.lit(0)).alias("_groups"))
+    sizes = sizes.withColumn("_in_group", F.coalesce(F.sum("_n").over(earlier("hilbert", "_group").orderBy("_bucket")), F.lit(0)))
+    offsets = sizes.join(groups, ["hilbert", "_group"]).select("hilbert", "_bucket", (F.col("_groups") + F.col("_in_group")).alias("_earlier"))
     rank = F.col("_before") + F.col("_earlier") + F.col("_place")
     out = placed.join(offsets, ["hilbert", "_bucket"]).withColumn("_rank", rank)
     out = out.withColumn("shard", F.expr(f"cast(_rank * {shards} div _total as int)"))
@@ -109,6 +147,6 @@ def op4_hilbert_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
     """Per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, hilbert."""
     text = F.coalesce(F.col("text"), F.lit(""))
     meta = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), "lang", "source")
-    cell = curve(category("lang"), category("source"), magnitude("size"))
+    cell = curve(category(docs, "lang"), category(docs, "source"), magnitude("size"))
     out = hilbert_shards(meta, cell, shards, "doc_id")
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")

@@ -102,7 +102,7 @@ def test_hilbert_curve_steps_by_one():
 
 def test_small_buckets_keep_the_law(docs):
     df = docs.select("doc_id", "lang", "source")
-    got = shard.hilbert_shards(df, shard.curve(shard.category("lang"), shard.category("source")), 5, "doc_id", bucket_rows=3).collect()
+    got = shard.hilbert_shards(df, shard.curve(shard.category(df, "lang"), shard.category(df, "source")), 5, "doc_id", bucket_rows=3).collect()
     assert sorted((r["shard"], r["slot"]) for r in got) == [(s, i) for s in range(5) for i in range(sum(r["shard"] == s for r in got))]
 
 
