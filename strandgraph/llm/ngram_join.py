@@ -46,7 +46,7 @@ from .sparkops import bounded_batches, checkpoint
 #: Words end at space, tab, line feed, vertical tab, form feed and carriage return only.
 WORD = np.ones(256, bool)
 WORD[[32, 9, 10, 11, 12, 13]] = False
-#: Seeds of the hash orders that candidates must pass besides the first.
+#: Seeds of the hash orders that candidates must pass besides the first; they do not look at frequencies.
 ORDERS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
 
@@ -223,7 +223,7 @@ def _verify(percent: int):
         codes = _prefix_pairs(tokens, owner, size, shared, least, tokens, levels)
         for seed in ORDERS:
             if len(codes):
-                codes = np.intersect1d(codes, _prefix_pairs(tokens, owner, size, shared, least, B.mix64(tokens ^ np.uint64(seed)), levels), assume_unique=True)
+                codes = np.intersect1d(codes, _prefix_pairs(tokens, owner, size, shared, least, B.mix64(tokens ^ np.uint64(seed)), np.zeros(len(tokens), np.int32)), assume_unique=True)
         a, b = codes // len(size), codes % len(size)
         fits = (np.minimum(size[a], size[b]) * 100 >= np.maximum(size[a], size[b]) * percent) & ((block[a] != block[b]) | (not between))
         a, b = a[fits], b[fits]
