@@ -16,9 +16,11 @@ large the benchmark is; between every ``blocks_per_pass`` blocks the documents
 are checkpointed.
 
 Null and empty texts have no words and no hits; null or empty items have no
-windows; items without an id are searched too, but not named; repeated documents give repeated rows; repeated items count once each
-id; an empty benchmark leaves every document clean.  Other columns pass
-through; a clash with an output name is refused.
+windows; items without an id are searched too, but not named; repeated
+documents give repeated rows; repeated items count once each id; an empty
+benchmark leaves every document clean.  A text of any length is searched whole,
+in memory that grows with that text alone.  Other columns pass through; a clash
+with an output name is refused.
 """
 
 from __future__ import annotations
@@ -160,9 +162,11 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", item_id
                 hit = np.cumsum(marks[:-1]) > 0
                 names: dict[int, set] = {}
                 for size, places, hashes in found:
-                    owner = rows[places]
-                    for row in np.unique(owner):
-                        names.setdefault(int(row), set()).update(index.ids[i] for i in index.table(size).items_of(hashes[owner == row]) if index.ids[i] is not None)
+                    order = np.argsort(rows[places], kind="stable")
+                    owner, sorted_hashes = rows[places][order], hashes[order]
+                    edges = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]])) if len(owner) else np.zeros(0, np.int64)
+                    for a, b in zip(edges[:-1], edges[1:], strict=True):
+                        names.setdefault(int(owner[a]), set()).update(index.ids[i] for i in index.table(size).items_of(sorted_hashes[a:b]) if index.ids[i] is not None)
                 old_spans = None if first else batch.column(width + 1).to_pylist()
                 old_items = None if first else batch.column(width + 2).to_pylist()
                 spans, listed = [], []

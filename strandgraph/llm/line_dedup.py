@@ -94,7 +94,7 @@ def repeated_runs(lines: DataFrame, min_lines: int, min_words: int | None = None
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_lines: int = 2, min_words: int | None = None) -> DataFrame:
     """docs with the text's kept lines, n_lines and n_kept."""
-    if clash := {"n_lines", "n_kept", "_doc", "_key", "_gone", "_first"} & {*docs.columns}:
+    if clash := {"n_lines", "n_kept", "_doc", "_key", "_gone", "_first", "_lines", "_kept"} & {*docs.columns}:
         raise ValueError(f"the input already has {sorted(clash)}")
     long = lambda line: F.lit(False) if min_words is None else has_words(line, min_words)
     doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))
@@ -120,7 +120,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
         .when(whole, F.expr("cast(array() as array<string>)"))
         .when(copy, F.filter("_lines", lambda line: ~long(line)))
         .when(F.col("_gone").isNull(), F.col("_lines"))
-        .otherwise(F.expr("array_compact(transform(_lines, (x, i) -> if(array_contains(_gone, i), null, x)))"))
+        .otherwise(F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone"), lambda i: F.get("_lines", i)))
     )
     out = split.withColumn("_kept", kept)
     return out.select(

@@ -7,7 +7,7 @@ passages matter, and the attention-weighted passage representation is scored.
 
 The network is fitted on the driver, on at most ``sample`` labelled documents
 chosen by a hash of their id (texts above ``longest`` bytes are not used to
-fit); this is the only bounded part.  Scoring reads every passage of every
+fit, which bounds the driver's features to 215 MB); this is the only bounded part.  Scoring reads every passage of every
 text in Arrow batches, without a shuffle.  Fitting is deterministic: the
 sample does not depend on partitioning, and seeds are fixed.
 
@@ -176,12 +176,14 @@ def training_bags(docs: DataFrame, labels: DataFrame, label: str, sample: int, l
             made = [x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made, pa.binary())], names=["doc_id", "y", "x"])
 
+    # Of rows that share a sampled doc_id the smallest text is taken, so that the bound holds.
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
     rows = texts.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, x binary").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
     return [np.frombuffer(r["x"], np.float32).reshape(-1, WIDTH) for r in rows], np.array([r["y"] for r in rows], np.float32)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None, label: str = "quality", sample: int = 6000, longest: int = 1 << 20, passage_bytes: int = 1024) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None, label: str = "quality", sample: int = 6000, longest: int = 1 << 16, passage_bytes: int = 1024) -> DataFrame:
     """docs with score (0 to 1; higher: label 1 is likelier) and predicted (0 or 1)."""
     if clash := {"score", "predicted"} & {*docs.columns}:
         raise ValueError(f"the input already has {sorted(clash)}")
