@@ -114,11 +114,8 @@ class Model:
         return self.forward(x, starts, row)["p"].astype(np.float64)
 
 
-def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 32, attention: int = 16, epochs: int = 30, batch: int = 64, rate: float = 3e-3, decay: float = 1e-4, seed: int = 7) -> Model:
-    """Fit by Adam on the cross entropy of the document labels."""
-    if len({*labels.tolist()}) < 2:
-        return Model(np.zeros(WIDTH), np.ones(WIDTH), {}, float(labels.mean()) if len(labels) else 0.5)
-    rng = np.random.default_rng(seed)
+def start(bags: list[np.ndarray], hidden: int, attention: int, rng: np.random.Generator) -> Model:
+    """A model with random weights, scaled to the passages."""
     every = np.concatenate(bags)
     model = Model(every.mean(0), every.std(0) + 0.02, {})
     w = model.weights
@@ -129,6 +126,35 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 32, attention:
     w["attend"] = rng.normal(0, 0.1, attention).astype(np.float32)
     w["score"] = rng.normal(0, 0.1, hidden).astype(np.float32)
     w["score0"] = np.zeros(1, np.float32)
+    return model
+
+
+def gradients(model: Model, f: dict[str, np.ndarray], starts: np.ndarray, row: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean cross entropy by each weight, after the forward pass ``f``."""
+    w = model.weights
+    d = ((f["p"] - labels) / len(labels)).astype(w["score"].dtype)
+    grad = {"score": f["m"].T @ d, "score0": d.sum(keepdims=True)}
+    dm = (d[:, None] * w["score"])[row]
+    dh = f["a"][:, None] * dm
+    da = (f["h"] * dm).sum(1)
+    de = f["a"] * (da - np.add.reduceat(f["a"] * da, starts)[row])
+    ug = f["u"] * f["g"]
+    grad["attend"] = ug.T @ de
+    dug = de[:, None] * w["attend"]
+    du, dg = dug * f["g"] * (1 - f["u"] ** 2), dug * ug * (1 - f["g"])
+    grad["value"], grad["gate"] = f["h"].T @ du, f["h"].T @ dg
+    dz = (dh + du @ w["value"].T + dg @ w["gate"].T) * (f["z"] > 0)
+    grad["encode"], grad["encode0"] = f["x"].T @ dz, dz.sum(0)
+    return grad
+
+
+def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 32, attention: int = 16, epochs: int = 30, batch: int = 64, rate: float = 3e-3, decay: float = 1e-4, seed: int = 7) -> Model:
+    """Fit by Adam on the cross entropy of the document labels."""
+    if len({*labels.tolist()}) < 2:
+        return Model(np.zeros(WIDTH), np.ones(WIDTH), {}, float(labels.mean()) if len(labels) else 0.5)
+    rng = np.random.default_rng(seed)
+    model = start(bags, hidden, attention, rng)
+    w = model.weights
     first, second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
     step = 0
     for epoch in range(epochs):
@@ -139,19 +165,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 32, attention:
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             row = np.repeat(np.arange(len(pick)), sizes)
             f = model.forward(np.concatenate([bags[i] for i in pick]), starts, row)
-            d = ((f["p"] - labels[pick]) / len(pick)).astype(np.float32)
-            grad = {"score": f["m"].T @ d, "score0": d.sum(keepdims=True)}
-            dm = (d[:, None] * w["score"])[row]
-            dh = f["a"][:, None] * dm
-            da = (f["h"] * dm).sum(1)
-            de = f["a"] * (da - np.add.reduceat(f["a"] * da, starts)[row])
-            ug = f["u"] * f["g"]
-            grad["attend"] = ug.T @ de
-            dug = de[:, None] * w["attend"]
-            du, dg = dug * f["g"] * (1 - f["u"] ** 2), dug * ug * (1 - f["g"])
-            grad["value"], grad["gate"] = f["h"].T @ du, f["h"].T @ dg
-            dz = (dh + du @ w["value"].T + dg @ w["gate"].T) * (f["z"] > 0)
-            grad["encode"], grad["encode0"] = f["x"].T @ dz, dz.sum(0)
+            grad = gradients(model, f, starts, row, labels[pick])
             step += 1
             now = rate * (1 - 0.9 * epoch / epochs)
             for k, g in grad.items():
