@@ -6,48 +6,9 @@ import random
 
 import pytest
 
-from strandgraph.llm import decontam, fingerprint, line_dedup, ngram_join, pii
 from strandgraph.operators import search
 
 
-def long_lines(docs, m, w):
-    """(doc_id, n_lines, kept text): repeated runs of m lines and repeated lines of w words go."""
-    seen, out = set(), []
-    for d, t in sorted(docs, key=lambda r: r[0]):
-        lines, gone = t.split("\n"), set()
-        for size in {1, m}:
-            for k in range(len(lines) - size + 1):
-                run = tuple(lines[k : k + size])
-                if size < m and len(run[0].split()) < w:
-                    continue
-                if run in seen:
-                    gone.update(range(k, k + size))
-                seen.add(run)
-        out.append((d, len(lines), len(lines) - len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone)))
-    return out
-
-
-@pytest.mark.parametrize("m", [1, 2, 3])
-def test_long_single_lines(spark, m):
-    rng = random.Random(5)
-    passage, short = " ".join(f"p{i}" for i in range(50)), " ".join(f"q{i}" for i in range(49))
-    pool = [passage, short, passage + " more", "a", "b", "c d"]
-    plain = [(1, f"x\n{passage}\ny"), (2, f"u\n{passage}\nv"), (3, f"s\n{short}\nt"), (4, f"k\n{short}\nl"), (5, passage), (6, passage), (7, f"{passage}\nend"), (8, f"{passage}\nend"), (9, f"n1 {passage}\nend2"), (10, f"n1 {passage}\nend2"), (11, "z" * 200), (12, "z" * 200)]
-    plain += [(d, "\n".join(rng.choice([*pool, f"own {d} {k}"]) for k in range(rng.randint(1, 6)))) for d in range(20, 60)]
-    done = line_dedup.dedup_lines(spark.createDataFrame(plain, "doc_id long, text string").repartition(3), min_lines=m, min_words=50)
-    got = sorted((r["doc_id"], r["n_lines"], r["n_kept"], r["text"]) for r in done.collect())
-    assert got == long_lines(plain, m, 50)
-
-
-def test_pipeline_deletes_a_long_line_between_others(spark):
-    import corpus_pipeline
-
-    passage = " ".join(f"p{i}" for i in range(60))
-    rows = [(d, f"first {d}\n{passage}\nlast {d}", "en", "s", 0) for d in (1, 2)]
-    out = corpus_pipeline.line_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
-    assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: rows[0][1], 2: "first 2\nlast 2"}
-
-
 def nearest(vectors, queries, k):
     def cosine(a, b):
         norm = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
@@ -91,41 +52,3 @@ def test_vector_top_k_takes_every_hundredth(spark):
     got = sorted((r["q"], r["rank"], r["vec_id"], r["score"]) for r in e.queries()["vector_top_k_hundredths"](spark, SF).collect())
     want = nearest(vectors, [x for x in vectors if x[0] % 100 == 0], 5)
     assert [r[:3] for r in got] == [r[:3] for r in want] and all(math.isclose(a[3], b[3], abs_tol=1e-5) for a, b in zip(got, want, strict=True))
-
-
-def test_fingerprints_of_very_long_texts(spark):
-    """Three quarters of 100,000 lines stay, and of 3,000,000 (level 5); other lines are unlike."""
-    assert 2 * fingerprint.LANES * 8 ** (fingerprint.LEVELS - 1) >= 1 << 30
-    for n in (100_000, 3_000_000):
-        text = lambda a, b: f"array_join(transform(sequence({a}, {b}), i -> cast(i as string)), chr(10))"
-        df = spark.range(1).selectExpr(f"{text(1, n)} as x", f"{text(n // 4 + 1, n + n // 4)} as y", f"{text(2 * n, 3 * n - 1)} as z")
-        p = df.select(*(fingerprint.fingerprint(c).alias(c) for c in "xyz"))
-        near, far = p.select(fingerprint.likeness(p["x"], p["y"]), fingerprint.likeness(p["x"], p["z"])).first()
-        assert near > 0.3 and far < 0.1
-
-
-@pytest.mark.parametrize("order", [1, -1])
-def test_near_copies_of_a_text_that_shares_its_id(spark, order):
-    """A long text without copies must not raise the threshold of a short one with the same id."""
-    long = " ".join(f"l{i}" for i in range(2000))
-    short = [" ".join(f"s{i}" for i in range(40)) + f" end{j}" for j in range(2)]
-    plain = [(1, long), (1, short[0]), (2, short[1]), (3, "some other words here")][::order]
-    got = ngram_join.ngram_jaccard_join(spark.createDataFrame(plain, "doc_id long, text string").coalesce(1)).collect()
-    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in got) == [(1, 38, 1, 1), (1, 1997, 1, 0), (2, 38, 1, 1), (3, 1, 3, 0)]
-
-
-@pytest.mark.parametrize("block_bytes", [32 << 20, 100])
-def test_benchmark_items_without_an_id(spark, block_bytes):
-    words = [" ".join(f"{c}{i}" for i in range(30)) for c in "abc"]
-    bench = spark.createDataFrame([(None, words[0]), (7, words[1]), (None, None), (None, "zz yy")], "item_id long, text string")
-    docs = spark.createDataFrame([(1, f"x {words[0]} y"), (2, f"x {words[1]} y"), (3, words[2]), (4, "zz yy"), (5, words[0] + " . " + words[1])], "doc_id long, text string")
-    found = decontam.decontaminate(docs, bench, block_bytes=block_bytes).collect()
-    assert {r["doc_id"]: (r["n_hit"], r["items"]) for r in found} == {1: (30, []), 2: (30, ["7"]), 3: (0, []), 4: (2, []), 5: (60, ["7"])}
-
-
-def test_account_numbers_before_other_words(spark):
-    gb, de, no = "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "NO93 8601 1117 947"
-    texts = [f"{gb} BIC ABCDEF", f"{gb} 2024", f"{de} 12 EUR", f"{no} {gb}", f"{gb}5", f"{gb[:-1]}3 BIC"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = {r["doc_id"]: [(s["start"], s["value"]) for s in r["pii"] if s["kind"] == "iban"] for r in pii.find_pii(df).collect()}
-    assert found == {0: [(0, gb)], 1: [(0, gb)], 2: [(0, de)], 3: [(0, no), (len(no) + 1, gb)], 4: [], 5: []}
