@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import divergence, incidents as inc, traverse
 from .graph import Graph
 
-#: Intents in order; the first whose pattern occurs decides.
+# Intents in order (the first whose pattern occurs decides), and words that name no node.
 INTENTS = (
-    ("root-cause", r"\b(root[ -]?cause|why (is|are|did|does|was)|what caused|cause of|fail(s|ing|ed|ure)?|broken|debug)\b"),
-    ("blast-radius", r"\b(blast[ -]?radius|impact(s|ed)?|affect(s|ed)?|what breaks|break if|depends? on (me|it|this)|dependents?)\b"),
-    ("divergence", r"\b(diverg\w*|drift(s|ed)?|mismatch(es)?|declared|out of sync)\b"),
-    ("incidents", r"\b(incidents?|errors?|outages?|exceptions?|alerts?)\b"),
-    ("observed", r"\b(observed|production|runtime|traffic|telemetry|live)\b"),
-    ("dependencies", r"\b(depend(s|ency|encies)?|uses?|calls?|upstream|downstream)\b"),
+    ("root-cause", r"\b(why|root[\s-]?cause|failing|fail(?:s|ed)?|breaking|broke(?:n)?|crash(?:ing|ed)?|throw(?:ing|s)?|culprit|5\d\d)\b"),
+    ("blast-radius", r"\b(blast|break[\s-]?if|breaks[\s-]?if|impact|downstream|dependents?|redeploy|who\s+(?:uses|calls|depends)|what\s+depends\s+on|affect(?:s|ed)?)\b"),
+    ("divergence", r"\b(diverg\w*|weird|mismatch|drift|out\s+of\s+sync|inconsistent|disagree\w*|declared\s+vs|anything\s+wrong)\b"),
+    ("incidents", r"\b(incidents?|recent\s+(?:errors?|failures?)|error\s+history|failure\s+history)\b"),
+    ("observed", r"\b(at\s+runtime|in\s+prod(?:uction)?|actually\s+call\w*|really\s+call\w*|observed|runtime\s+traffic)\b"),
+    ("dependencies", r"\b(depend\w*|calls?|uses?|imports?|relies\s+on|needs?)\b"),
+)
+STOP_WORDS = tuple(
+    "the a an is are was were be been being of to in on at by for with and or but if as this that these those it its do does did has have had what which who whom how when where my "
+    "me i we you they them from into about would will can could should anything everything something all any some no not so up out over get got show tell explain find give happen "
+    "happens happening here there system code service node graph".split()
+)
+INTENT_WORDS = tuple(
+    "why root cause failing fail fails failed breaking broke broken crash crashing crashed throw throwing throws culprit blast radius break breaks impact downstream dependent dependents "
+    "redeploy affect affects affected diverge divergence divergences weird mismatch drift inconsistent disagree declared observed incident incidents recent errors error failures failure "
+    "history runtime production prod traffic actually really depend depends dependency dependencies call calls use uses using import imports relies rely needs need sync".split()
 )
-STOP_WORDS = tuple("a an and are as at be by can did do does for from has have how if in into is it its me my of on or our so than that the their then there these this to was we were what when where which who why will with you your".split())
-INTENT_WORDS = tuple("root cause causes caused fail fails failing failed failure broken debug blast radius impact impacts impacted affect affects affected breaks break dependents dependent divergence divergences diverge drift mismatch declared sync incident incidents error errors outage exception exceptions alert alerts observed production runtime traffic telemetry live depend depends dependency dependencies use uses call calls upstream downstream".split())
 
 
 def intent(question: Column) -> Column:
@@ -38,31 +46,49 @@ def tokens(text: Column, drop_common: bool = True) -> Column:
     return F.array_except(words, F.array(*(F.lit(w) for w in dict.fromkeys(STOP_WORDS + INTENT_WORDS))))
 
 
+def _body(node: Column) -> Column:
+    """What an id says behind its type."""
+    return F.regexp_replace(node, "^[^:]*:", "")
+
+
 def entity_scores(nodes: DataFrame, questions: DataFrame, key: str, question: str) -> DataFrame:
-    """(key, node, score, via): nodes that share a token with a question, scored.
+    """(key, node, score, via): nodes that a question names or shares a word with, scored.
 
-    A node named in the question scores 0.9 or more, others by coverage of
-    their tokens.  Tokens are joined, so a question meets only nodes that share
-    one with it.
+    A node whose id (behind the type) or name stands in the question scores 0.9
+    or more, others by the share of the question's words they have.  Words are
+    joined, and names are joined with the question's substrings, so a question
+    meets only nodes it has to do with.  Frontier nodes are left out.
     """
     asked = questions.select(key, F.lower(question).alias("_text"), tokens(F.col(question)).alias("_asked"))
-    known = nodes.select(F.col("id").alias("node"), "name", tokens(F.concat_ws(" ", "id", "name"), drop_common=False).alias("_known"))
-    shared = asked.select(key, F.explode("_asked").alias("t")).join(known.select("node", F.explode("_known").alias("t")), "t").groupBy(key, "node").agg(F.count(F.lit(1)).alias("_n"))
-    joined = shared.join(asked, key).join(known, "node")
-    coverage = F.col("_n") / F.size("_known")
-    by_id = F.contains("_text", F.lower("node"))
-    by_name = F.coalesce(F.contains("_text", F.lower("name")) & (F.length("name") >= 2), F.lit(False))
-    score = F.when(by_id | by_name, F.greatest(F.lit(0.9), coverage)).otherwise(F.least(F.lit(0.85), 0.3 + 0.7 * coverage))
-    via = F.when(by_id, "id").when(by_name, "label").otherwise("token")
-    return joined.select(key, "node", F.round(score, 6).alias("score"), via.alias("via"))
+    name = F.coalesce("name", "id")
+    # Null for a table without types.
+    kind = F.col("type") if "type" in nodes.columns else F.lit("")
+    known = nodes.filter(F.coalesce(kind != "FrontierNode", F.lit(True))).select(F.col("id").alias("node"), _body(F.col("id")).alias("_body"), name.alias("_name"))
+    words = known.select("node", tokens(F.concat_ws(" ", "_body", "_name"), drop_common=False).alias("_known"), tokens(F.col("_name"), drop_common=False).alias("_named"))
+    words = words.select("node", F.explode("_known").alias("t"), "_named").select("node", "t", F.array_contains("_named", F.col("t")).alias("_label"))
+    shared = asked.select(key, F.explode("_asked").alias("t")).join(words, "t").groupBy(key, "node").agg(F.count(F.lit(1)).alias("_n"), F.max("_label").alias("_label"))
+    # All substrings of two characters or more, for names of any length.
+    starts = asked.select(key, "_text", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_text") - 1))).alias("_at"))
+    parts = starts.select(key, F.explode(F.expr("transform(sequence(2, greatest(2, length(_text) - _at + 1)), n -> substring(_text, _at, n))")).alias("t")).filter("length(t) >= 2").distinct()
+    called = known.select("node", F.explode(F.array_distinct(F.array(F.lower("_body"), F.lower("_name")))).alias("t")).filter("length(t) >= 2")
+    named = parts.join(called, "t").select(key, "node").distinct().withColumn("_called", F.lit(True))
+    joined = shared.join(named, [key, "node"], "full").join(asked.select(key, F.size("_asked").alias("_words")), key)
+    coverage = F.when(F.col("_words") > 0, F.coalesce("_n", F.lit(0)) / F.col("_words")).otherwise(0.0)
+    by_name = F.coalesce("_called", F.lit(False))
+    score = F.when(by_name, F.greatest(F.lit(0.9), coverage)).otherwise(F.least(F.lit(0.85), 0.3 + 0.7 * coverage))
+    via = F.when(by_name, "id").when(F.coalesce("_label", F.lit(False)), "label").otherwise("token")
+    return joined.select(key, "node", F.round(F.least(F.lit(1.0), score), 6).alias("score"), via.alias("via"))
 
 
 def matched_entities(scores: DataFrame, key: str, top: int = 3) -> DataFrame:
-    """The best nodes of each question: by score, then by how they matched, then id."""
+    """The best nodes of each question: by score, then by how they matched, then id.
+
+    A task keeps ``top`` nodes of each question before they meet.
+    """
     via = F.when(F.col("via") == "id", 3).when(F.col("via") == "label", 2).when(F.col("via") == "token", 1).otherwise(0)
-    order = F.struct((-F.col("score")).alias("s"), (-via).alias("v"), "node", "via", "score")
-    best = F.slice(F.array_sort(F.collect_list(order)), 1, top)
-    return scores.groupBy(key).agg(best.alias("b")).select(key, F.posexplode("b").alias("rank", "m")).select(key, (F.col("rank") + 1).alias("rank"), "m.node", "m.score", "m.via")
+    best = Window.partitionBy(key).orderBy(F.desc("score"), F.desc(via), "node")
+    ranked = scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
+    return ranked.select(key, "rank", "node", F.round("score", 3).alias("score"), "via")
 
 
 def shape(graph: Graph) -> DataFrame:

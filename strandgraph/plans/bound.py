@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import Graph
+from ..operators.graph import Graph, materialise
 from ..schema import EDGES, NODES, conform
 
 NOW = "2001-11-04 00:00:00"
@@ -115,4 +115,5 @@ def graph(spark: SparkSession, sf_dir: str, t: dict[str, DataFrame] | None = Non
     )
     evidence = F.when(F.col("hostSource").isNotNull(), F.struct(F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("snippet"), F.lit(None).cast("string").alias("method"), F.lit(None).cast("string").alias("pathTemplate"), "hostSource"))
     edges = flat_edges(spark, t).withColumns({"signal": signal, "callCount": F.col("spanCount"), "evidence": evidence, "grain": F.when(F.col("source").startswith("file:"), "file").otherwise("service")})
-    return Graph(conform(nodes, NODES), conform(edges, EDGES), NOW)
+    # Folded once: what a query asks of the graph does not scan and join the fact tables again.
+    return Graph(materialise(conform(nodes, NODES)), materialise(conform(edges, EDGES)), NOW)

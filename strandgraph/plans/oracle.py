@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from ..operators import ask
 from . import bound
 from .queries import PAIRS, ROOT_CUSTOMERS, ROOT_DATABASES, ROOT_PARTS, ROOT_SUPPLIERS
 
@@ -75,8 +74,25 @@ _TURNED = f"(provenance = 'OBSERVED' and lastObserved is not null and greatest(0
 _STATEMENTS = """select o_orderkey as id, case o_orderkey % 5 when 0 then 'orders_' || o_orderkey::varchar when 2 then 'items_' || o_orderkey::varchar when 3 then 'things_' || o_orderkey::varchar when 4 then 'pg_class' end as one,
   case o_orderkey % 5 when 0 then 'orders_' || o_orderkey::varchar when 1 then 'a_' || o_orderkey::varchar when 2 then 'items_' || o_orderkey::varchar when 3 then 'things_' || o_orderkey::varchar end as first from orders"""
 
-_INTENT_CASES = " ".join("when regexp_matches(t, '{}') then '{}'".format(pattern, name) for name, pattern in ask.INTENTS)
-_COMMON = ", ".join(f"'{w}'" for w in dict.fromkeys(ask.STOP_WORDS + ask.INTENT_WORDS))
+# Written apart from the operator, so that a wrong list shows.
+_INTENT_CASES = r"""
+when regexp_matches(t, '\b(why|root[\s-]?cause|failing|fails?|failed|breaking|broke|broken|crash|crashing|crashed|throw|throwing|throws|culprit|5[0-9][0-9])\b') then 'root-cause'
+when regexp_matches(t, '\b(blast|breaks?[\s-]?if|impact|downstream|dependent|dependents|redeploy|who\s+uses|who\s+calls|who\s+depends|what\s+depends\s+on|affect|affects|affected)\b') then 'blast-radius'
+when regexp_matches(t, '\b(diverg\w*|weird|mismatch|drift|out\s+of\s+sync|inconsistent|disagree\w*|declared\s+vs|anything\s+wrong)\b') then 'divergence'
+when regexp_matches(t, '\b(incident|incidents|recent\s+errors?|recent\s+failures?|error\s+history|failure\s+history)\b') then 'incidents'
+when regexp_matches(t, '\b(at\s+runtime|in\s+prod|in\s+production|actually\s+call\w*|really\s+call\w*|observed|runtime\s+traffic)\b') then 'observed'
+when regexp_matches(t, '\b(depend\w*|calls|call|use|uses|import|imports|relies\s+on|need|needs)\b') then 'dependencies'
+"""
+_COMMON = ", ".join(
+    f"'{w}'"
+    for w in (
+        "a about actually affect affected affects all an and any anything are as at be been being blast break breaking breaks broke broken but by call calls can cause code could crash crashed crashing culprit "
+        "declared depend dependencies dependency dependent dependents depends did disagree diverge divergence divergences do does downstream drift error errors everything explain fail failed failing fails failure "
+        "failures find for from get give got graph had happen happening happens has have here history how i if impact import imports in incident incidents inconsistent into is it its me mismatch my need needs no "
+        "node not observed of on or out over prod production radius really recent redeploy relies rely root runtime service should show so some something sync system tell that the them there these they this those "
+        "throw throwing throws to traffic up use uses using was we weird were what when where which who whom why will with would you"
+    ).split()
+)
 
 ORACLE_SQL: dict[str, str] = {
     "blast_radius_multi": G + _bfs("up", ROOT_PARTS + ROOT_DATABASES, 10) + " select root, node, distance::bigint as distance, provenance, array_to_string(path, '>') as path, round(confidence, 6) as confidence from found",
@@ -186,11 +202,20 @@ ORACLE_SQL: dict[str, str] = {
     "graph_diff_nodes": G + """ select id, 'removed' as change, null::varchar as fields from nodes where type = 'FrontierNode' union all select 'service:customer-3', 'changed', 'owner'""",
     "graph_diff_edges": G + """ select id, 'removed' as change, null::varchar as fields from edges where id like '%customer-1->%' union all select id, 'changed', 'provenance' from edges where id like '%customer-2->%' and provenance <> 'STALE'""",
     "snapshot_merge": G + """, n2 as (select id from nodes where type <> 'DatabaseNode' or id < 'database:nation-20') select type, provenance, count(*) as n from edges where type = 'CALLS' or (type = 'CONNECTS_TO' and source in (select id from n2) and target in (select id from n2)) group by all""",
-    "vector_top_k": """with s as (select q.vec_id as q, e.vec_id, list_cosine_similarity(e.embedding::double[], q.embedding::double[]) as score from embeddings e, (select * from embeddings where vec_id < 5) q), r as (select *, row_number() over (partition by q order by score desc, vec_id) as rank from s)
+    "vector_top_k": """with s as (select q.vec_id as q, e.vec_id, list_cosine_similarity(e.embedding::double[], q.embedding::double[]) as score from embeddings e, (select * from embeddings where vec_id % 100 = 0) q), r as (select *, row_number() over (partition by q order by score desc, vec_id) as rank from s)
       select q, rank::int as rank, vec_id, round(score, 5) as score from r where rank <= 5""",
     "substring_search": G + " select id, type, 1.0::double as score from nodes where contains(lower(id), 'supplier-1') or contains(lower(name), 'supplier-1')",
-    "ask_intent": f"""with q as (select conv_id, turn, lower(coalesce(text, '') || case turn % 3 when 0 then ' what breaks if this dies' when 1 then ' show live traffic' else '' end) as t from conversations) select conv_id, turn, case {_INTENT_CASES} else 'overview' end as intent from q""",
+    "ask_intent": f"""with q as (select conv_id, turn, lower(coalesce(text, '') || case turn % 4 when 0 then ' what breaks if this dies' when 1 then ' seen at runtime' when 2 then ' throws 503' else ' who uses it' end) as t from conversations) select conv_id, turn, case {_INTENT_CASES} else 'overview' end as intent from q""",
     "ask_tokens": f"""with w as (select conv_id, turn, list_filter(list_distinct(regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[a-z0-9]+')), lambda x: length(x) >= 2 and not list_contains([{_COMMON}], x)) as t from conversations) select conv_id, turn, coalesce(array_to_string(list_sort(t), ' '), '') as tokens from w""",
+    "ask_entities": G + f"""
+, q as (select unnest([1, 2, 3, 4, 5]) as q, unnest(['why is supplier-1 failing?', 'what does customer 17 call', 'anything about nation 3 databases', 'part-7 and part-8', 'customer-12 and nation-3.db?']) as text),
+a as (select q, lower(text) as text, list_filter(list_distinct(regexp_extract_all(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[a-z0-9]+')), lambda x: length(x) >= 2 and not list_contains([{_COMMON}], x)) as asked from q),
+k as (select id, regexp_replace(id, '^[^:]*:', '') as body, coalesce(name, id) as name from nodes where type <> 'FrontierNode'),
+kt as (select id, lower(body) as body, lower(name) as lname, regexp_extract_all(lower(regexp_replace(body || ' ' || name, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[a-z0-9]+') as known, regexp_extract_all(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[a-z0-9]+') as label from k),
+m as (select q, id, len(list_intersect(asked, known)) as n, len(list_intersect(asked, label)) as ln, len(asked) as words, (length(body) >= 2 and contains(text, body)) or (length(lname) >= 2 and contains(text, lname)) as named from a, kt),
+f as (select q, id as node, case when named then greatest(0.9, n / words) else least(0.85, 0.3 + 0.7 * n / words) end as s, case when named then 'id' when ln > 0 then 'label' else 'token' end as via from m where n > 0 or named),
+r as (select *, row_number() over (partition by q order by round(s, 6) desc, case via when 'id' then 3 when 'label' then 2 else 1 end desc, node) as rank from f)
+select q, rank::int as rank, node, round(round(s, 6), 3)::double as score, via from r where rank <= 3""",
     "embed_digest": G + """ select id, substring(sha1(concat_ws(' ', id, name, case when type = 'ServiceNode' and owner is not null then 'owner=' || owner end, case when type = 'DatabaseNode' then 'engine=' || engine end, case when type = 'DatabaseNode' then 'engineVersion=' || engineVersion end, case when type = 'DatabaseNode' then 'host=' || host end, case when type = 'ConfigNode' then 'path=' || path end, case when type = 'InfraNode' then 'kind=' || kind end, case when type = 'FileNode' then 'service=' || service end, case when type = 'FileNode' then 'path=' || path end, case when type = 'FrontierNode' then 'host=' || host end)), 1, 16) as digest from nodes""",
     "incident_localise": G + f", i as ({_INCIDENTS}), m as (select distinct k as node, i.* from i, (select unnest([affectedNode, 'service:' || service]) as k)) select node, node as culprit, 'Inspect the handler for /r/' || (ordinal % 3) as fix from m where node in (select id from nodes) qualify row_number() over (partition by node order by timestamp desc, id desc, ordinal) = 1",
     "sql_columns": "select o_orderkey as id, case o_orderkey % 5 when 0 then 'id,total,status' when 2 then 'a,b' when 3 then 'a,b' else '' end as columns from orders",

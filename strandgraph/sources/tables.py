@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from urllib.request import urlopen
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,30 +15,44 @@ from ..operators.graph import Graph
 from ..schema import EDGES, INCIDENTS, LOGS, NODES, STALE_EVENTS, conform, empty
 
 SNAPSHOT_VERSION = 7
+META = "schemaVersion int, exportedAt string, save string, at long"
 LOG_KEEP, LOG_HOURS = 1000, 24
 LOG_LIMIT, LOG_MAX = 100, 1000
 
 
+def _snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each finished save; none where nothing was saved."""
+    try:
+        return spark.read.schema(META).json(f"{path}/meta")
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], META)
+
+
 def save_graph(graph: Graph, path: str) -> None:
-    """Nodes and edges as Parquet; a version row comes last, so a torn save is not taken for a snapshot."""
-    graph.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-    graph.edges.write.mode("overwrite").parquet(f"{path}/edges")
-    graph.spark.createDataFrame([(SNAPSHOT_VERSION, graph.now)], "schemaVersion int, exportedAt string").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+    """Nodes and edges as Parquet in a folder of this save; a row that points at it comes last.
+
+    Until that row is there, readers see the save before, so a torn save shows
+    neither new nodes with old edges nor nothing.
+    """
+    spark = graph.spark
+    save = f"save-{uuid.uuid4().hex}"
+    graph.nodes.write.parquet(f"{path}/{save}/nodes")
+    graph.edges.write.parquet(f"{path}/{save}/edges")
+    at = (_snapshots(spark, path).agg(F.max("at")).first()[0] or 0) + 1
+    spark.createDataFrame([(SNAPSHOT_VERSION, graph.now, save, at)], META).coalesce(1).write.mode("append").json(f"{path}/meta")
 
 
 def load_graph(spark: SparkSession, path: str) -> Graph:
     """A saved graph; a missing one is empty, an unknown version is refused."""
-    try:
-        meta = spark.read.schema("schemaVersion int, exportedAt string").json(f"{path}/meta").first()
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        meta = None
+    meta = _snapshots(spark, path).orderBy(F.desc("at"), F.desc("save")).first()
     if meta is None:
         return Graph(empty(spark, NODES), empty(spark, EDGES))
     if meta["schemaVersion"] != SNAPSHOT_VERSION:
         raise ValueError(f"unknown snapshot version {meta['schemaVersion']}")
-    return Graph(spark.read.schema(NODES).parquet(f"{path}/nodes"), spark.read.schema(EDGES).parquet(f"{path}/edges"), meta["exportedAt"])
+    base = f"{path}/{meta['save']}" if meta["save"] else path
+    return Graph(spark.read.schema(NODES).parquet(f"{base}/nodes"), spark.read.schema(EDGES).parquet(f"{base}/edges"), meta["exportedAt"])
 
 
 def _migrate(version: int, nodes: list[dict], edges: list[dict]) -> tuple[list[dict], list[dict]]:
@@ -82,22 +98,38 @@ def load_diff_side(spark: SparkSession, where: str) -> Graph:
     return load_graph(spark, where)
 
 
+def _append(rows: DataFrame, path: str) -> None:
+    """Append with the time of the append and the row's number in it, which tell the order of arrival."""
+    at = time.time_ns()
+    rows.withColumns({"_at": F.lit(at).cast("long"), "_row": F.monotonically_increasing_id()}).write.mode("append").json(path)
+
+
+def _in_order(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A ledger with ``ordinal``, which ascends by append, then row.
+
+    Rows of a ledger that another writer made have no append; they come first, in the order that files are read.
+    """
+    kept = T.StructType([*schema.fields, T.StructField("_at", T.LongType()), T.StructField("_row", T.LongType())])
+    order = F.struct(F.coalesce("_at", F.lit(0)).alias("at"), F.coalesce("_row", F.monotonically_increasing_id()).alias("row"))
+    return spark.read.schema(kept).json(path).withColumn("ordinal", order).drop("_at", "_row")
+
+
 def read_incidents(spark: SparkSession, path: str) -> DataFrame:
-    """The incident ledger with an ordinal in order of file and line."""
-    return spark.read.schema(INCIDENTS).json(path).withColumn("ordinal", F.monotonically_increasing_id())
+    """The incident ledger with an ordinal in order of arrival: by append, then row."""
+    return _in_order(spark, path, INCIDENTS)
 
 
 def append_incidents(incidents: DataFrame, path: str) -> None:
-    conform(incidents, INCIDENTS).write.mode("append").json(path)
+    _append(conform(incidents, INCIDENTS), path)
 
 
 def read_stale_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(STALE_EVENTS).json(path).withColumn("ordinal", F.monotonically_increasing_id())
+    return _in_order(spark, path, STALE_EVENTS)
 
 
 def append_stale_events(events: DataFrame, path: str) -> None:
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    conform(events.withColumns({"lastObserved": iso("lastObserved"), "transitionedAt": iso("transitionedAt")}), STALE_EVENTS).write.mode("append").json(path)
+    _append(conform(events.withColumns({"lastObserved": iso("lastObserved"), "transitionedAt": iso("transitionedAt")}), STALE_EVENTS), path)
 
 
 def list_stale_events(events: DataFrame, edge_type: str | None = None, limit: int = 50) -> DataFrame:
@@ -146,8 +178,12 @@ def unrouted(spans: DataFrame, known: DataFrame) -> DataFrame:
 
 def extraction_coverage(errors: DataFrame, files: int = 100) -> DataFrame:
     """(producer, n, files): errors by producer and their first files."""
-    order = F.slice(F.array_sort(F.collect_set("file")), 1, files)
-    return errors.groupBy("producer").agg(F.count(F.lit(1)).alias("n"), order.alias("files"))
+    counts = errors.groupBy("producer").agg(F.count(F.lit(1)).alias("n"))
+    first = Window.partitionBy("producer").orderBy("file")
+    # Only the first files of each producer are gathered.
+    named = errors.filter("file is not null").select("producer", "file").distinct().withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= files)
+    named = named.groupBy("producer").agg(F.array_sort(F.collect_list("file")).alias("files"))
+    return counts.join(named, "producer", "left").select("producer", "n", F.coalesce("files", F.array().cast("array<string>")).alias("files"))
 
 
 def source_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = (), ignored: tuple[str, ...] = ("node_modules", ".git", "dist", "build", ".next", "vendor", "target", "__pycache__", ".venv", "venv", "coverage")) -> DataFrame:
