@@ -115,12 +115,14 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     split = joined.withColumn("_lines", F.split(text, "\n", -1))
     copy = F.col("_first").isNotNull() & (F.col("_doc") > F.col("_first"))
     whole = copy & (F.size("_lines") >= min_lines)
+    # Bound by the outer lambda, the lines are split once.
+    without_gone = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone"), lambda i: F.get(lines, i))
     kept = (
         F.when(F.col(text).isNull(), F.expr("cast(array() as array<string>)"))
         .when(whole, F.expr("cast(array() as array<string>)"))
         .when(copy, F.filter("_lines", lambda line: ~long(line)))
         .when(F.col("_gone").isNull(), F.col("_lines"))
-        .otherwise(F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone"), lambda i: F.get("_lines", i)))
+        .otherwise(F.flatten(F.transform(F.array("_lines"), without_gone)))
     )
     out = split.withColumn("_kept", kept)
     return out.select(
