@@ -2,23 +2,24 @@
 
 A branch is chosen by priority (database, messaging, GraphQL, gRPC, WebSocket,
 HTTP peer, parent); each branch yields an array of calls, which is exploded, so
-a batch of spans is one projection, one host join and one aggregation.
+a batch of spans is one projection, joins with the few distinct services, hosts
+and call sites, and one aggregation.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import identity as ids
 from ..functions import spans as sp
 from ..functions import text
-from ..schema import INCIDENTS, conform
+from ..schema import EDGES, INCIDENTS, NODES, conform
 from . import incidents as inc
-from .graph import Graph
-from .lifecycle import fold_observed
-
-CALL = "struct<type:string,source:string,target:string>"
+from .graph import Graph, materialise
+from .lifecycle import fold_columns, fold_observed, stitch
 
 
 def resolve_hosts(hosts: DataFrame, services: DataFrame) -> DataFrame:
@@ -42,20 +43,36 @@ def resolve_hosts(hosts: DataFrame, services: DataFrame) -> DataFrame:
 
 
 def fuse_services(spans: DataFrame, services: DataFrame) -> DataFrame:
-    """(service, env, id): the node a span's service is: by exact id, by case-blind name among declared ones, or new."""
+    """(service, env, id, name, known): the node a span's service is.
+
+    By exact id, else by case-blind name among declared ones (the smaller id of
+    several), else a new one that ``known`` denies.
+    """
     seen = spans.select("service", "env").distinct().withColumn("_id", ids.service_id("service", "env"))
-    exact = services.filter("type = 'ServiceNode'").select(F.col("id").alias("_id"), F.lit(True).alias("_known"))
-    named = services.filter("type = 'ServiceNode' and coalesce(discoveredVia, 'static') <> 'otel'").groupBy(F.lower("name").alias("_n")).agg(F.min("id").alias("_named"))
+    exact = services.filter("type = 'ServiceNode'").groupBy(F.col("id").alias("_id")).agg(F.min("name").alias("_own"), F.lit(True).alias("_known"))
+    declared = services.filter("type = 'ServiceNode' and coalesce(discoveredVia, 'static') <> 'otel'")
+    named = declared.groupBy(F.lower("name").alias("_n")).agg(F.min(F.struct("id", "name")).alias("_named"))
     out = seen.join(exact, "_id", "left").join(named, F.lower("service") == F.col("_n"), "left")
-    return out.select("service", "env", F.when(F.col("_known"), F.col("_id")).otherwise(F.coalesce("_named", "_id")).alias("id"))
+    known = F.coalesce("_known", F.lit(False))
+    return out.select(
+        "service",
+        "env",
+        F.when(known, F.col("_id")).otherwise(F.coalesce("_named.id", "_id")).alias("id"),
+        F.coalesce(F.when(known, F.col("_own")).otherwise(F.col("_named.name")), "service").alias("name"),
+        (known | F.col("_named").isNotNull()).alias("known"),
+    )
 
 
-def route_matches(spans: DataFrame, routes: DataFrame) -> DataFrame:
-    """spans with the declared route that serves them: same service, method (or ALL), normalised template; the smaller id of several."""
+def route_matches(asked: DataFrame, routes: DataFrame) -> DataFrame:
+    """(service, method, template, route) of distinct requests: the declared route that serves them.
+
+    Same service, equal normalised template, and the method equal, ALL or not
+    known; the smaller id of several.  Requests repeat, so each is matched once.
+    """
     known = routes.filter("type = 'RouteNode'").select(F.col("service").alias("_s"), F.upper("method").alias("_m"), text.normalised_template(F.col("pathTemplate")).alias("_t"), F.col("id").alias("_route"))
-    asked = spans.filter(sp.serves(F.col("kind")) & F.col("httpRoute").isNotNull()).select("traceId", "spanId", "service", F.upper("httpMethod").alias("method"), text.normalised_template(F.col("httpRoute")).alias("template"))
-    joined = asked.join(known, (F.col("service") == F.col("_s")) & (F.col("template") == F.col("_t"))).filter("method is null or _m = method or _m = 'ALL'")
-    return joined.groupBy("traceId", "spanId").agg(F.min("_route").alias("route"))
+    once = asked.select("service", "method", "template").distinct().withColumn("_n", text.normalised_template(F.col("template")))
+    joined = once.join(known, (F.col("service") == F.col("_s")) & (F.col("_n") == F.col("_t"))).filter("method is null or _m = method or _m = 'ALL'")
+    return joined.groupBy("service", "method", "template").agg(F.min("_route").alias("route"))
 
 
 def reconcile_files(seen: DataFrame, files: DataFrame) -> DataFrame:
@@ -66,9 +83,11 @@ def reconcile_files(seen: DataFrame, files: DataFrame) -> DataFrame:
     parts = F.split("path", "/")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
     tried = seen.select("service", "path").distinct().select("service", "path", F.explode(suffixes).alias("_p"))
-    known = files.filter("type = 'FileNode'").select("service", F.col("path").alias("_p"), F.col("id").alias("file"))
+    told = F.coalesce(F.col("discoveredVia"), F.lit("static")) == "otel"
+    known = files.filter("type = 'FileNode'").select("service", F.col("path").alias("_p"), F.col("id").alias("file"), told.alias("_told"))
     best = F.max(F.struct(F.length("_p").alias("n"), "file")).alias("b")
-    return tried.join(known, ["service", "_p"]).groupBy("service", "path").agg(best).select("service", "path", F.col("b.file").alias("file"))
+    # A file that only telemetry knows is found by its whole path alone.
+    return tried.join(known, ["service", "_p"]).filter("not _told or _p = path").groupBy("service", "path").agg(best).select("service", "path", F.col("b.file").alias("file"))
 
 
 def enclosing_symbols(sites: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -88,53 +107,127 @@ def declared_database(graph: Graph) -> DataFrame:
     return found.filter("n = 1").select("service", "engine", "database")
 
 
-def dispatch(spans: DataFrame, graph: Graph) -> DataFrame:
-    """(type, source, target, ts, isError, ms, evidence, traceId, spanId) of every call that spans tell of."""
-    s = spans.withColumns({"_peer": sp.peer(F.col("attributes")), "_src": sp.source_node(F.col("service"), F.col("env"), F.col("attributes")), "_svc": ids.service_id("service", "env")})
+#: What a call tells of the node it goes to.
+TARGET = ("type", "name", "service", "engine", "host", "provider", "kind", "operationType", "operationName", "rpcService", "rpcMethod", "channel")
+
+
+def placed(spans: DataFrame, graph: Graph) -> DataFrame:
+    """spans with the node of their service and the file or symbol of their call site.
+
+    ``_svc`` and ``_name`` are the fused service, ``_known`` whether the graph
+    has it; ``_file`` and ``_rel`` the declared file of the call site (else the
+    path as observed), ``_symbol`` the symbol around its line, ``_minted`` the
+    one to be made where the file has symbols but none there; ``_src`` is the
+    finest of these.  Services, sites and paths are matched once each.
+    """
+    s = spans.withColumn("env", F.coalesce("env", F.lit("unknown")))
+    fused = fuse_services(s, graph.nodes).withColumnsRenamed({"id": "_svc", "name": "_name", "known": "_known"})
+    path = F.nullif(F.regexp_replace(F.replace(sp.code_path(F.col("attributes")), F.lit("\\"), F.lit("/")), r"^(?:[A-Za-z]:)?/+", ""), F.lit(""))
+    a = F.col("attributes")
+    s = s.join(fused, ["service", "env"]).withColumns({"_path": path, "_line": sp.code_line(a), "_fn": sp.code_function(a)})
+    seen = s.filter("_path is not null").select(F.col("_name").alias("service"), F.col("_path").alias("path"))
+    files = reconcile_files(seen, graph.nodes).select(F.col("service").alias("_name"), F.col("path").alias("_path"), F.col("file").alias("_declared_file"))
+    s = s.join(files, ["_name", "_path"], "left").withColumn("_file", F.coalesce("_declared_file", ids.file_id("_name", "_path")))
+    s = s.withColumn("_rel", ids.file_path("_file"))
+    sites = s.filter("_file is not null and _line is not null").select(F.col("_file").alias("file"), F.col("_line").alias("line"), F.col("_fn").alias("function")).distinct()
+    sites = sites.withColumn("site", F.struct("file", "line", "function"))
+    around = enclosing_symbols(sites, graph.nodes).select(F.col("site.file").alias("_file"), F.col("site.line").alias("_line"), F.col("site.function").alias("_f"), F.col("symbol").alias("_symbol"))
+    full = graph.nodes.filter("type = 'SymbolNode'").select(F.concat(F.lit("file:"), "service", F.lit(":"), "relPath").alias("_file"), F.lit(True).alias("_full")).distinct()
+    near = (s["_file"] == around["_file"]) & (s["_line"] == around["_line"]) & s["_fn"].eqNullSafe(around["_f"])
+    s = s.join(around, near, "left").drop(around["_file"], around["_line"], around["_f"]).join(full, "_file", "left")
+    new = F.col("_symbol").isNull() & F.col("_full") & F.col("_fn").isNotNull() & F.col("_line").isNotNull()
+    s = s.withColumn("_minted", F.when(new, ids.symbol_id("_name", "_rel", "_fn")))
+    return s.withColumn("_src", F.coalesce("_symbol", "_minted", "_file", "_svc"))
+
+
+def _target(node_type: str, label, **fields) -> Column:
+    given = {"type": F.lit(node_type), "name": ids.col(label), **{k: ids.col(v) for k, v in fields.items()}}
+    return F.struct(*(given.get(n, F.lit(None)).cast("string").alias(n) for n in TARGET))
+
+
+def calls(spans: DataFrame, graph: Graph) -> DataFrame:
+    """Every call that spans (``placed``) tell of: (type, source, target, ts, isError, ms, evidence, traceId, spanId), the node it goes to and where it comes from.
+
+    Database, messaging, GraphQL, gRPC and WebSocket spans come first; what is
+    none of these, or does not stand on the side that tells, is a call to a
+    peer, or else from the parent's service.  A span that serves a declared
+    route also tells of that route.
+    """
+    s = spans.withColumn("_peer", sp.peer(F.col("attributes")))
     hosts = s.filter("_peer is not null").select(F.col("_peer").alias("host"), "env").distinct()
     resolved = resolve_hosts(hosts, graph.nodes).withColumnsRenamed({"host": "_peer", "service": "_to"})
     s = s.join(resolved, ["_peer", "env"], "left")
     local = declared_database(graph).withColumnsRenamed({"service": "_svc", "engine": "dbSystem", "database": "_declared"})
     s = s.join(local, ["_svc", "dbSystem"], "left")
-    out = sp.calls_out(F.col("kind"))
-    call = lambda kind, target, source="_src": F.struct(F.lit(kind).alias("type"), F.col(source).alias("source"), target.alias("target"))
-    none = F.expr(f"cast(array() as array<{CALL}>)")
-    database = F.when(F.col("_peer").isNotNull(), ids.database_id("_peer")).otherwise(F.coalesce("_declared", ids.database_id(None, "service", F.coalesce("dbName", "dbSystem"))))
+    out, serves = sp.calls_out(F.col("kind")), sp.serves(F.col("kind"))
+
+    def call(kind: str, target, node, source="_src"):
+        return F.struct(F.lit(kind).alias("type"), F.col(source).alias("source"), target.alias("target"), node.alias("node"))
+
+    local_name = F.coalesce("dbName", "dbSystem")
+    database = F.when(F.col("_peer").isNotNull(), ids.database_id("_peer")).otherwise(F.coalesce("_declared", ids.database_id(None, "service", local_name)))
+    database_node = _target("DatabaseNode", F.coalesce("_peer", local_name), engine="dbSystem", host="_peer")
+    collection = inc.attribute(F.col("attributes"), "db.collection.name", "db.mongodb.collection")
     table = F.coalesce("dbTable", text.sql_table(F.col("dbStatement")))
+    infra = lambda kind, name: _target("InfraNode", name, provider=F.lit("self"), kind=kind)
     db = F.array_compact(
         F.array(
-            F.when(out, call("CONNECTS_TO", database)),
-            F.when((F.col("dbSystem") == "mongodb") & F.try_element_at("attributes", F.lit("db.collection.name")).isNotNull(), call("CALLS", ids.infra_id(F.lit("mongodb-collection"), F.try_element_at("attributes", F.lit("db.collection.name"))))),
-            F.when((F.col("dbSystem") != "mongodb") & table.isNotNull(), call("CALLS", ids.infra_id(F.lit("sql-table"), table))),
+            F.when(out, call("CONNECTS_TO", database, database_node)),
+            F.when(out & (F.col("dbSystem") == "mongodb") & collection.isNotNull(), call("CALLS", ids.infra_id(F.lit("mongodb-collection"), collection), infra(F.lit("mongodb-collection"), collection))),
+            F.when(out & (F.col("dbSystem") != "mongodb") & table.isNotNull(), call("CALLS", ids.infra_id(F.lit("sql-table"), table), infra(F.lit("sql-table"), table))),
         )
     )
-    topic = ids.infra_id(F.concat("messagingSystem", F.lit("-topic")), "messagingDestination")
-    messages = F.when(F.col("kind") == 4, F.array(call("PUBLISHES_TO", topic))).when(F.col("kind") == 5, F.array(call("CONSUMES_FROM", topic))).otherwise(none)
-    graphql = F.when(sp.serves(F.col("kind")), F.array(call("CONTAINS", ids.graphql_id("service", "graphqlOperationType", "graphqlOperationName"), "_svc"))).otherwise(none)
-    grpc_target = ids.grpc_id("rpcService", "rpcMethod")
-    grpc = F.when(sp.serves(F.col("kind")), F.array(call("CONTAINS", grpc_target, "_svc"))).otherwise(F.array(call("CALLS", grpc_target)))
-    websocket = F.array(call("CONNECTS_TO", ids.websocket_id("service", "websocketChannel")))
+    topic_kind = F.concat("messagingSystem", F.lit("-topic"))
+    topic, topic_node = ids.infra_id(topic_kind, "messagingDestination"), infra(topic_kind, "messagingDestination")
+    messages = F.when(F.col("kind") == 5, F.array(call("CONSUMES_FROM", topic, topic_node))).otherwise(F.array(call("PUBLISHES_TO", topic, topic_node)))
+    graphql_kind = F.lower("graphqlOperationType")
+    graphql_node = _target("GraphQLOperationNode", "graphqlOperationName", service="service", operationType=graphql_kind, operationName="graphqlOperationName")
+    graphql = F.array(call("CONTAINS", ids.graphql_id("service", "graphqlOperationType", "graphqlOperationName"), graphql_node))
+    grpc_node = _target("GrpcMethodNode", "rpcMethod", rpcService="rpcService", rpcMethod="rpcMethod")
+    grpc = F.array(call("CONTAINS", ids.grpc_id("rpcService", "rpcMethod"), grpc_node))
+    socket_node = _target("WebSocketChannelNode", "websocketChannel", service="service", channel="websocketChannel")
+    websocket = F.array(call("CONNECTS_TO", ids.websocket_id("service", "websocketChannel"), socket_node))
     foreign = F.col("_peer").isNotNull() & (F.lower("_peer") != F.lower("service")) & ~sp.is_loopback(F.col("_peer"))
-    http = F.when(out & foreign & F.col("_to").isNotNull() & (F.col("_to") != F.col("_svc")), F.array(call("CALLS", F.col("_to")))).when(out & foreign & F.col("_to").isNull(), F.array(call("CALLS", ids.frontier_id("_peer")))).otherwise(none)
+    none = F.slice(F.array(call("CALLS", F.col("_svc"), _target("ServiceNode", "service"))), 1, 0)
+    http = F.when(out & foreign & (F.col("_to") != F.col("_svc")), F.array(call("CALLS", F.col("_to"), _target("ServiceNode", "_peer"))))
+    http = http.when(out & foreign & F.col("_to").isNull(), F.array(call("CALLS", ids.frontier_id("_peer"), _target("FrontierNode", "_peer", host="_peer")))).otherwise(none)
     typed = (
         F.when(F.col("dbSystem").isNotNull(), db)
         .when(F.col("messagingSystem").isNotNull() & F.col("messagingDestination").isNotNull() & sp.moves_messages(F.col("kind")), messages)
-        .when(F.col("graphqlOperationName").isNotNull(), graphql)
-        .when((F.col("rpcSystem") == "grpc") & F.col("rpcService").isNotNull(), grpc)
-        .when(F.col("websocketChannel").isNotNull(), websocket)
+        .when(F.col("graphqlOperationName").isNotNull() & F.col("graphqlOperationType").isNotNull() & serves, graphql)
+        .when((F.col("rpcSystem") == "grpc") & F.col("rpcService").isNotNull() & F.col("rpcMethod").isNotNull() & serves, grpc)
+        .when(F.col("websocketChannel").isNotNull() & serves, websocket)
     )
-    plain = typed.isNull()
     stream = sp.is_stream(F.col("durationNanos"), F.col("attributes"), F.col("websocketChannel"))
-    path = sp.code_path(F.col("attributes"))
-    evidence = F.when(path.isNotNull(), F.struct(path.alias("file"), sp.code_line(F.col("attributes")).alias("line"), F.lit(None).cast("string").alias("snippet"), F.col("httpMethod").alias("method"), F.col("httpRoute").alias("pathTemplate"), F.lit(None).cast("string").alias("hostSource")))
-    facts = {"ts": F.timestamp_micros((F.col("startTimeUnixNano") / 1000).cast("long")), "isError": sp.is_error(F.col("statusCode"), F.col("attributes")), "ms": sp.latency_ms(F.col("durationNanos"), stream), "evidence": evidence}
-    made = s.withColumn("_calls", F.coalesce(typed, http)).withColumns(facts).withColumn("_plain", plain & (F.size(F.coalesce(typed, http)) == 0))
-    kept = ["ts", "isError", "ms", "evidence", "traceId", "spanId"]
-    direct = made.select(F.inline("_calls"), *kept)
+    no_text = F.lit(None).cast("string")
+    evidence = F.when(F.col("_rel").isNotNull(), F.struct(F.col("_rel").alias("file"), F.col("_line").alias("line"), no_text.alias("snippet"), F.col("httpMethod").alias("method"), F.col("httpRoute").alias("pathTemplate"), no_text.alias("hostSource")))
+    site = F.struct(F.col("_svc").alias("svc"), F.col("_name").alias("name"), F.col("_file").alias("file"), F.col("_rel").alias("path"), F.col("_minted").alias("minted"), F.col("_fn").alias("function"), F.col("_line").alias("line"))
+    # Columns belong to the table that the same statement names.
+    facts = {"ts": F.timestamp_micros((F.col("startTimeUnixNano") / 1000).cast("long")), "isError": sp.is_error(F.col("statusCode"), F.col("attributes")), "ms": sp.latency_ms(F.col("durationNanos"), stream), "evidence": evidence, "site": site}
+    s = s.withColumns(facts).withColumn("_typed", typed).withColumn("_calls", F.coalesce("_typed", http))
+    kept = ["ts", "isError", "ms", "evidence", "traceId", "spanId", "site"]
+    direct = s.select(F.inline("_calls"), *kept, "dbColumns")
+    no_columns = F.lit(None).cast("array<string>").alias("dbColumns")
     # Spans that told nothing themselves: their parent's service called theirs.
-    parents = spans.select(F.col("traceId"), F.col("spanId").alias("parentSpanId"), ids.service_id("service", "env").alias("_from"))
-    fallback = made.filter("_plain and parentSpanId is not null").join(parents, ["traceId", "parentSpanId"]).filter("_from <> _svc").select(F.lit("CALLS").alias("type"), F.col("_from").alias("source"), F.col("_svc").alias("target"), *kept)
-    return direct.unionByName(fallback).filter("source <> target and target is not null")
+    parents = s.select("traceId", F.col("spanId").alias("parentSpanId"), F.col("service").alias("_caller"), F.col("_src").alias("_from"), F.col("evidence").alias("_evidence"), F.col("site").alias("_site"))
+    alone = s.filter("_typed is null and size(_calls) = 0 and parentSpanId is not null").drop("evidence", "site").join(parents, ["traceId", "parentSpanId"]).filter("_caller <> service")
+    fallback = alone.select(F.lit("CALLS").alias("type"), F.col("_from").alias("source"), F.col("_svc").alias("target"), _target("ServiceNode", "service").alias("node"), "ts", "isError", "ms", F.col("_evidence").alias("evidence"), "traceId", "spanId", F.col("_site").alias("site"), no_columns)
+    template = F.coalesce(F.nullif(F.regexp_extract(F.coalesce(inc.attribute(F.col("attributes"), "next.span_name"), "name"), r"^executing api route \((?:pages|app)\) (/\S*)$", 1), F.lit("")), "httpRoute")
+    asked = s.filter(serves).withColumns({"template": template, "method": F.upper("httpMethod")}).filter("template is not null")
+    routes = route_matches(asked, graph.nodes).withColumnsRenamed({"service": "_s", "method": "_m", "template": "_t"})
+    same = (F.col("service") == F.col("_s")) & (F.col("template") == F.col("_t")) & F.col("method").eqNullSafe(F.col("_m"))
+    no_evidence = F.lit(None).cast(evidence_type())
+    served = asked.join(routes, same).select(F.lit("CONTAINS").alias("type"), ids.service_id("service").alias("source"), F.col("route").alias("target"), _target("RouteNode", "template").alias("node"), "ts", "isError", "ms", no_evidence.alias("evidence"), "traceId", "spanId", F.lit(None).cast(s.schema["site"].dataType).alias("site"), no_columns)
+    return direct.unionByName(fallback).unionByName(served).filter("source <> target and target is not null")
+
+
+def evidence_type():
+    return EDGES["evidence"].dataType
+
+
+def dispatch(spans: DataFrame, graph: Graph) -> DataFrame:
+    """(type, source, target, ts, isError, ms, evidence, traceId, spanId) of every call that spans tell of."""
+    return materialise(calls(materialise(placed(spans, graph)), graph)).drop("node", "site", "dbColumns")
 
 
 def observed_edges(spans: DataFrame, graph: Graph, dedupe: bool = False) -> DataFrame:
@@ -144,18 +237,124 @@ def observed_edges(spans: DataFrame, graph: Graph, dedupe: bool = False) -> Data
     return fold_observed(dispatch(spans, graph))
 
 
+@dataclass(frozen=True)
+class Landed:
+    """What a batch of spans brings: nodes that are new or changed (whole rows), edges to fold, incidents to append."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    incidents: DataFrame
+
+
+#: Tables whose nodes carry columns, and how sure a column is that a statement touched.
+COLUMN_KINDS = ("sql-table", "supabase-table")
+OBSERVED_COLUMN = 0.9
+
+
+def land(spans: DataFrame, graph: Graph, dedupe: bool = False) -> Landed:
+    """A batch of spans, from services to incidents.
+
+    Nodes: services, databases, infrastructure, frontiers, operations, methods,
+    channels, files and symbols that the graph lacks, frontiers seen again, and
+    tables with the columns that statements touched.  Edges: observed calls,
+    served routes, containment of observed files and symbols, and edges
+    inferred where a span failed (status 2).  Incidents: failed spans, and
+    bursts of client failures within the batch.  No input row is dropped: spans
+    without a service count as ``unidentified`` where they are read.
+    """
+    if dedupe:
+        spans = spans.dropDuplicates(["traceId", "spanId"])
+    # Both are read many times below: cut their plans, so that spans are joined once.
+    at = materialise(placed(spans, graph))
+    told = materialise(calls(at, graph))
+    known = graph.nodes.select("id")
+
+    otel = F.lit("otel").alias("discoveredVia")
+    services = at.filter("not _known").groupBy(F.col("_svc").alias("id")).agg(F.min("service").alias("name"), F.min(F.nullif("env", F.lit("unknown"))).alias("env"))
+    services = services.select("id", F.lit("ServiceNode").alias("type"), "name", "env", F.lit("unknown").alias("language"), otel)
+    files = told.filter("site.file is not null").groupBy(F.col("site.file").alias("id")).agg(F.min("site.name").alias("service"), F.min("site.path").alias("path"))
+    files = files.select("id", F.lit("FileNode").alias("type"), F.substring_index("path", "/", -1).alias("name"), "service", "path", sp.language(F.col("path")).alias("language"), otel)
+    symbols = told.filter("site.minted is not null").groupBy(F.col("site.minted").alias("id")).agg(F.min("site").alias("m"), F.min("site.line").alias("line"))
+    symbols = symbols.select("id", F.lit("SymbolNode").alias("type"), F.col("m.function").alias("name"), F.lit("function").alias("kind"), F.col("m.function").alias("qualname"), F.col("m.name").alias("service"), F.col("m.path").alias("relPath"), F.struct(F.col("line").alias("startLine"), F.col("line").alias("endLine")).alias("span"), otel)
+    targets = told.filter("node.type not in ('ServiceNode', 'RouteNode')").groupBy(F.col("target").alias("id")).agg(F.min("node").alias("m"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    is_frontier = F.col("m.type") == "FrontierNode"
+    version = F.when(F.col("m.type") == "DatabaseNode", F.lit("unknown"))
+    targets = targets.select("id", "m.*", version.alias("engineVersion"), F.when(is_frontier, F.col("first")).alias("firstObserved"), F.when(is_frontier, F.col("last")).alias("lastObserved"), F.when(~is_frontier & (F.col("m.type") != "InfraNode"), "otel").alias("discoveredVia"))
+    new = None
+    for df in (services, files, symbols, targets):
+        rows = conform(df, NODES)
+        new = rows if new is None else new.unionByName(rows)
+    new = new.join(known, "id", "left_anti")
+
+    touched = told.filter(F.col("node.kind").isin(*COLUMN_KINDS) & (F.size("dbColumns") > 0)).select(F.col("target").alias("table"), F.explode("dbColumns").alias("column"))
+    touched = touched.distinct().select("table", "column", F.lit("OBSERVED").alias("provenance"), F.lit(OBSERVED_COLUMN).alias("confidence"), F.lit(None).cast("string").alias("sdk"))
+    tables = touched.select(F.col("table").alias("id")).distinct()
+    before = graph.nodes.join(tables, "id", "left_semi").select(F.col("id").alias("table"), F.explode("columns").alias("c"))
+    before = before.select("table", F.col("c.name").alias("column"), F.explode_outer("c.provenances").alias("provenance"), F.col("c.confidence").alias("confidence"), "c.sdkWrites").select("table", "column", "provenance", "confidence", F.explode_outer("sdkWrites").alias("sdk"))
+    folded = fold_columns(touched.unionByName(before)).withColumnsRenamed({"table": "id", "columns": "_columns"})
+    seen = told.filter("node.type = 'FrontierNode'").groupBy(F.col("target").alias("id")).agg(F.max("ts").alias("_seen"))
+    again = graph.nodes.join(tables.union(seen.select("id")), "id", "left_semi")
+    rows = new.unionByName(again.select(*new.columns)).join(folded, "id", "left").join(seen, "id", "left")
+    last = F.when(F.col("type") == "FrontierNode", F.greatest("lastObserved", "_seen")).otherwise(F.col("lastObserved"))
+    nodes = conform(rows.withColumns({"columns": F.coalesce("_columns", "columns"), "lastObserved": last}), NODES)
+
+    observed = materialise(fold_observed(told))
+    contains = told.filter("site.file is not null").select(F.col("site.svc").alias("source"), F.col("site.file").alias("target"))
+    contains = contains.union(told.filter("site.minted is not null").select("site.file", "site.minted")).distinct()
+    contains = contains.select(ids.edge_id("CONTAINS", "source", "target", "OBSERVED").alias("id"), "source", "target", F.lit("CONTAINS").alias("type"), F.lit("OBSERVED").alias("provenance"))
+    failing = at.filter("statusCode = 2").select(F.col("_svc").alias("service"))
+    inferred = stitch(Graph(graph.nodes, graph.edges.unionByName(observed), graph.now), failing)
+    structure = conform(contains, EDGES).unionByName(inferred).join(graph.edges.select("id"), "id", "left_anti")
+    edges = observed.unionByName(structure.select(*observed.columns))
+
+    failed = span_incidents(at, F.coalesce("_symbol", "_file", "_svc"))
+    return Landed(nodes, edges, failed.unionByName(burst_incidents(at)))
+
+
+def burst_incidents(spans: DataFrame) -> DataFrame:
+    """One incident for each burst of client failures: how many, the commonest code, from when to when."""
+    found = inc.bursts(client_failures(spans), ["service", "peer"], "ms", "code", last="id")
+    iso = lambda c: F.date_format(F.timestamp_millis(c), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    node = spans.groupBy("service").agg(F.min("_svc").alias("affectedNode"))
+    said = F.concat(F.col("n").cast("string"), F.lit(" consecutive HTTP "), F.col("code").cast("string"), F.lit(" responses to "), F.col("peer"))
+    made = found.join(node, "service").select(
+        "id",
+        iso(F.col("last_ms")).alias("timestamp"),
+        "service",
+        F.substring_index("id", ":", 1).alias("traceId"),
+        F.substring_index("id", ":", -1).alias("spanId"),
+        F.lit("http-failure").alias("errorType"),
+        said.alias("errorMessage"),
+        "affectedNode",
+        F.col("code").alias("httpStatusCode"),
+        F.col("n").cast("int").alias("incidentCount"),
+        iso(F.col("first_ms")).alias("firstTimestamp"),
+        iso(F.col("last_ms")).alias("lastTimestamp"),
+    )
+    return conform(made, INCIDENTS)
+
+
+def overlay(nodes: DataFrame, changed: DataFrame) -> DataFrame:
+    """nodes with the rows of ``changed`` in place of those of the same id."""
+    return nodes.join(changed.select("id"), "id", "left_anti").select(*nodes.columns).unionByName(changed.select(*nodes.columns))
+
+
 def parent_calls(spans: DataFrame) -> DataFrame:
     """(traceId, spanId, parentSpanId, service, parentService): spans with the span that started them."""
     parents = spans.select("traceId", F.col("spanId").alias("parentSpanId"), F.col("service").alias("parentService"))
     return spans.select("traceId", "spanId", "parentSpanId", "service").join(parents, ["traceId", "parentSpanId"])
 
 
-def span_incidents(spans: DataFrame) -> DataFrame:
-    """Incidents of failed spans: status 2 or an exception, else HTTP 500 and above, else a gRPC failure."""
+def span_incidents(spans: DataFrame, affected: Column | None = None) -> DataFrame:
+    """Incidents of failed spans: status 2 or an exception, else HTTP 500 and above, else a gRPC failure.
+
+    ``affected`` names the node at fault; without it, the file of the call site as observed, else the service.
+    """
     a = F.col("attributes")
     failed = sp.is_error(F.col("statusCode"), a) | F.col("exception").isNotNull()
     path = sp.code_path(a)
-    affected = F.when(path.isNotNull(), sp.source_node(F.col("service"), F.col("env"), a)).otherwise(ids.service_id("service", "env"))
+    if affected is None:
+        affected = F.when(path.isNotNull(), sp.source_node(F.col("service"), F.col("env"), a)).otherwise(ids.service_id("service", "env"))
     made = spans.filter(failed).select(
         F.concat("traceId", F.lit(":"), "spanId").alias("id"),
         text.iso_from_nanos(F.col("startTimeUnixNano")).alias("timestamp"),
@@ -174,9 +373,9 @@ def span_incidents(spans: DataFrame) -> DataFrame:
 
 
 def client_failures(spans: DataFrame) -> DataFrame:
-    """(service, peer, ms, code): 400s seen by callers, of which bursts are incidents."""
+    """(service, peer, ms, code, id): 400s seen by callers, of which bursts are incidents."""
     code = inc.http_status(F.col("attributes"))
-    return spans.filter(sp.calls_out(F.col("kind")) & code.between(400, 499) & (F.coalesce("statusCode", F.lit(0)) != 2)).select("service", F.coalesce(sp.peer(F.col("attributes")), "spanId").alias("peer"), (F.col("startTimeUnixNano") / 1_000_000).cast("long").alias("ms"), code.alias("code"))
+    return spans.filter(sp.calls_out(F.col("kind")) & code.between(400, 499) & (F.coalesce("statusCode", F.lit(0)) != 2)).select("service", F.coalesce(sp.peer(F.col("attributes")), "spanId").alias("peer"), (F.col("startTimeUnixNano") / 1_000_000).cast("long").alias("ms"), code.alias("code"), F.concat("traceId", F.lit(":"), "spanId").alias("id"))
 
 
 def route_to_projects(spans: DataFrame, projects: DataFrame, default: str = "default") -> DataFrame:

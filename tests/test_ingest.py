@@ -46,6 +46,59 @@ def test_dispatch(spark, graph):
     }
 
 
+def test_land(spark):
+    nodes = [
+        {"id": "service:Shop", "type": "ServiceNode", "name": "Shop", "discoveredVia": "static"},
+        {"id": "service:b", "type": "ServiceNode", "name": "b"},
+        {"id": "service:c", "type": "ServiceNode", "name": "c"},
+        {"id": "file:Shop:src/pay.py", "type": "FileNode", "service": "Shop", "path": "src/pay.py"},
+        {"id": "symbol:Shop:src/pay.py#charge", "type": "SymbolNode", "service": "Shop", "relPath": "src/pay.py", "qualname": "charge", "span": (1, 9)},
+        {"id": "route:shop:POST /pay/:id", "type": "RouteNode", "service": "shop", "method": "POST", "pathTemplate": "/pay/:id"},
+        {"id": "infra:sql-table:orders", "type": "InfraNode", "name": "orders", "kind": "sql-table", "columns": [("id", ["EXTRACTED"], 0.85, None)]},
+        {"id": "frontier:gone", "type": "FrontierNode", "name": "gone", "host": "gone"},
+    ]
+    edges = [{"id": "CALLS:service:Shop->service:c", "source": "service:Shop", "target": "service:c", "type": "CALLS", "provenance": "EXTRACTED"}]
+    g = Graph(table(spark, NODES, nodes), table(spark, EDGES, edges))
+    at = lambda line, f: {"server.address": "b", "code.file.path": "/srv/src/pay.py", "code.line.number": line, "code.function.name": f}
+    rows = [
+        span("1", service="shop", attributes=at("4", "charge"), statusCode=2),
+        span("2", service="shop", attributes=at("40", "refund")),
+        span("3", service="shop", kind=2, name="s", httpRoute="/pay/{x}", httpMethod="post"),
+        span("4", service="shop", dbSystem="postgresql", dbTable="orders", dbColumns=["id", "total"], attributes={"server.address": "pg"}),
+        span("5", service="new", attributes={"server.address": "gone"}, env="prod"),
+        span("6", service="new", kind=2, graphqlOperationName="Cart", graphqlOperationType="QUERY", env="prod"),
+        span("7", service="new", kind=2, rpcSystem="grpc", rpcService="p.S", rpcMethod="M", env="prod"),
+        span("8", service="new", kind=2, websocketChannel="/ws", env="prod"),
+        span("9", service="new", kind=3, websocketChannel="/ws", rpcSystem="grpc", rpcService="p.S", rpcMethod="M", attributes={"server.address": "b"}, env="prod"),
+        *(span(str(i), attributes={"server.address": "b", "http.response.status_code": "404"}, service="b2") for i in range(20, 25)),
+    ]
+    done = ingest.land(table(spark, SPANS, rows), g)
+    made = {r["id"]: r for r in done.nodes.collect()}
+    assert {*made} == {"service:new:prod", "service:b2", "symbol:Shop:src/pay.py#refund", "database:pg", "infra:sql-table:orders", "frontier:gone", "graphql:new:query Cart", "grpc:p.S/M", "ws:new:/ws"}
+    assert [(c["name"], c["provenances"], c["confidence"]) for c in made["infra:sql-table:orders"]["columns"]] == [("id", ["EXTRACTED", "OBSERVED"], 0.9), ("total", ["OBSERVED"], 0.9)]
+    assert made["frontier:gone"]["lastObserved"] and made["service:new:prod"]["env"] == "prod" and made["database:pg"]["engine"] == "postgresql"
+    got = {r["id"]: r["callCount"] for r in done.edges.collect()}
+    assert got == {
+        "CALLS:OBSERVED:symbol:Shop:src/pay.py#charge->service:b": 1,
+        "CALLS:OBSERVED:symbol:Shop:src/pay.py#refund->service:b": 1,
+        "CONTAINS:OBSERVED:service:Shop->file:Shop:src/pay.py": None,
+        "CONTAINS:OBSERVED:file:Shop:src/pay.py->symbol:Shop:src/pay.py#refund": None,
+        "CONTAINS:OBSERVED:service:shop->route:shop:POST /pay/:id": 1,
+        "CONNECTS_TO:OBSERVED:service:Shop->database:pg": 1,
+        "CALLS:OBSERVED:service:Shop->infra:sql-table:orders": 1,
+        "CALLS:OBSERVED:service:new:prod->frontier:gone": 1,
+        "CONTAINS:OBSERVED:service:new:prod->graphql:new:query Cart": 1,
+        "CONTAINS:OBSERVED:service:new:prod->grpc:p.S/M": 1,
+        "CONNECTS_TO:OBSERVED:service:new:prod->ws:new:/ws": 1,
+        "CALLS:OBSERVED:service:new:prod->service:b": 1,
+        "CALLS:OBSERVED:service:b2->service:b": 5,
+        "CALLS:INFERRED:service:Shop->service:c": None,
+    }
+    told = {r["id"]: r for r in done.incidents.collect()}
+    assert {*told} == {"t:1", "t:24"} and told["t:1"]["affectedNode"] == "symbol:Shop:src/pay.py#charge"
+    assert (told["t:24"]["incidentCount"], told["t:24"]["errorMessage"]) == (5, "5 consecutive HTTP 404 responses to b")
+
+
 OTLP = {
     "resourceSpans": [
         {
@@ -73,8 +126,11 @@ def test_stream_equals_batch(spark, tmp_path, graph):
     (source / "2.json").write_text(json.dumps(OTLP))
     edges = pipelines.EdgeTable(spark, str(tmp_path / "edges"))
     pipelines.ingest_stream(spark, str(source), edges, graph, str(tmp_path / "cp"), str(tmp_path / "incidents"), once=True, max_files=1).awaitTermination()
-    batch = ingest.observed_edges(otlp.flatten(otlp.read_requests(spark, str(source))), graph)
-    key = lambda df: {r["id"]: (r["callCount"], r["signal"]["errorCount"]) for r in df.collect()}
+    landed = ingest.land(otlp.flatten(otlp.read_requests(spark, str(source))), graph)
+    batch = landed.edges
+    row = lambda df: sorted((r["id"], r["type"], r["name"], str(r["columns"])) for r in df.collect())
+    assert row(edges.read_nodes()) == row(landed.nodes) and row(landed.nodes)
+    key = lambda df: {r["id"]: (r["callCount"], r["signal"] and r["signal"]["errorCount"]) for r in df.collect()}
     assert key(edges.read()) == key(batch) and key(batch)
     assert spark.read.schema(INCIDENTS).json(str(tmp_path / "incidents")).select("id").distinct().count() == 2
     before = edges.current()
