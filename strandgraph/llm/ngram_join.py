@@ -48,6 +48,8 @@ WORD = np.ones(256, bool)
 WORD[[32, 9, 10, 11, 12, 13]] = False
 #: Seeds of the hash orders that candidates must pass besides the first; they do not look at frequencies.
 ORDERS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
+#: A token with over 1 / HEAVY of all rows is looked up in a broadcast table: there are fewer than HEAVY of these.
+HEAVY = 4096
 
 
 def need(size, percent: int):
@@ -268,6 +270,23 @@ def _verify(percent: int):
     return run
 
 
+def _by_token(rows: DataFrame, table: DataFrame, count: str, total: int) -> tuple[DataFrame, DataFrame]:
+    """(rows joined with table, rows that it lacks) by token, without a task that gets all rows of a frequent one.
+
+    table has one row a token, ``count`` of ``rows`` have it, and there are
+    ``total`` rows.  Tokens with more than total / HEAVY rows are broadcast,
+    their rows stay where they are; the others are joined by a shuffle.
+    """
+    heavy = F.col(count) * HEAVY > total
+    few, many = F.broadcast(table.filter(heavy)), table.filter(~heavy)
+    rest = rows.join(few.select("token"), "token", "left_anti")
+    return rows.join(few, "token").unionByName(rest.join(many, "token")), rest.join(many.select("token"), "token", "left_anti")
+
+
+def _sum(df: DataFrame, what: str) -> int:
+    return df.agg(F.sum(F.expr(what)).alias("s")).first()["s"] or 0
+
+
 def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85, block: int = 128) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, n_links (other documents linked with it)."""
     spark = docs.sparkSession
@@ -292,8 +311,9 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     sets = checkpoint(chosen.mapInArrow(_sets(n), "node long, n long, tokens array<long>").filter("n > 0"))
 
     each = sets.select("node", F.explode("tokens").alias("token"))
-    often = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("token", F.floor(F.log2("df")).cast("int").alias("level"))
-    common = each.join(often, "token").groupBy("node").agg(F.array_sort(F.collect_set(F.struct("level", "token"))).alias("shared"))
+    often = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("token", F.floor(F.log2("df")).cast("int").alias("level"), "df")
+    common, _ = _by_token(each, often, "df", _sum(sets, "size(tokens)"))
+    common = common.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("level", "token"))).alias("shared"))
     least = f"cast(ceil(n * {percent} / 100.0) as int)"
     common = common.join(classes.select("node", "n", "times"), "node").filter(f"size(shared) >= {least}")
     nodes = checkpoint(common.select("node", "n", "times", F.col("shared.level").alias("levels"), F.col("shared.token").alias("tokens"), F.array_min("shared.token").alias("near")))
@@ -303,14 +323,15 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     row = F.monotonically_increasing_id()
     placed = checkpoint(placed.select("node", (F.shiftright(row, 33) * (1 << 33) + F.floor(row.bitwiseAND(F.lit((1 << 33) - 1)) / block)).alias("block")))
     nodes = checkpoint(nodes.drop("near").join(placed, "node"))
-    prefix = nodes.select("node", "n", "block", F.explode(F.expr(f"slice(tokens, 1, size(tokens) - {least} + 1)")).alias("token"))
+    length = f"size(tokens) - {least} + 1"
+    prefix = nodes.select("node", "n", "block", F.explode(F.expr(f"slice(tokens, 1, {length})")).alias("token"))
     # A token of more nodes than a block holds would meet each of them with each block: such tokens pair blocks.
-    hot = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > block).select("token")
+    hot = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > block)
+    dense, rare = _by_token(prefix, hot, "k", _sum(nodes, length))
+    dense = dense.drop("k")
     there = lambda p: p.groupBy("token", F.col("block").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("k"))
-    rare = prefix.join(hot, "token", "left_anti")
     meet = rare.join(there(rare), "token").filter(f"(block <> other or k > 1) and n * 100 >= {percent} * low and high * 100 >= {percent} * n")
     meet = meet.select(F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "node")
-    dense = prefix.join(hot, "token", "left_semi")
     side = there(dense)
     first = side.select("token", F.col("other").alias("b1"), F.col("low").alias("low1"), F.col("high").alias("high1"), F.col("k").alias("k1"))
     second = side.select("token", F.col("other").alias("b2"), "low", "high")

@@ -37,6 +37,17 @@ def test_ngram_join_hot_group(spark):
     assert got == sorted(brute.op1(plain))
 
 
+@pytest.mark.parametrize("heavy", [2, 40, 1 << 40])
+def test_ngram_join_frequent_tokens(spark, monkeypatch, heavy):
+    """Tokens that are broadcast or shuffled, frequent ones in a third of all texts: the same links."""
+    monkeypatch.setattr(ngram_join, "HEAVY", heavy)
+    rng = random.Random(5)
+    plain = [(d, " ".join(["the same five words again"] * (d % 3 == 0) + [f"v{rng.randrange(30)}" for _ in range(4)] + [f"w{d // 4}-{i}" for i in range(40)])) for d in range(90)]
+    df = spark.createDataFrame(plain, "doc_id long, text string")
+    got = rows_of(ngram_join.ngram_jaccard_join(df, block=2), "doc_id", "n_shingles", "component_id", "n_links")
+    assert got == sorted(brute.op1(plain)) and any(r[3] for r in got)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     rank = spark.createDataFrame([(i, 1000 - i) for i in [*range(41), 100, 101]], "node long, rank long")
