@@ -6,7 +6,7 @@ import pytest
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-SOME = ("blast_radius_multi", "edge_observed_upsert", "edge_confidence", "transitive_dependencies", "observed_summary", "node_context", "expand_up", "relate", "failing_chain", "load_origin", "latency_quantile", "counter_delta", "route_normalise", "symbol_range_join", "divergence_ranked", "policy_compatibility", "stale_events", "trace_stitch", "incident_dedupe", "burst_4xx", "graph_diff_edges", "snapshot_merge", "vector_top_k", "ask_tokens", "ask_intent", "ask_entities", "span_dispatch", "sql_table", "column_fold")
+SOME = ("blast_radius_multi", "edge_observed_upsert", "edge_confidence", "transitive_dependencies", "observed_summary", "node_context", "expand_up", "relate", "failing_chain", "load_origin", "latency_quantile", "counter_delta", "route_normalise", "symbol_range_join", "divergence_ranked", "policy_compatibility", "stale_events", "trace_stitch", "incident_dedupe", "burst_4xx", "graph_diff_edges", "snapshot_merge", "vector_top_k", "ask_tokens", "ask_intent", "ask_entities", "span_dispatch", "sql_table", "column_fold", "connector_rest", "connector_insights", "incident_ledger", "unrouted_services", "extract_edges")
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
 
