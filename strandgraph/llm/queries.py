@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, fingerprint, line_dedup, ngram_join, pii, quality, sentencepiece_table, shard, suffix_dedup
+from . import chat, decontam, fingerprint, line_dedup, ngram_join, pii, quality, sentencepiece_table, shard, suffix_dedup, token_alignment
 from .oracle import ORACLE_SQL
 
 
@@ -14,11 +14,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
-    """Where the public tokenizer's file lies."""
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
+    """Where a public tokenizer's file lies."""
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_table.op10_sentencepiece(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.op13_token_alignment(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_line_dedup": op2_line_dedup,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_fingerprints": op9_fingerprints,
     "op10_sentencepiece": op10_sentencepiece,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -180,3 +180,53 @@ def op7(docs, width=50):
         spans = sum(gone[i] and not gone[i + 1] for i in range(len(b)))
         out.append((d, len(b), len(b) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def op13(docs, tokenizer, sp, kind="ends"):
+    """docs: (doc_id, text); links by comparing every A token with every B token of a text."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    byte = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(rest)}
+    rows, corpus = [], {}
+    for d, t in docs:
+        a = b = []
+        if t:
+            whole = (" " + t).encode()
+            a = [(i, bytes(byte[c] for c in tokenizer.id_to_token(i))) for i in tokenizer.encode(" " + t, add_special_tokens=False).ids]
+            b = [(i, bytes([int(p[3:5], 16)]) if re.fullmatch("<0x..>", p) else p.replace("▁", " ").encode()) for i, p in ((i, sp.id_to_piece(i)) for i in sp.encode(t))]
+            if b"".join(x for _, x in a) != whole or b"".join(x for _, x in b) != whole:
+                a = b = []
+
+        def spans(tokens):
+            out, at = [], 0
+            for i, x in tokens:
+                out.append((i, at, at + len(x)))
+                at += len(x)
+            return out
+
+        sa, sb = spans(a), spans(b)
+        groups, ga, gb, ia, ib = [], [], [], 0, 0
+        while ia < len(sa) or ib < len(sb):
+            if ib >= len(sb) or (ia < len(sa) and sa[ia][2] <= sb[ib][2]):
+                ga.append(sa[ia])
+                ia += 1
+            else:
+                gb.append(sb[ib])
+                ib += 1
+            if ga and gb and ga[-1][2] == gb[-1][2]:
+                groups.append((ga, gb))
+                ga, gb = [], []
+        found = []
+        for x, y in groups:
+            for i, s1, e1 in x:
+                for j, s2, e2 in y:
+                    if kind == "products" or (kind == "ends" and e1 == e2) or (kind == "overlaps" and s1 < e2 and s2 < e1):
+                        found.append((i, j))
+        for pair in found:
+            corpus[pair] = corpus.get(pair, 0) + 1
+        told = ";".join(",".join(str(t[0]) for t in x) + "|" + ",".join(str(t[0]) for t in y) for x, y in groups)
+        rows.append((d, len(sa), len(sb), len(groups), found, hashlib.sha256(told.encode()).hexdigest() if groups else ""))
+    most = {}
+    for (_, j), n in corpus.items():
+        most[j] = max(most.get(j, 0), n)
+    return [(d, na, nb, ng, len(f), sum(corpus[p] == most[p[1]] for p in f), sum(corpus[p] for p in f), sha) for d, na, nb, ng, f, sha in rows], corpus
