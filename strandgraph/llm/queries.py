@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, fingerprint, line_dedup, ngram_join, pii, quality, sentencepiece_table, shard, suffix_dedup, token_alignment
+from . import chat, decontam, fingerprint, line_dedup, ngram_join, pii, quality, sentencepiece_table, shard, spelling, suffix_dedup, token_alignment
 from .oracle import ORACLE_SQL
 
 
@@ -66,6 +66,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_table.op10_sentencepiece(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.op11_spelling(_read(spark, sf_dir, "documents"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.op13_token_alignment(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path())
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_fingerprints": op9_fingerprints,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_spelling": op11_spelling,
     "op13_token_alignment": op13_token_alignment,
 }
 

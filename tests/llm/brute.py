@@ -230,3 +230,40 @@ def op13(docs, tokenizer, sp, kind="ends"):
     for (_, j), n in corpus.items():
         most[j] = max(most.get(j, 0), n)
     return [(d, na, nb, ng, len(f), sum(corpus[p] == most[p[1]] for p in f), sum(corpus[p] for p in f), sha) for d, na, nb, ng, f, sha in rows], corpus
+
+
+def one_edit(a, b):
+    """Whether exactly one inserted, deleted or replaced code point makes a into b."""
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def op11(docs, least=7):
+    import zlib
+
+    n = {}
+    for d, t in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            w = low(run)
+            h = zlib.crc32(f"{'' if d is None else d}:{w}".encode())
+            if h % 31 == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            n[w] = n.get(w, 0) + 1
+    n = {w: k for w, k in n.items() if len(w) >= least and k > 1}
+    near = {w: [v for v in n if one_edit(w, v)] for w in n}
+    form = {}
+    for w, vs in near.items():
+        best = min(vs, key=lambda v: (-n[v], v), default=None)
+        if best is not None and n[best] >= 10 * n[w]:
+            form[w] = best
+
+    def root(w):
+        while w in form:
+            w = form[w]
+        return w
+
+    return [(w, form.get(w), root(w), n[w], len(near[w]), n[form[w]] if w in form else None) for w in n]
