@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, fingerprint, line_dedup, ngram_join, pii, quality, sentencepiece_table, shard, spelling, suffix_dedup, token_alignment
+from . import chat, decontam, fingerprint, line_dedup, ngram_join, pii, quality, rlz_dedup, sentencepiece_table, shard, spelling, suffix_dedup, token_alignment
 from .oracle import ORACLE_SQL
 
 
@@ -70,6 +70,10 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.op11_spelling(_read(spark, sf_dir, "documents"))
 
 
+def op12_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlz_dedup.op12_rlz_dedup(_read(spark, sf_dir, "documents"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.op13_token_alignment(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path())
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_spelling": op11_spelling,
+    "op12_rlz_dedup": op12_rlz_dedup,
     "op13_token_alignment": op13_token_alignment,
 }
 

@@ -267,3 +267,19 @@ def op11(docs, least=7):
         return w
 
     return [(w, form.get(w), root(w), n[w], len(near[w]), n[form[w]] if w in form else None) for w in n]
+
+
+def op12(docs, window=20):
+    """docs: (doc_id, order, text); rows with the same doc_id and text are one document."""
+    last = (1 << 63) - 1
+    cut = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    first, out = {}, {}
+    for d, o, t in sorted({(last if d is None else d, o, t or "") for d, o, t in docs}):
+        w = cut(t)
+        gone = set()
+        for i in range(len(w) - window + 1):
+            if first.setdefault(tuple(w[i : i + window]), (d, o, i)) != (d, o, i):
+                gone.update(range(i, i + window))
+        kept = [x for i, x in enumerate(w) if i not in gone]
+        out[d, o] = (len(w), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest())
+    return [(d, *out[last if d is None else d, o]) for d, o, _ in docs]
