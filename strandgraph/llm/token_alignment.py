@@ -12,8 +12,8 @@ A is a byte-level BPE whose words take at most one leading space; B is a BPE
 with white-space markers.  In front of a single space between two printable
 Latin characters neither has a token that crosses, so a text is cut there, and
 each task aligns a distinct chunk once and joins what it found by position.
-The table of chunks is bounded by ``table_entries`` and starts anew when full,
-which changes no result.
+The table of chunks is bounded by ``table_entries``; when full it starts anew
+with the chunks that came more than once, which changes no result.
 
 Counts of id pairs over the whole corpus come from counts of chunks.  Sums over
 a document's links look up the most frequent pairs (at most ``frequent``, a
@@ -35,6 +35,7 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -101,9 +102,8 @@ def align(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return a, b, np.concatenate([[0], np.cumsum(closes)[:-1]]), closes
 
 
-def links(ends_a: np.ndarray, ends_b: np.ndarray, kind: str = "ends") -> tuple[np.ndarray, np.ndarray]:
-    """Places of the linked A and B tokens."""
-    a, b, group, closes = align(ends_a, ends_b)
+def linked(a: np.ndarray, b: np.ndarray, closes: np.ndarray, kind: str = "ends") -> tuple[np.ndarray, np.ndarray]:
+    """Places of the linked A and B tokens, from the intervals that ``align`` found."""
     if kind == "ends":
         return a[closes], b[closes]
     if kind == "overlaps":
@@ -118,6 +118,12 @@ def links(ends_a: np.ndarray, ends_b: np.ndarray, kind: str = "ends") -> tuple[n
     return a0[which] + within // nb[which], b0[which] + within % nb[which]
 
 
+def links(ends_a: np.ndarray, ends_b: np.ndarray, kind: str = "ends") -> tuple[np.ndarray, np.ndarray]:
+    """Places of the linked A and B tokens of one text."""
+    a, b, _, closes = align(ends_a, ends_b)
+    return linked(a, b, closes, kind)
+
+
 class Chunks:
     """Distinct chunk -> its tokens, groups and links."""
 
@@ -130,16 +136,28 @@ class Chunks:
         self.bytes_a, self.bytes_b = token_bytes_a(json.loads(a_json)), token_bytes_b(self.b)
         self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
         self.entries, self.kind = entries, kind
-        self.clear()
+        # How an id is told: an A id within its group or last in it, then a B id.
+        self.told = [f"{i}{end}" for size, ends in ((len(self.bytes_a), ",|"), (len(self.bytes_b), ",;")) for end in ends for i in range(size)]
+        self.start([])
+
+    def start(self, kept: list[int]) -> None:
+        """A new table, with some of the chunks of the one before."""
+        keys = [*self.at] if kept else []
+        groups, codes = ([x[k] for k in kept] for x in (self.groups, self.codes)) if kept else ([], [])
+        #: A tokens, B tokens, groups, links, whether the bytes differ
+        numbers = np.zeros((max(1024, 2 * len(kept)), 5), np.int64)
+        if kept:
+            numbers[: len(kept)] = self.numbers[kept]
+        self.at: dict[str, int] = {keys[k]: i for i, k in enumerate(kept)}
+        self.groups: list[str] = groups
+        self.codes: list[bytes] = codes
+        self.numbers, self.seen = numbers, np.zeros(len(numbers), np.int64)
+        self.chars = sum(map(len, self.at))
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.chars = 0
-        self.groups: list[str] = []
-        self.codes: list[bytes] = []
-        #: A tokens, B tokens, groups, links, whether the bytes differ
-        self.numbers = np.zeros((1024, 5), np.int64)
-        self.seen = np.zeros(1024, np.int64)
+        """Start anew with the chunks that came twice or more, if they are no more than half a table."""
+        kept = np.flatnonzero(self.seen > 1).tolist()
+        self.start(kept if len(kept) <= self.entries // 2 and self.chars <= CHARS else [])
 
     def keys_of(self, text: str) -> list[str]:
         """The chunks of space+text, each without its leading space."""
@@ -151,47 +169,46 @@ class Chunks:
         """Align chunks that the table lacks, many in one pass."""
         if not new:
             return
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + c for c in new], add_special_tokens=False)]
+        marked = [" " + c for c in new]
+        ids_a = [e.ids for e in self.a.encode_batch_fast(marked, add_special_tokens=False)]
         ids_b = self.b.encode(new, num_threads=1)
-        flat_a, flat_b = (np.fromiter((i for x in ids for i in x), np.int64) for ids in (ids_a, ids_b))
-        bad = np.zeros(len(new), bool)
-        for k, (c, x, y) in enumerate(zip(new, ids_a, ids_b, strict=True)):
-            own = b" " + c.encode()
-            bad[k] = b"".join(map(self.bytes_a.__getitem__, x)) != own or b"".join(map(self.bytes_b.__getitem__, y)) != own
-        n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (ids_a, ids_b))
+        n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(new)) for ids in (ids_a, ids_b))
         of_a, of_b = np.repeat(np.arange(len(new)), n_a), np.repeat(np.arange(len(new)), n_b)
+        own = [c.encode() for c in marked]
+        sizes = np.fromiter(map(len, own), np.int64, len(new))
+        whole = b"".join(own)
+        bad = np.zeros(len(new), bool)
+        for table, size, flat, of, ids in ((self.bytes_a, self.size_a, flat_a, of_a, ids_a), (self.bytes_b, self.size_b, flat_b, of_b, ids_b)):
+            # Equal as a whole and in every chunk's length: equal in every chunk.
+            if not (np.array_equal(np.bincount(of, size[flat], len(new)), sizes) and b"".join(map(table.__getitem__, flat.tolist())) == whole):
+                bad |= np.array([b"".join(map(table.__getitem__, i)) != o for i, o in zip(ids, own, strict=True)])
         # Bad chunks stay in the table, but their tokens are not aligned.
-        flat_a, of_a, flat_b, of_b = flat_a[~bad[of_a]], of_a[~bad[of_a]], flat_b[~bad[of_b]], of_b[~bad[of_b]]
-        n_a[bad], n_b[bad] = 0, 0
-        ends_a, ends_b = np.cumsum(self.size_a[flat_a]), np.cumsum(self.size_b[flat_b])
+        if bad.any():
+            flat_a, of_a, flat_b, of_b = flat_a[~bad[of_a]], of_a[~bad[of_a]], flat_b[~bad[of_b]], of_b[~bad[of_b]]
+            n_a[bad], n_b[bad] = 0, 0
         numbers = np.zeros((len(new), 5), np.int64)
         numbers[:, 0], numbers[:, 1], numbers[:, 4] = n_a, n_b, bad
         groups, codes = [""] * len(new), [b""] * len(new)
         if len(flat_a):
-            a, b, _, closes = align(ends_a, ends_b)
-            owner = of_a[a[closes]]
-            numbers[:, 2] = np.bincount(owner, minlength=len(new))
-            la, lb = links(ends_a, ends_b, self.kind)
-            pairs = (flat_a[la] << SHIFT) | flat_b[lb]
-            of = of_a[la]
-            numbers[:, 3] = np.bincount(of, minlength=len(new))
-            edges = np.concatenate([[0], np.cumsum(numbers[:, 3])])
-            for k in range(len(new)):
-                codes[k] = pairs[edges[k] : edges[k + 1]].tobytes()
+            a, b, _, closes = align(np.cumsum(self.size_a[flat_a]), np.cumsum(self.size_b[flat_b]))
+            numbers[:, 2] = np.bincount(of_a[a[closes]], minlength=len(new))
+            la, lb = linked(a, b, closes, self.kind)
+            numbers[:, 3] = np.bincount(of_a[la], minlength=len(new))
+            pairs = ((flat_a[la] << SHIFT) | flat_b[lb]).tobytes()
+            edges = [0, *np.cumsum(8 * numbers[:, 3]).tolist()]
+            codes = [pairs[x:y] for x, y in zip(edges[:-1], edges[1:], strict=True)]
             shut_a, shut_b = np.zeros(len(flat_a), bool), np.zeros(len(flat_b), bool)
             shut_a[a[closes]], shut_b[b[closes]] = True, True
-            told_a = np.char.add(flat_a.astype("U"), np.where(shut_a, "|", ","))
-            told_b = np.char.add(flat_b.astype("U"), np.where(shut_b, ";", ","))
-            # A token stands behind the B tokens of earlier groups, a B token behind the A tokens of its own too.
-            before_a, before_b = np.concatenate([[0], np.cumsum(shut_a)[:-1]]), np.concatenate([[0], np.cumsum(shut_b)[:-1]])
-            all_a, all_b = np.concatenate([[0], np.flatnonzero(shut_a) + 1]), np.concatenate([[0], np.flatnonzero(shut_b) + 1])
-            told = np.empty(len(flat_a) + len(flat_b), object)
-            told[np.arange(len(flat_a)) + all_b[before_a]] = told_a
-            told[np.arange(len(flat_b)) + all_a[before_b + 1]] = told_b
-            edges = np.concatenate([[0], np.cumsum(n_a + n_b)])
-            told = told.tolist()
-            for k in range(len(new)):
-                groups[k] = "".join(told[edges[k] : edges[k + 1]])[:-1]
+            # An A token stands behind the B tokens of earlier groups, a B token behind the A tokens of its own too.
+            before_a, before_b = np.cumsum(shut_a) - shut_a, np.cumsum(shut_b) - shut_b
+            all_a, all_b = np.append(0, np.flatnonzero(shut_a) + 1), np.append(0, np.flatnonzero(shut_b) + 1)
+            told = np.empty(len(flat_a) + len(flat_b), np.int64)
+            told[np.arange(len(flat_a)) + all_b[before_a]] = flat_a + len(self.bytes_a) * shut_a
+            told[np.arange(len(flat_b)) + all_a[before_b + 1]] = 2 * len(self.bytes_a) + flat_b + len(self.bytes_b) * shut_b
+            words = [*map(self.told.__getitem__, told.tolist())]
+            edges = [0, *np.cumsum(n_a + n_b).tolist()]
+            groups = ["".join(words[x:y])[:-1] for x, y in zip(edges[:-1], edges[1:], strict=True)]
         self.chars += sum(map(len, new))
         first = len(self.groups)
         self.at.update(zip(new, range(first, first + len(new)), strict=True))
@@ -238,6 +255,7 @@ def _chunked(a_json: str, b_model: bytes, entries: int, kind: str, text: str, co
                     yield from counted()
                     table.clear()
                     new = set().union(*keys)
+                    new.difference_update(table.at)
                 new = [*new]
                 for j in range(0, len(new), 20_000):
                     table.add(new[j : j + 20_000])
@@ -287,7 +305,7 @@ def _looked_up(frequent, links_at: int):
     return run
 
 
-def align_tokens(docs: DataFrame, a_json: str, b_model: bytes, text: str = "text", kind: str = "ends", keep_text: bool = True, table_entries: int = 150_000, frequent: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+def align_tokens(docs: DataFrame, a_json: str, b_model: bytes, text: str = "text", kind: str = "ends", keep_text: bool = True, table_entries: int = 300_000, frequent: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
     """(docs with OUTPUTS, pairs): pairs has a_id, b_id, n (links in the whole corpus) and best.
 
     a_json: a byte-level BPE in the form of the tokenizers library; b_model: a
