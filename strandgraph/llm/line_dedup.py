@@ -28,7 +28,7 @@ through; a clash with an output name is refused.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sparkops import checkpoint
@@ -92,6 +92,18 @@ def repeated_runs(lines: DataFrame, min_lines: int, min_words: int | None = None
     return out.groupBy("doc", "pos").agg(F.max("depth").alias("depth"))
 
 
+def intervals(runs: DataFrame) -> DataFrame:
+    """(doc, start, end) of the maximal stretches of lines that runs (doc, pos, depth) cover; end is exclusive.
+
+    One row a stretch, so what follows is linear in lines however long the runs are.
+    """
+    order = Window.partitionBy("doc").orderBy("pos")
+    reach = F.max(F.col("pos") + F.col("depth")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = runs.withColumn("new", F.when(F.col("pos") <= reach, 0).otherwise(1))
+    numbered = opened.withColumn("k", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return numbered.groupBy("doc", "k").agg(F.min("pos").alias("start"), F.max(F.col("pos") + F.col("depth")).alias("end")).drop("k")
+
+
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_lines: int = 2, min_words: int | None = None) -> DataFrame:
     """docs with the text's kept lines, n_lines and n_kept."""
     if clash := {"n_lines", "n_kept", "_doc", "_key", "_gone", "_first", "_lines", "_kept"} & {*docs.columns}:
@@ -105,8 +117,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     order = F.struct("doc", "key")
     sequences = lines.select(order.alias("doc"), "pos", "id", "long")
     runs = repeated_runs(sequences, min_lines, min_words)
-    gone = runs.select("doc", F.explode(F.sequence("pos", F.col("pos") + F.col("depth") - 1)).alias("line"))
-    gone = gone.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("_gone"))
+    gone = intervals(runs).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_gone"))
     shared = lines.filter("pos = 0 and copies > 1").select("key", F.col("doc").alias("_first"))
     told = gone.select(F.col("doc.key").alias("key"), "_gone").join(shared, "key", "full").withColumnRenamed("key", "_key")
     told = checkpoint(told)
@@ -115,8 +126,12 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     split = joined.withColumn("_lines", F.split(text, "\n", -1))
     copy = F.col("_first").isNotNull() & (F.col("_doc") > F.col("_first"))
     whole = copy & (F.size("_lines") >= min_lines)
+    # What is kept lies between the intervals: from the end of one to the start of the next, or to the last line.
+    ends = F.concat(F.array(F.lit(0)), F.transform("_gone", lambda g: g["end"]))
+    start_after = lambda i, lines: F.coalesce(F.get(F.col("_gone"), i)["start"], F.size(lines))
+    piece = lambda lines: F.transform(ends, lambda end, i: F.slice(lines, end + 1, start_after(i, lines) - end))
     # Bound by the outer lambda, the lines are split once.
-    without_gone = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone"), lambda i: F.get(lines, i))
+    without_gone = lambda lines: F.flatten(piece(lines))
     kept = (
         F.when(F.col(text).isNull(), F.expr("cast(array() as array<string>)"))
         .when(whole, F.expr("cast(array() as array<string>)"))

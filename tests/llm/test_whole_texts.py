@@ -340,3 +340,21 @@ def test_stages_of_the_pipeline_on_odd_tables(messy, nothing, spark):
             assert out.count() <= docs.count()
     kept = p.near_duplicates_stage(spark, messy.drop("label"), sf).collect()
     assert sum(r["doc_id"] is None for r in kept) == 3
+
+
+def test_long_runs_stay_linear(spark):
+    """Two logs that differ in one line: rows made grow with lines, not with their square."""
+    made = []
+    for n in (2000, 4000, 8000):
+        lines = [f"line {k} of the log" for k in range(n)]
+        other = [*lines[: n // 2], "another line", *lines[n // 2 + 1 :]]
+        rows = [(1, "\n".join(lines)), (2, "\n".join(other))]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        parts = docs.select(F.struct("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc", "pos", F.xxhash64("line").alias("id"), F.lit(False).alias("long"))
+        runs = line_dedup.repeated_runs(parts, 2)
+        cut = line_dedup.intervals(runs)
+        made.append(runs.count())
+        assert sorted((r["start"], r["end"]) for r in cut.collect()) == [(0, n // 2), (n // 2 + 1, n)]
+        got = {r["doc_id"]: (r["text"], r["n_kept"]) for r in line_dedup.dedup_lines(docs).collect()}
+        assert got == {1: (rows[0][1], n), 2: ("another line", 1)}
+    assert made[1] < 2.2 * made[0] and made[2] < 2.2 * made[1] and made[2] <= 8000
