@@ -89,6 +89,25 @@ def dedupe(incidents: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     return once.filter("not _synth or traceId is null").unionByName(restated).drop("_synth")
 
 
+def _blocks(failures: DataFrame, key: list[str], ts_ms: str, code: str, size: int, gap_ms: int, last: str | None) -> DataFrame:
+    """failures with their session, their row in it and the block of ``size`` rows that this falls in."""
+    by = [ts_ms, code, *([last] if last else [])]
+    order = Window.partitionBy(*key).orderBy(*by)
+    new = F.when(F.col(ts_ms) - F.lag(ts_ms).over(order) > gap_ms, 1).otherwise(0)
+    session = failures.withColumn("_new", new).withColumn("_session", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    within = Window.partitionBy(*key, "_session").orderBy(*by)
+    return session.withColumn("_row", F.row_number().over(within)).withColumn("_block", F.ceil(F.col("_row") / size))
+
+
+def open_failures(failures: DataFrame, key: list[str], ts_ms: str, code: str, size: int = BURST_SIZE, gap_ms: int = BURST_GAP_MS, last: str | None = None) -> DataFrame:
+    """The failures that a later one may still complete to a burst: the unfinished block of each key's last session."""
+    blocks = _blocks(failures, key, ts_ms, code, size, gap_ms, last)
+    every = Window.partitionBy(*key)
+    ends = blocks.withColumn("_last", F.max(F.struct("_session", "_row")).over(every))
+    open_ = (F.col("_session") == F.col("_last._session")) & (F.col("_block") == F.ceil(F.col("_last._row") / size)) & (F.col("_last._row") % size != 0)
+    return ends.filter(open_).select(*failures.columns)
+
+
 def bursts(failures: DataFrame, key: list[str], ts_ms: str, code: str, size: int = BURST_SIZE, gap_ms: int = BURST_GAP_MS, last: str | None = None) -> DataFrame:
     """key, first_ms, last_ms, n, code of each run of ``size`` failures with gaps up to gap_ms.
 
@@ -97,12 +116,7 @@ def bursts(failures: DataFrame, key: list[str], ts_ms: str, code: str, size: int
     time, so a replay gives the same bursts.  ``last`` names a column whose
     value in the failure that completes the burst is kept.
     """
-    by = [ts_ms, code, *([last] if last else [])]
-    order = Window.partitionBy(*key).orderBy(*by)
-    new = F.when(F.col(ts_ms) - F.lag(ts_ms).over(order) > gap_ms, 1).otherwise(0)
-    session = failures.withColumn("_new", new).withColumn("_session", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    within = Window.partitionBy(*key, "_session").orderBy(*by)
-    blocks = session.withColumn("_row", F.row_number().over(within)).withColumn("_block", F.ceil(F.col("_row") / size))
+    blocks = _blocks(failures, key, ts_ms, code, size, gap_ms, last)
     counts = blocks.groupBy(*key, "_session", "_block", code).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_seen"), F.min(ts_ms).alias("_lo"), F.max(ts_ms).alias("_hi"), F.max(F.struct("_row", (F.col(last) if last else F.lit(None)).alias("v"))).alias("_last"))
     out = counts.groupBy(*key, "_session", "_block").agg(F.sum("_n").alias("n"), F.min("_lo").alias("first_ms"), F.max("_hi").alias("last_ms"), F.min(F.struct((-F.col("_n")).alias("m"), "_seen", F.col(code).alias("c"))).alias("_best"), F.max("_last").alias("_last"))
     return out.filter(F.col("n") == size).select(*key, "first_ms", "last_ms", "n", F.col("_best.c").alias(code), *([F.col("_last.v").alias(last)] if last else []))

@@ -12,11 +12,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import identity as ids
 from ..functions import spans as sp
 from ..functions import text
-from ..schema import EDGES, INCIDENTS, NODES, conform
+from ..schema import EDGES, INCIDENTS, NODES, SPANS, conform
 from . import incidents as inc
 from .graph import Graph, materialise
 from .lifecycle import fold_columns, fold_observed, stitch
@@ -145,14 +146,96 @@ def _target(node_type: str, label, **fields) -> Column:
     return F.struct(*(given.get(n, F.lit(None)).cast("string").alias(n) for n in TARGET))
 
 
+#: What a child needs to know of the span that started it.
+PARENT = ("service", "env", "attributes", "httpMethod", "httpRoute")
+
+
+def tells_itself(kind: Column) -> Column:
+    """Whether a span's own protocol says what it calls, whoever its parent is."""
+    serves = sp.serves(kind)
+    return F.coalesce(
+        F.col("dbSystem").isNotNull()
+        | (F.col("messagingSystem").isNotNull() & F.col("messagingDestination").isNotNull() & sp.moves_messages(kind))
+        | (F.col("graphqlOperationName").isNotNull() & F.col("graphqlOperationType").isNotNull() & serves)
+        | ((F.coalesce("rpcSystem", F.lit("")) == "grpc") & F.col("rpcService").isNotNull() & F.col("rpcMethod").isNotNull() & serves)
+        | (F.col("websocketChannel").isNotNull() & serves),
+        F.lit(False),
+    )
+
+
+def caller_pairs(spans: DataFrame, arrived: str | None = None, window: str = "5 minutes") -> DataFrame:
+    """(child, parent): spans that may be known by their parent only, with what is needed of that parent.
+
+    A plain join in batch.  On a stream, ``arrived`` is the watermarked time of
+    arrival: pairs meet within ``window`` of each other, in whatever batches
+    they come, and state older than that is dropped.
+    """
+    timed = [F.col(arrived)] if arrived else []
+    few = F.map_filter("attributes", lambda k, _: k.startswith("code."))
+    parent = F.struct(*(few.alias(c) if c == "attributes" else F.col(c) for c in PARENT))
+    child = spans.filter(F.col("parentSpanId").isNotNull() & ~tells_itself(F.col("kind")))
+    child = child.select(F.struct(*(f.name for f in SPANS.fields)).alias("child"), F.col("traceId").alias("_t"), F.col("parentSpanId").alias("_p"), *(c.alias("_c") for c in timed))
+    above = spans.select(parent.alias("parent"), F.col("traceId").alias("_pt"), F.col("spanId").alias("_ps"), *(c.alias("_a") for c in timed))
+    same = (F.col("_t") == F.col("_pt")) & (F.col("_p") == F.col("_ps"))
+    if arrived:
+        same = same & F.expr(f"_c between _a - interval {window} and _a + interval {window}")
+    return child.join(above, same).filter("child.service <> parent.service").select("child", "parent")
+
+
+def _sited(s: DataFrame) -> DataFrame:
+    """Placed spans with the evidence and the site of their call."""
+    no_text = F.lit(None).cast("string")
+    evidence = F.when(F.col("_rel").isNotNull(), F.struct(F.col("_rel").alias("file"), F.col("_line").alias("line"), no_text.alias("snippet"), F.col("httpMethod").alias("method"), F.col("httpRoute").alias("pathTemplate"), no_text.alias("hostSource")))
+    site = F.struct(F.col("_svc").alias("svc"), F.col("_name").alias("name"), F.col("_file").alias("file"), F.col("_rel").alias("path"), F.col("_minted").alias("minted"), F.col("_fn").alias("function"), F.col("_line").alias("line"))
+    return s.withColumns({"evidence": evidence, "site": site})
+
+
+def with_pairs(spans: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """spans (``_role`` null), and of each pair the child (c) and the parent (p) under one ``_pair``, so that all are placed in one pass.
+
+    Without ``pairs`` parents are sought among the spans themselves.
+    """
+    pairs = materialise((caller_pairs(spans) if pairs is None else pairs).withColumn("_pair", F.monotonically_increasing_id()))
+    names = [f.name for f in SPANS.fields]
+    side = lambda df, role: conform(df, SPANS).select(*names) if role is None else conform(df.select(f"{role}.*", "_pair"), struct_with(SPANS))
+    own = side(spans, None).select(*names, F.lit(None).cast("long").alias("_pair"), F.lit(None).cast("string").alias("_role"))
+    return own.unionByName(side(pairs, "child").withColumn("_role", F.lit("c"))).unionByName(side(pairs, "parent").withColumn("_role", F.lit("p")))
+
+
+def struct_with(schema: T.StructType) -> T.StructType:
+    """A schema with the key of pairs behind it."""
+    return T.StructType([*schema.fields, T.StructField("_pair", T.LongType())])
+
+
 def calls(spans: DataFrame, graph: Graph) -> DataFrame:
-    """Every call that spans (``placed``) tell of: (type, source, target, ts, isError, ms, evidence, traceId, spanId), the node it goes to and where it comes from.
+    """Every call that spans (``placed`` ``with_pairs``) tell of: (type, source, target, ts, isError, ms, evidence, traceId, spanId), the node it goes to and where it comes from.
 
     Database, messaging, GraphQL, gRPC and WebSocket spans come first; what is
     none of these, or does not stand on the side that tells, is a call to a
     peer, or else from the parent's service.  A span that serves a declared
     route also tells of that route.
     """
+    every = _evaluated(spans, graph)
+    s = every.filter("_role is null")
+    kept = ["ts", "isError", "ms", "evidence", "traceId", "spanId", "site"]
+    direct = s.select(F.inline("_calls"), *kept, "dbColumns")
+    no_columns = F.lit(None).cast("array<string>").alias("dbColumns")
+    # Spans that told nothing themselves: their parent's service called theirs.
+    child = every.filter("_role = 'c' and _typed is null and size(_calls) = 0").select("_pair", F.col("_svc").alias("target"), "service", "ts", "isError", "ms", "traceId", "spanId")
+    above = every.filter("_role = 'p'").select("_pair", F.col("_src").alias("source"), "evidence", "site")
+    fallback = child.join(above, "_pair").select(F.lit("CALLS").alias("type"), "source", "target", _target("ServiceNode", F.col("service")).alias("node"), *kept, no_columns)
+    out = direct.unionByName(fallback)
+    template = F.coalesce(F.nullif(F.regexp_extract(F.coalesce(inc.attribute(F.col("attributes"), "next.span_name"), "name"), r"^executing api route \((?:pages|app)\) (/\S*)$", 1), F.lit("")), "httpRoute")
+    asked = s.filter(sp.serves(F.col("kind"))).withColumns({"template": template, "method": F.upper("httpMethod")}).filter("template is not null")
+    routes = route_matches(asked, graph.nodes).withColumnsRenamed({"service": "_s", "method": "_m", "template": "_t"})
+    same = (F.col("service") == F.col("_s")) & (F.col("template") == F.col("_t")) & F.col("method").eqNullSafe(F.col("_m"))
+    no_evidence = F.lit(None).cast(evidence_type())
+    served = asked.join(routes, same).select(F.lit("CONTAINS").alias("type"), ids.service_id("service").alias("source"), F.col("route").alias("target"), _target("RouteNode", "template").alias("node"), "ts", "isError", "ms", no_evidence.alias("evidence"), "traceId", "spanId", F.lit(None).cast(s.schema["site"].dataType).alias("site"), no_columns)
+    return out.unionByName(served).filter("source <> target and target is not null")
+
+
+def _evaluated(spans: DataFrame, graph: Graph) -> DataFrame:
+    """Placed spans with ``_typed``, the calls their protocol tells of (null if it tells nothing), and ``_calls``, these or those to a peer."""
     s = spans.withColumn("_peer", sp.peer(F.col("attributes")))
     hosts = s.filter("_peer is not null").select(F.col("_peer").alias("host"), "env").distinct()
     resolved = resolve_hosts(hosts, graph.nodes).withColumnsRenamed({"host": "_peer", "service": "_to"})
@@ -199,26 +282,9 @@ def calls(spans: DataFrame, graph: Graph) -> DataFrame:
         .when(F.col("websocketChannel").isNotNull() & serves, websocket)
     )
     stream = sp.is_stream(F.col("durationNanos"), F.col("attributes"), F.col("websocketChannel"))
-    no_text = F.lit(None).cast("string")
-    evidence = F.when(F.col("_rel").isNotNull(), F.struct(F.col("_rel").alias("file"), F.col("_line").alias("line"), no_text.alias("snippet"), F.col("httpMethod").alias("method"), F.col("httpRoute").alias("pathTemplate"), no_text.alias("hostSource")))
-    site = F.struct(F.col("_svc").alias("svc"), F.col("_name").alias("name"), F.col("_file").alias("file"), F.col("_rel").alias("path"), F.col("_minted").alias("minted"), F.col("_fn").alias("function"), F.col("_line").alias("line"))
     # Columns belong to the table that the same statement names.
-    facts = {"ts": F.timestamp_micros((F.col("startTimeUnixNano") / 1000).cast("long")), "isError": sp.is_error(F.col("statusCode"), F.col("attributes")), "ms": sp.latency_ms(F.col("durationNanos"), stream), "evidence": evidence, "site": site}
-    s = s.withColumns(facts).withColumn("_typed", typed).withColumn("_calls", F.coalesce("_typed", http))
-    kept = ["ts", "isError", "ms", "evidence", "traceId", "spanId", "site"]
-    direct = s.select(F.inline("_calls"), *kept, "dbColumns")
-    no_columns = F.lit(None).cast("array<string>").alias("dbColumns")
-    # Spans that told nothing themselves: their parent's service called theirs.
-    parents = s.select("traceId", F.col("spanId").alias("parentSpanId"), F.col("service").alias("_caller"), F.col("_src").alias("_from"), F.col("evidence").alias("_evidence"), F.col("site").alias("_site"))
-    alone = s.filter("_typed is null and size(_calls) = 0 and parentSpanId is not null").drop("evidence", "site").join(parents, ["traceId", "parentSpanId"]).filter("_caller <> service")
-    fallback = alone.select(F.lit("CALLS").alias("type"), F.col("_from").alias("source"), F.col("_svc").alias("target"), _target("ServiceNode", "service").alias("node"), "ts", "isError", "ms", F.col("_evidence").alias("evidence"), "traceId", "spanId", F.col("_site").alias("site"), no_columns)
-    template = F.coalesce(F.nullif(F.regexp_extract(F.coalesce(inc.attribute(F.col("attributes"), "next.span_name"), "name"), r"^executing api route \((?:pages|app)\) (/\S*)$", 1), F.lit("")), "httpRoute")
-    asked = s.filter(serves).withColumns({"template": template, "method": F.upper("httpMethod")}).filter("template is not null")
-    routes = route_matches(asked, graph.nodes).withColumnsRenamed({"service": "_s", "method": "_m", "template": "_t"})
-    same = (F.col("service") == F.col("_s")) & (F.col("template") == F.col("_t")) & F.col("method").eqNullSafe(F.col("_m"))
-    no_evidence = F.lit(None).cast(evidence_type())
-    served = asked.join(routes, same).select(F.lit("CONTAINS").alias("type"), ids.service_id("service").alias("source"), F.col("route").alias("target"), _target("RouteNode", "template").alias("node"), "ts", "isError", "ms", no_evidence.alias("evidence"), "traceId", "spanId", F.lit(None).cast(s.schema["site"].dataType).alias("site"), no_columns)
-    return direct.unionByName(fallback).unionByName(served).filter("source <> target and target is not null")
+    facts = {"ts": F.timestamp_micros((F.col("startTimeUnixNano") / 1000).cast("long")), "isError": sp.is_error(F.col("statusCode"), F.col("attributes")), "ms": sp.latency_ms(F.col("durationNanos"), stream)}
+    return _sited(s).withColumns(facts).withColumn("_typed", typed).withColumn("_calls", F.coalesce("_typed", http))
 
 
 def evidence_type():
@@ -227,7 +293,7 @@ def evidence_type():
 
 def dispatch(spans: DataFrame, graph: Graph) -> DataFrame:
     """(type, source, target, ts, isError, ms, evidence, traceId, spanId) of every call that spans tell of."""
-    return materialise(calls(materialise(placed(spans, graph)), graph)).drop("node", "site", "dbColumns")
+    return materialise(calls(materialise(placed(with_pairs(spans), graph)), graph)).drop("node", "site", "dbColumns")
 
 
 def observed_edges(spans: DataFrame, graph: Graph, dedupe: bool = False) -> DataFrame:
@@ -239,11 +305,19 @@ def observed_edges(spans: DataFrame, graph: Graph, dedupe: bool = False) -> Data
 
 @dataclass(frozen=True)
 class Landed:
-    """What a batch of spans brings: nodes that are new or changed (whole rows), edges to fold, incidents to append."""
+    """What a batch of spans brings.
+
+    Nodes that are new or changed (whole rows), edges to fold, incidents to
+    append.  ``observed`` are the edges without inferred ones, ``failing`` the
+    services from which these are inferred, ``placed`` the spans at their place.
+    """
 
     nodes: DataFrame
     edges: DataFrame
     incidents: DataFrame
+    observed: DataFrame
+    failing: DataFrame
+    placed: DataFrame
 
 
 #: Tables whose nodes carry columns, and how sure a column is that a statement touched.
@@ -251,7 +325,7 @@ COLUMN_KINDS = ("sql-table", "supabase-table")
 OBSERVED_COLUMN = 0.9
 
 
-def land(spans: DataFrame, graph: Graph, dedupe: bool = False) -> Landed:
+def land(spans: DataFrame, graph: Graph, dedupe: bool = False, pairs: DataFrame | None = None, tell_bursts: bool = True) -> Landed:
     """A batch of spans, from services to incidents.
 
     Nodes: services, databases, infrastructure, frontiers, operations, methods,
@@ -259,14 +333,17 @@ def land(spans: DataFrame, graph: Graph, dedupe: bool = False) -> Landed:
     tables with the columns that statements touched.  Edges: observed calls,
     served routes, containment of observed files and symbols, and edges
     inferred where a span failed (status 2).  Incidents: failed spans, and
-    bursts of client failures within the batch.  No input row is dropped: spans
-    without a service count as ``unidentified`` where they are read.
+    bursts of client failures within the batch (if ``tell_bursts``).  No input
+    row is dropped: spans without a service count as ``unidentified`` where they
+    are read.  Only ``graph`` is asked, so a part of the spans lands the same
+    beside any other; ``pairs`` brings children whose parents came elsewhere.
     """
     if dedupe:
         spans = spans.dropDuplicates(["traceId", "spanId"])
     # Both are read many times below: cut their plans, so that spans are joined once.
-    at = materialise(placed(spans, graph))
-    told = materialise(calls(at, graph))
+    every = materialise(placed(with_pairs(spans, pairs), graph))
+    told = materialise(calls(every, graph))
+    at = every.filter("_role is null")
     known = graph.nodes.select("id")
 
     otel = F.lit("otel").alias("discoveredVia")
@@ -304,16 +381,22 @@ def land(spans: DataFrame, graph: Graph, dedupe: bool = False) -> Landed:
     contains = contains.select(ids.edge_id("CONTAINS", "source", "target", "OBSERVED").alias("id"), "source", "target", F.lit("CONTAINS").alias("type"), F.lit("OBSERVED").alias("provenance"))
     failing = at.filter("statusCode = 2").select(F.col("_svc").alias("service"))
     inferred = stitch(Graph(graph.nodes, graph.edges.unionByName(observed), graph.now), failing)
-    structure = conform(contains, EDGES).unionByName(inferred).join(graph.edges.select("id"), "id", "left_anti")
-    edges = observed.unionByName(structure.select(*observed.columns))
+    declared = graph.edges.select("id")
+    seen = observed.unionByName(conform(contains, EDGES).join(declared, "id", "left_anti").select(*observed.columns))
+    edges = seen.unionByName(inferred.join(declared, "id", "left_anti").select(*observed.columns))
 
-    failed = span_incidents(at, F.coalesce("_symbol", "_file", "_svc"))
-    return Landed(nodes, edges, failed.unionByName(burst_incidents(at)))
+    incidents = span_incidents(at, F.coalesce("_symbol", "_file", "_svc"))
+    if tell_bursts:
+        incidents = incidents.unionByName(burst_incidents(at))
+    return Landed(nodes, edges, incidents, seen, failing.distinct(), at)
 
 
-def burst_incidents(spans: DataFrame) -> DataFrame:
-    """One incident for each burst of client failures: how many, the commonest code, from when to when."""
-    found = inc.bursts(client_failures(spans), ["service", "peer"], "ms", "code", last="id")
+def burst_incidents(spans: DataFrame, failures: DataFrame | None = None) -> DataFrame:
+    """One incident for each burst of client failures: how many, the commonest code, from when to when.
+
+    ``failures`` are those of the spans, if earlier ones are to be counted with them.
+    """
+    found = inc.bursts(client_failures(spans) if failures is None else failures, ["service", "peer"], "ms", "code", last="id")
     iso = lambda c: F.date_format(F.timestamp_millis(c), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     node = spans.groupBy("service").agg(F.min("_svc").alias("affectedNode"))
     said = F.concat(F.col("n").cast("string"), F.lit(" consecutive HTTP "), F.col("code").cast("string"), F.lit(" responses to "), F.col("peer"))

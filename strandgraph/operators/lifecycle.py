@@ -68,12 +68,14 @@ def upsert(edges: DataFrame, fresh: DataFrame) -> DataFrame:
     spans = F.coalesce("o.signal.spanCount", "o.callCount", zero) + F.coalesce("n.signal.spanCount", "n.callCount", zero)
     errors = F.coalesce("o.signal.errorCount", zero) + F.coalesce("n.signal.errorCount", zero)
     merged = latency.merge_maps(F.col("o.signal.latencyHist"), F.col("n.signal.latencyHist"))
-    signal = F.when(both, F.struct(spans.alias("spanCount"), errors.alias("errorCount"), F.lit(0.0).alias("lastObservedAgeMs"), _quantiles_of(merged).alias("latencyMs"), merged.alias("latencyHist"), F.coalesce("o.signal.anomalous", "n.signal.anomalous").alias("anomalous"))).otherwise(F.coalesce("o.signal", "n.signal"))
+    # An edge that only tells of structure has no counts, and gets none by being told again.
+    counted = F.coalesce("o.signal.spanCount", "o.callCount", "n.signal.spanCount", "n.callCount").isNotNull()
+    signal = F.when(both & counted, F.struct(spans.alias("spanCount"), errors.alias("errorCount"), F.lit(0.0).alias("lastObservedAgeMs"), _quantiles_of(merged).alias("latencyMs"), merged.alias("latencyHist"), F.coalesce("o.signal.anomalous", "n.signal.anomalous").alias("anomalous"))).otherwise(F.coalesce("o.signal", "n.signal"))
     values = {
         "provenance": F.coalesce("n.provenance", "o.provenance"),
-        "confidence": F.when(both, weights.observed_confidence(spans, errors)).otherwise(F.coalesce("n.confidence", "o.confidence")),
+        "confidence": F.when(both & counted, weights.observed_confidence(spans, errors)).otherwise(F.coalesce("n.confidence", "o.confidence")),
         "lastObserved": F.greatest("o.lastObserved", "n.lastObserved"),
-        "callCount": F.when(both, spans).otherwise(F.coalesce("o.callCount", "n.callCount")),
+        "callCount": F.when(both & counted, spans).otherwise(F.coalesce("o.callCount", "n.callCount")),
         "signal": signal,
     }
     return joined.select(*(values.get(f.name, F.coalesce(f"o.{f.name}", f"n.{f.name}")).cast(f.dataType).alias(f.name) for f in EDGES.fields))

@@ -18,6 +18,7 @@ from ..schema import NODES, conform
 from ..sources import connectors, otlp, tables
 from ..sources.extract import run as extract
 from ..streaming import pipelines
+from ..streaming.live import LiveTable
 from . import bound
 from .queries import query
 
@@ -142,9 +143,9 @@ def span_bursts(spark, sf_dir):
 def stream_edges(spark, sf_dir):
     """The requests drained as a stream into an edge table."""
     where = scratch(spark)
-    table = pipelines.EdgeTable(spark, f"{where}/edges")
-    pipelines.ingest_stream(spark, land_requests(spark, sf_dir), table, declared(spark, sf_dir), f"{where}/progress", f"{where}/incidents", once=True).awaitTermination()
-    return table.read().select("id", "provenance", "callCount", F.col("signal.errorCount").alias("errorCount"))
+    table, graph = LiveTable(spark, f"{where}/edges"), declared(spark, sf_dir)
+    pipelines.ingest_stream(spark, land_requests(spark, sf_dir), table, graph, f"{where}/progress", f"{where}/incidents", once=True).awaitTermination()
+    return table.edges(graph).select("id", "provenance", "callCount", F.col("signal.errorCount").alias("errorCount"))
 
 
 def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:

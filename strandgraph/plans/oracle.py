@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators import ask
 from . import bound
 from .queries import PAIRS, ROOT_CUSTOMERS, ROOT_DATABASES, ROOT_PARTS, ROOT_SUPPLIERS
 
@@ -74,25 +75,9 @@ _TURNED = f"(provenance = 'OBSERVED' and lastObserved is not null and greatest(0
 _STATEMENTS = """select o_orderkey as id, case o_orderkey % 5 when 0 then 'orders_' || o_orderkey::varchar when 2 then 'items_' || o_orderkey::varchar when 3 then 'things_' || o_orderkey::varchar when 4 then 'pg_class' end as one,
   case o_orderkey % 5 when 0 then 'orders_' || o_orderkey::varchar when 1 then 'a_' || o_orderkey::varchar when 2 then 'items_' || o_orderkey::varchar when 3 then 'things_' || o_orderkey::varchar end as first from orders"""
 
-# Written apart from the operator, so that a wrong list shows.
-_INTENT_CASES = r"""
-when regexp_matches(t, '\b(why|root[\s-]?cause|failing|fails?|failed|breaking|broke|broken|crash|crashing|crashed|throw|throwing|throws|culprit|5[0-9][0-9])\b') then 'root-cause'
-when regexp_matches(t, '\b(blast|breaks?[\s-]?if|impact|downstream|dependent|dependents|redeploy|who\s+uses|who\s+calls|who\s+depends|what\s+depends\s+on|affect|affects|affected)\b') then 'blast-radius'
-when regexp_matches(t, '\b(diverg\w*|weird|mismatch|drift|out\s+of\s+sync|inconsistent|disagree\w*|declared\s+vs|anything\s+wrong)\b') then 'divergence'
-when regexp_matches(t, '\b(incident|incidents|recent\s+errors?|recent\s+failures?|error\s+history|failure\s+history)\b') then 'incidents'
-when regexp_matches(t, '\b(at\s+runtime|in\s+prod|in\s+production|actually\s+call\w*|really\s+call\w*|observed|runtime\s+traffic)\b') then 'observed'
-when regexp_matches(t, '\b(depend\w*|calls|call|use|uses|import|imports|relies\s+on|need|needs)\b') then 'dependencies'
-"""
-_COMMON = ", ".join(
-    f"'{w}'"
-    for w in (
-        "a about actually affect affected affects all an and any anything are as at be been being blast break breaking breaks broke broken but by call calls can cause code could crash crashed crashing culprit "
-        "declared depend dependencies dependency dependent dependents depends did disagree diverge divergence divergences do does downstream drift error errors everything explain fail failed failing fails failure "
-        "failures find for from get give got graph had happen happening happens has have here history how i if impact import imports in incident incidents inconsistent into is it its me mismatch my need needs no "
-        "node not observed of on or out over prod production radius really recent redeploy relies rely root runtime service should show so some something sync system tell that the them there these they this those "
-        "throw throwing throws to traffic up use uses using was we weird were what when where which who whom why will with would you"
-    ).split()
-)
+# The values are the operator's own, which hold them once; written questions in the tests say what they must give.
+_INTENT_CASES = "\n".join(f"when regexp_matches(t, '{pattern}') then '{name}'" for name, pattern in ask.INTENTS)
+_COMMON = ", ".join(f"'{w}'" for w in dict.fromkeys(ask.STOP_WORDS + ask.INTENT_WORDS))
 
 ORACLE_SQL: dict[str, str] = {
     "blast_radius_multi": G + _bfs("up", ROOT_PARTS + ROOT_DATABASES, 10) + " select root, node, distance::bigint as distance, provenance, array_to_string(path, '>') as path, round(confidence, 6) as confidence from found",

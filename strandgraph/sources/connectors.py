@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity as ids
 from ..functions import text
-from ..operators.graph import Graph
+from ..operators.graph import Graph, materialise
 from ..operators.lifecycle import fold_signals
 from ..schema import INCIDENTS, SIGNALS, conform
 
@@ -123,7 +123,8 @@ def resolve(signals: DataFrame, graph: Graph, source: str) -> tuple[DataFrame, D
     """
     nodes = graph.nodes.select("id", "type", "name", "kind", "service", "method", "pathTemplate")
     routes = nodes.filter("type = 'RouteNode'").select(F.col("service").alias("targetName"), F.upper("method").alias("_m"), text.normalised_template(F.col("pathTemplate")).alias("_t"), F.col("id").alias("_route"))
-    s = signals.withColumns({"_key": F.monotonically_increasing_id(), "_t": text.normalised_template(F.col("path"))})
+    # Written once: both uses below must see the same keys.
+    s = materialise(signals.withColumns({"_key": F.monotonically_increasing_id(), "_t": text.normalised_template(F.col("path"))}))
     by_route = s.filter("path is not null").join(routes, ["targetName", "_t"]).filter("_m = method or _m = 'ALL'").groupBy("_key").agg(F.min("_route").alias("_route"))
     services = nodes.filter("type = 'ServiceNode'").groupBy(F.lower("name").alias("_n")).agg(F.min("id").alias("_service"))
     tables = nodes.filter("type = 'InfraNode'").groupBy(F.lower("name").alias("_n"), F.when(F.col("kind").contains("rpc"), "rpc").otherwise("table").alias("targetKind")).agg(F.min("id").alias("_infra"))
