@@ -1,8 +1,7 @@
 """Root cause: what fails, where it starts, and who only suffers from it.
 
-Chains and contexts are computed for all services at once; ``root_cause``
-composes them for one node.  Only results about that node (a few rows) come to
-the driver.
+Chains, contexts and causes are computed for any number of nodes at once;
+``root_cause`` asks for one of them, and only its row comes to the driver.
 """
 
 from __future__ import annotations
@@ -131,41 +130,60 @@ def base_causes(graph: Graph, roots, incidents: DataFrame, matrix: compat.Matrix
     return best.drop("_r", "priority")
 
 
+def navigated_causes(graph: Graph, roots, incidents: DataFrame, matrix: compat.Matrix | None = None) -> DataFrame:
+    """(root, node, reason, fix, path, provenances, confidence, phase, candidates) of the cause of each failing node; roots without one are left out.
+
+    All roots go through the same phases in one set of joins.  A base cause that
+    only suffers from its callers is a victim: what drives the load is the
+    cause, if anything does.  A root that was found by its own incident alone is
+    a dead end: the last node of its stale calls is the cause, if it has any.
+    Else the base cause stands.  ``candidates`` hold the cause first.
+    """
+    base = materialise(base_causes(graph, roots, incidents, matrix))
+    context = classified_context(graph, incidents, base.select(F.col("culprit").alias("id")).distinct())
+    had = F.struct("errorsFromCallers", "errorsEmittedHere", "stale", "latencyP95Ms").alias("seed")
+    seeds = base.join(context.select(F.col("node").alias("culprit"), "victim", had), "culprit", "left")
+    victim = F.coalesce("victim", F.lit(False))
+    alone = (F.col("source") == "incident") & (F.col("culprit") == F.col("root")) & (F.size("path") == 1)
+    seeds = materialise(seeds.withColumn("phase", F.when(victim, "victim").when(alone, "dead-end").otherwise("base")).withColumn("last", F.try_element_at("provenances", F.lit(-1))))
+
+    suffering = seeds.filter("phase = 'victim'")
+    drivers = load_origin(graph, suffering.select("root").distinct(), incidents).select(F.col("alert").alias("root"), F.col("node").alias("driver"), F.col("outboundVolume").alias("volume"))
+    drivers = drivers.join(suffering.select("root", "seed"), "root")
+    drivers = drivers.select("root", "driver", load_confidence(F.col("volume"), {k: F.col(f"seed.{k}") for k in ("errorsFromCallers", "errorsEmittedHere", "stale", "latencyP95Ms")}).alias("drive"))
+    ends = stale_chains(graph, seeds.filter("phase = 'dead-end'").select("root").distinct())
+    ends = ends.select("root", F.col("culprit").alias("end"), F.col("confidence").alias("ended"), F.col("path").alias("end_path"), F.col("provenances").alias("end_provenances"))
+    every = seeds.join(drivers, "root", "left").join(ends, "root", "left")
+
+    candidate = lambda node, kind, reason, confidence, provenance: F.struct(
+        node.alias("node"), F.lit(kind).alias("classification"), reason.alias("reason"), confidence.cast("double").alias("confidence"), provenance.alias("provenance")
+    )
+    driven = candidate(F.col("driver"), "primary-failure", F.concat("driver", F.lit(" overloads "), "root", F.lit(", which only suffers")), F.col("drive"), F.lit("OBSERVED"))
+    suffers = candidate(F.col("culprit"), "symptom-only", F.concat(F.col("seed.errorsFromCallers").cast("string"), F.lit(" errors arrive from callers; the fault is not here")), F.least("confidence", F.lit(0.4)), F.col("last"))
+    stale = candidate(F.col("end"), "primary-failure", F.lit("the last observed calls lead here, but they are stale"), F.col("ended"), F.lit("STALE"))
+    surfaced = candidate(F.col("culprit"), "symptom-only", F.lit("the failure surfaced here"), F.least("confidence", F.lit(weights.CEILING["STALE"])), F.col("last"))
+    stands = candidate(F.col("culprit"), "primary-failure", F.col("reason"), F.col("confidence"), F.col("last"))
+    candidates = F.when((F.col("phase") == "victim") & F.col("driver").isNotNull(), F.array(driven, suffers)).when(F.col("phase") == "victim", F.array(suffers))
+    candidates = candidates.when((F.col("phase") == "dead-end") & F.col("end").isNotNull(), F.array(stale, surfaced)).otherwise(F.array(stands))
+    told = materialise(every.withColumn("candidates", candidates).withColumn("top", F.col("candidates")[0]))
+
+    ways = find_path(graph, told.filter("top.node <> culprit and end is null").select(F.col("root").alias("a"), F.col("top.node").alias("b")).distinct(), "up")
+    ways = ways.select(F.col("a").alias("root"), F.col("path").alias("way"), F.transform("edges", lambda e: e["provenance"]).alias("way_provenances"))
+    ended = (F.col("phase") == "dead-end") & F.col("end").isNotNull()
+    moved = F.col("top.node") != F.col("culprit")
+    path = F.when(ended, F.col("end_path")).when(moved, F.coalesce("way", F.array("root", "top.node"))).otherwise(F.col("path"))
+    provenances = F.when(ended, F.col("end_provenances")).when(moved, F.coalesce("way_provenances", F.array("top.provenance"))).otherwise(F.col("provenances"))
+    return told.join(ways, "root", "left").select("root", F.col("top.node").alias("node"), F.col("top.reason").alias("reason"), "fix", path.alias("path"), provenances.alias("provenances"), F.col("top.confidence").alias("confidence"), "phase", "candidates")
+
+
 def root_cause(graph: Graph, node: str, incidents: DataFrame, matrix: compat.Matrix | None = None, navigate: bool = True) -> dict | None:
     """The cause for one failing node, with ranked candidates; None if nothing points anywhere."""
-    rows = base_causes(graph, [node], incidents, matrix).collect()
+    if navigate:
+        rows = navigated_causes(graph, [node], incidents, matrix).collect()
+    else:
+        rows = base_causes(graph, [node], incidents, matrix).withColumnRenamed("culprit", "node").collect()
     if not rows:
         return None
-    base = rows[0].asDict()
-    out = {"rootCauseNode": base["culprit"], "rootCauseReason": base["reason"], "traversalPath": base["path"], "edgeProvenances": base["provenances"], "confidence": base["confidence"], "fixRecommendation": base["fix"]}
-    if not navigate:
-        return out
-    seed = base["culprit"]
-    one = graph.spark.createDataFrame([(seed,)], "id string")
-    found = classified_context(graph, incidents, one).collect()
-    context = found[0].asDict() if found else None
-    last = base["provenances"][-1] if base["provenances"] else None
-    dead_end = base["source"] == "incident" and seed == node and len(base["path"]) == 1
-    victim = bool(context and context["victim"])
-    candidates = []
-    stale = stale_chains(graph, [node]).collect() if dead_end and not victim else []
-    if victim:
-        origin = load_origin(graph, [node], incidents)
-        scored = origin.select("*", load_confidence(F.col("outboundVolume"), {k: F.lit(v) for k, v in context.items()}).alias("confidence")).collect()
-        if scored:
-            candidates.append({"node": scored[0]["node"], "classification": "primary-failure", "reason": f"{scored[0]['node']} overloads {node}, which only suffers", "confidence": scored[0]["confidence"], "provenance": "OBSERVED"})
-        candidates.append({"node": seed, "classification": "symptom-only", "reason": f"{context['errorsFromCallers']} errors arrive from callers; the fault is not here", "confidence": min(base["confidence"], 0.4), "provenance": last})
-    elif stale:
-        candidates.append({"node": stale[0]["culprit"], "classification": "primary-failure", "reason": "the last observed calls lead here, but they are stale", "confidence": stale[0]["confidence"], "provenance": "STALE"})
-        candidates.append({"node": seed, "classification": "symptom-only", "reason": "the failure surfaced here", "confidence": min(base["confidence"], weights.CEILING["STALE"]), "provenance": last})
-    else:
-        candidates.append({"node": seed, "classification": "primary-failure", "reason": base["reason"], "confidence": base["confidence"], "provenance": last})
-    top = candidates[0]
-    if stale and top["node"] == stale[0]["culprit"]:
-        out["traversalPath"], out["edgeProvenances"] = stale[0]["path"], stale[0]["provenances"]
-    elif top["node"] != seed:
-        path = find_path(graph, [(node, top["node"])], "up").collect()
-        out["traversalPath"] = path[0]["path"] if path else [node, top["node"]]
-        out["edgeProvenances"] = [e["provenance"] for e in path[0]["edges"]] if path else [top["provenance"] or "OBSERVED"]
-    out |= {"rootCauseNode": top["node"], "rootCauseReason": top["reason"], "confidence": top["confidence"], "candidates": candidates}
-    return out
+    r = rows[0].asDict(recursive=True)
+    out = {"rootCauseNode": r["node"], "rootCauseReason": r["reason"], "traversalPath": r["path"], "edgeProvenances": r["provenances"], "confidence": r["confidence"], "fixRecommendation": r["fix"]}
+    return out | {"candidates": r["candidates"]} if navigate else out

@@ -8,7 +8,7 @@ so results do not depend on insertion order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import weights
@@ -187,16 +187,67 @@ def observed_dependencies(graph: Graph, origins: list[str] | DataFrame) -> tuple
     return dependencies.orderBy("origin", "target", "source", "id"), summary
 
 
-def longest_incoming_walks(graph: Graph, roots: list[str] | DataFrame, depth: int = MAX_PATH) -> DataFrame:
-    """(root, path, provenances, confidence): the longest simple walk against best edges; the smallest path of equals."""
-    best = materialise(graph.best_edges("up"))
-    now = roots_frame(graph, roots).select("root", F.array("root").alias("path"), F.expr("cast(array() as array<string>)").alias("provenances"), F.lit(1.0).alias("confidence"))
-    order = F.struct((-F.size("path")).alias("n"), "path", "provenances", "confidence")
-    out = now
-    for _ in range(depth):
-        step = now.withColumn("near", F.element_at("path", -1)).join(best, "near").filter(~F.array_contains("path", F.col("far")))
-        now = materialise(step.select("root", F.concat("path", F.array("far")).alias("path"), F.concat("provenances", F.array("edge.provenance")).alias("provenances"), (F.col("confidence") * F.col("edge.weight")).alias("confidence")))
+def walk_bounds(best: DataFrame, depth: int) -> DataFrame:
+    """(near, bound) of nodes with a walk along ``best``: its most hops, ``depth`` at most, nodes counted as often as they come.
+
+    No simple walk is longer, so a prefix that cannot reach a length is known
+    before it is extended.
+    """
+    now = best.select("near").distinct()
+    levels = [now.withColumn("bound", F.lit(1))]
+    for k in range(2, depth + 1):
+        now = materialise(best.join(now.withColumnRenamed("near", "far"), "far", "left_semi").select("near").distinct())
         if now.isEmpty():
             break
-        out = out.union(now)
-    return out.groupBy("root").agg(F.min(order).alias("o")).select("root", "o.path", "o.provenances", weights.clamp(F.col("o.confidence")).alias("confidence"))
+        levels.append(now.withColumn("bound", F.lit(k)))
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.union(level)
+    return materialise(out.groupBy("near").agg(F.max("bound").alias("bound")))
+
+
+def _walks_of(roots: DataFrame, best: DataFrame, bounds: DataFrame, length: int, beam: int) -> tuple[DataFrame, DataFrame]:
+    """(found, cut): the smallest simple walk of exactly ``length`` hops of each root, and roots of which prefixes were left out.
+
+    Of a root's prefixes only the ``beam`` smallest that may still get there are
+    extended.  Whatever comes of those left out is larger than what comes of the
+    kept ones, so a walk that is found is the smallest.
+    """
+    now = roots.select("root", F.array("root").alias("path"), F.expr("cast(array() as array<string>)").alias("provenances"), F.lit(1.0).alias("confidence"))
+    order = Window.partitionBy("root").orderBy("path")
+    reach = bounds.withColumnsRenamed({"near": "far", "bound": "_more"})
+    cut = roots.select("root").limit(0)
+    for k in range(1, length + 1):
+        step = now.withColumn("near", F.element_at("path", -1)).join(best, "near").filter(~F.array_contains("path", F.col("far")))
+        if k < length:
+            step = step.join(reach, "far").filter(F.lit(k) + F.col("_more") >= length)
+        step = step.select("root", F.concat("path", F.array("far")).alias("path"), F.concat("provenances", F.array("edge.provenance")).alias("provenances"), (F.col("confidence") * F.col("edge.weight")).alias("confidence"))
+        ranked = materialise(step.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= (beam + 1 if k < length else 1)))
+        cut = cut.union(ranked.filter(F.col("_r") == beam + 1).select("root"))
+        now = ranked.filter(F.col("_r") <= beam).drop("_r")
+    return now, materialise(cut.distinct())
+
+
+def longest_incoming_walks(graph: Graph, roots: list[str] | DataFrame, depth: int = MAX_PATH, beam: int = 64) -> DataFrame:
+    """(root, path, provenances, confidence): the longest simple walk against best edges; the smallest path of equals.
+
+    Lengths are tried from the longest that a root's bound allows.  A root for
+    which the ``beam`` smallest prefixes lead nowhere, though others were left
+    out, is tried again with a beam 64 times as wide; so the answer is exact,
+    and a hub costs beam times neighbours and not all walks through it.
+    """
+    best = materialise(graph.best_edges("up"))
+    bounds = walk_bounds(best, depth)
+    start = roots_frame(graph, roots).join(bounds.withColumnRenamed("near", "root"), "root", "left")
+    open_ = materialise(start.select("root", F.coalesce("bound", F.lit(0)).alias("bound")))
+    out = None
+    for length in range(depth, 0, -1):
+        mine, width = open_.filter(F.col("bound") >= length).select("root"), beam
+        while not mine.isEmpty():
+            found, cut = _walks_of(mine, best, bounds, length, width)
+            out = found if out is None else out.union(found)
+            told = found.select("root")
+            open_ = materialise(open_.join(told, "root", "left_anti"))
+            mine, width = materialise(cut.join(told, "root", "left_anti")), width * 64
+    alone = open_.select("root", F.array("root").alias("path"), F.expr("cast(array() as array<string>)").alias("provenances"), F.lit(1.0).alias("confidence"))
+    return (alone if out is None else out.union(alone)).select("root", "path", "provenances", weights.clamp(F.col("confidence")).alias("confidence"))

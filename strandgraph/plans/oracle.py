@@ -42,8 +42,9 @@ slots as (select type, case when type = 'CONNECTS_TO' and source like 'file:%' a
 
 def _bfs(direction: str, roots, depth: int) -> str:
     """All shortest paths in a recursive table, the smallest of each kept."""
+    among = roots if isinstance(roots, str) else f"id in (select * from (values {_list(roots)}))"
     return f""", walk as (
-  select id as root, id as node, 0 as distance, [id] as path, 1.0::double as confidence, null::varchar as type, null::varchar as provenance from nodes where id in (select * from (values {_list(roots)}))
+  select id as root, id as node, 0 as distance, [id] as path, 1.0::double as confidence, null::varchar as type, null::varchar as provenance from nodes where {among}
   union all
   select w.root, b.far, w.distance + 1, list_append(w.path, b.far), w.confidence * b.weight, b.type, b.provenance from walk w join {direction} b on b.near = w.node where w.distance < {depth} and not list_contains(w.path, b.far)),
 found as (select * from walk where distance > 0 and node <> root qualify row_number() over (partition by root, node order by distance, path) = 1)"""
@@ -113,6 +114,7 @@ ORACLE_SQL: dict[str, str] = {
   case when a not in (select id from nodes) then 'node not found: ' || a when b not in (select id from nodes) then 'node not found: ' || b when f.path is null and u.path is null then 'no path within 5 hops' end as note
   from (values {_PAIR_VALUES}) p(a, b) left join found f on f.root = a and f.node = b left join ups u on u.root = a and u.node = b""",
     "longest_walk": G + _bfs("up", ROOT_PARTS + ROOT_DATABASES, 5) + " select root, array_to_string(path, '>') as path, round(confidence, 6) as confidence from walk qualify row_number() over (partition by root order by len(path) desc, path) = 1",
+    "longest_walk_all": G + _bfs("up", "type = 'DatabaseNode' or id like 'service:supplier-%'", 5) + " select root, array_to_string(path, '>') as path, round(confidence, 6) as confidence from walk qualify row_number() over (partition by root order by len(path) desc, path) = 1",
     "failing_chain": G
     + f""", hops as (select s.node as a, o.owner as b, e.* from edges e join (select node, member from scope) s on s.member = e.source join owner o on o.node = e.target where e.type = 'CALLS' and errorCount > 0 and s.node <> o.owner and s.node like 'service:%')
       select a as root, a || '>' || b as path, errorCount::varchar as errors, round(weight, 6) as confidence from hops where a in (select * from (values {_list(ROOT_CUSTOMERS)})) qualify row_number() over (partition by a order by errorCount desc, prov_rank desc, b, id) = 1""",

@@ -159,6 +159,24 @@ def root_cause_base(spark, sf_dir):
     return rootcause.base_causes(bound.graph(spark, sf_dir, t), list(ROOT_CUSTOMERS + ROOT_DATABASES), _incidents(t)).select("root", "source", "culprit", "reason", _joined("path").alias("path"), six("confidence").alias("confidence"))
 
 
+@query
+def root_cause_all(spark, sf_dir):
+    """The navigated cause of every service, in one set of joins."""
+    t = bound.tables(spark, sf_dir)
+    g = bound.graph(spark, sf_dir, t)
+    services = g.nodes.filter("type = 'ServiceNode'").select(F.col("id").alias("root"))
+    found = rootcause.navigated_causes(g, services, _incidents(t))
+    return found.select("root", "node", "phase", "reason", _joined("path").alias("path"), six("confidence").alias("confidence"), F.size("candidates").alias("candidates"))
+
+
+@query
+def longest_walk_all(spark, sf_dir):
+    """The longest walk against the edges from every database and supplier; suppliers are hubs of callers."""
+    g = bound.graph(spark, sf_dir)
+    roots = g.nodes.filter("type = 'DatabaseNode' or id like 'service:supplier-%'").select(F.col("id").alias("root"))
+    return traverse.longest_incoming_walks(g, roots).select("root", _joined("path").alias("path"), six("confidence").alias("confidence"))
+
+
 @query
 def latency_hist(spark, sf_dir):
     li = bound.tables(spark, sf_dir)["lineitem"]

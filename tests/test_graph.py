@@ -191,3 +191,62 @@ def test_engine(demo, spark):
         e.node("service:none")
     with pytest.raises(NotFound):
         e.graph("other")
+
+
+def walks_by_hand(pairs, root, depth=5):
+    """The longest simple walk against the edges, the smallest of equals."""
+    best = [root]
+
+    def go(path):
+        nonlocal best
+        if (-len(path), path) < (-len(best), best):
+            best = path
+        if len(path) <= depth:
+            for a, b in pairs:
+                if b == path[-1] and a not in path:
+                    go([*path, a])
+
+    go([root])
+    return best
+
+
+@pytest.mark.parametrize("beam", [1, 3, 64])
+def test_longest_walks_like_all_walks(spark, beam):
+    import random
+
+    rng = random.Random(beam)
+    names = [f"service:{i:02d}" for i in range(14)]
+    pairs = {(rng.choice(names), rng.choice(names)) for _ in range(26)}
+    pairs = {(a, b) for a, b in pairs if a != b}
+    g = make_graph(spark, names, [make_edge("CALLS", a, b) for a, b in pairs])
+    got = {r["root"]: r["path"] for r in traverse.longest_incoming_walks(g, names, beam=beam).collect()}
+    assert got == {n: walks_by_hand(pairs, n) for n in names}
+
+
+def test_longest_walk_through_hubs(spark, monkeypatch):
+    """Three layers of sixty, each joined with all of the next: 216,000 walks, of which few are made."""
+    layers = [["service:root"], *([f"service:{c}{i:02d}" for i in range(60)] for c in "abc")]
+    pairs = [(x, y) for near, far in zip(layers[:-1], layers[1:], strict=True) for y in near for x in far]
+    g = make_graph(spark, [n for layer in layers for n in layer], [make_edge("CALLS", x, y) for x, y in pairs])
+    made, plain = [], traverse.materialise
+    monkeypatch.setattr(traverse, "materialise", lambda df: (lambda out: (made.append(out.count()), out)[1])(plain(df)))
+    (r,) = traverse.longest_incoming_walks(g, ["service:root"]).collect()
+    assert r["path"] == ["service:root", "service:a00", "service:b00", "service:c00"]
+    assert max(made) <= len(pairs)
+
+
+def test_causes_of_many_roots(spark):
+    names = [f"service:{s}" for s in ("load", "front", "checkout", "shipping", "payments", "cart", "x", "y")]
+    edges = [
+        make_edge("CALLS", "service:load", "service:front", "OBSERVED", 1000), make_edge("CALLS", "service:front", "service:checkout", "OBSERVED", 1000, 8),
+        make_edge("CALLS", "service:checkout", "service:shipping", "STALE", 1000, 8, 4000.0), make_edge("CALLS", "service:front", "service:payments", "OBSERVED", 200, 5),
+        make_edge("CALLS", "service:cart", "service:x", "STALE", 30), make_edge("CALLS", "service:x", "service:y", "STALE", 20),
+    ]
+    told = table(spark, INCIDENTS, [incident("i1", "service:payments"), incident("i2", "service:cart"), incident("i3", "service:y")])
+    got = {r["root"]: r for r in rootcause.navigated_causes(make_graph(spark, names, edges), names, told).collect()}
+    assert {k: (r["node"], r["phase"]) for k, r in got.items()} == {
+        "service:front": ("service:load", "victim"), "service:checkout": ("service:load", "victim"), "service:payments": ("service:payments", "dead-end"),
+        "service:cart": ("service:y", "dead-end"), "service:y": ("service:y", "dead-end"),
+    }
+    assert got["service:checkout"]["path"] == ["service:checkout", "service:front", "service:load"]
+    assert got["service:cart"]["path"] == ["service:cart", "service:x", "service:y"] and got["service:cart"]["candidates"][1]["classification"] == "symptom-only"
