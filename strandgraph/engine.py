@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import ask, compat, divergence, incidents, lifecycle, policy, rootcause, search, traverse
+from .operators.embeddings import EmbeddingCache
 from .operators.graph import Graph
 from .schema import INCIDENTS, empty
 from .sources import tables
@@ -97,8 +98,14 @@ class Engine:
     def logs(self, logs: DataFrame, **filters) -> DataFrame:
         return tables.list_logs(logs, **filters)
 
-    def search(self, query: str, limit: int | None = 10, project: str = "default") -> DataFrame:
-        return search.substring_search(self.graph(project).nodes, query, limit)
+    def search(self, query: str, limit: int | None = 10, project: str = "default", vectors: EmbeddingCache | None = None) -> DataFrame:
+        """By substring, or, given a refreshed cache of embeddings, the nearest nodes by cosine."""
+        nodes = self.graph(project).nodes
+        if vectors is None:
+            return search.substring_search(nodes, query, limit)
+        asked = self.spark.createDataFrame([(0, query)], "q int, question string")
+        near = vectors.search(asked, limit or 10)
+        return near.join(nodes.select("id", "type", "name"), "id").select("id", "type", "name", "score").orderBy(F.desc("score"), "id")
 
     def ask(self, question: str, project: str = "default") -> dict:
         return ask.ask(self.graph(project), question, self.incidents)

@@ -38,7 +38,21 @@ _LANDED = _TRACES + " select kind, id, type, name, n::bigint as n, errors::bigin
 
 _OBSERVED_IDS = "select id from raw_edges where provenance = 'OBSERVED' and source <> target"
 
+_DIGEST = """substring(sha1(concat_ws(' ', id, name, case when type = 'ServiceNode' and own is not null then 'owner=' || own end, case when type = 'DatabaseNode' then 'engine=' || engine end,
+  case when type = 'DatabaseNode' then 'engineVersion=' || engineVersion end, case when type = 'DatabaseNode' then 'host=' || host end, case when type = 'ConfigNode' then 'path=' || path end,
+  case when type = 'InfraNode' then 'kind=' || kind end, case when type = 'FileNode' then 'service=' || service end, case when type = 'FileNode' then 'path=' || path end)), 1, 16)"""
+
 TRACED_SQL: dict[str, str] = {
+    "extract_incremental": """with s as (select count(*) as s from supplier), p as (select page_id as n, 'sup-' || (page_id % s) as own, 'sup-' || ((page_id * 3 + case when page_id % 10 = 0 then 1 else 0 end) % s) as dest, s from pages, s),
+      later as (select * from p where n % 7 <> 0)
+      select 'edge' as kind, 'CONTAINS:service:' || own || '->file:' || own || ':src/page' || n || '.js' as id from later
+      union all select 'edge', 'CALLS:file:' || own || ':src/page' || n || '.js->service:' || dest from later
+      union all select 'parsed', (select count(*) from p) + (select max(s) from s) || ' of run 0, 0 removed'
+      union all select 'parsed', (select count(*) from later where n % 10 = 0) || ' of run 1, ' || (select count(*) from p where n % 7 = 0) || ' removed'""",
+    "embedding_cache": G
+    + f""", c as (select *, try_cast(regexp_extract(id, '^service:customer-(\\d+)$', 1) as int) as c from nodes where type <> 'FrontierNode'),
+      o as (select *, case when c % 5 = 0 then 'new' else owner end as own from c where c is null or c % 7 <> 0)
+      select id, {_DIGEST} as digest, case when c % 5 = 0 then 1 else 0 end::bigint as version, 64::int as dims from o""",
     "traced_landed": _LANDED,
     "stream_traced": _LANDED,
     "stream_changes": _TRACES + " select kind || '-added' as event, id from landed where kind = 'node' or (kind = 'edge' and name = 'OBSERVED')",

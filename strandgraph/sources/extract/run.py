@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...functions import text, weights
-from ...operators.graph import Graph
+from ...operators.graph import Graph, materialise
 from ...schema import EDGES, NODES, conform
 from . import code, data, manifests, platform  # noqa: F401 - they register their producers
 from .base import FIELDS, PRODUCERS
 
 RECORDS = (
     "producer string, kind string, id string, type string, name string, service string, path string, source string, target string, edgeType string, confidence double,"
-    " line int, snippet string, method string, pathTemplate string, hostSource string, column string, sdk string, attrs string"
+    " line int, snippet string, method string, pathTemplate string, hostSource string, column string, sdk string, attrs string, file string"
 )
 
 
@@ -24,21 +24,23 @@ def extract_records(files: DataFrame, only: tuple[str, ...] | None = None) -> Da
     """Records of all producers (or some) over (service, path, content): one Arrow-batched map, no shuffle.
 
     A producer that fails on a file gives an error record, and the rest go on.
+    ``file`` is the file that a record was found in.
     """
     chosen = {n: p for n, p in PRODUCERS.items() if only is None or n in only}
-    names = FIELDS
+    names = (*FIELDS, "file")
     kinds = {"confidence": pa.float64(), "line": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for service, path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                file = f"{service}/{path}"
                 for name, (paths, f) in chosen.items():
                     if paths.search(path or ""):
                         try:
-                            out += [{**r, "producer": name} for r in f(service, path, content or "")]
+                            out += [{**r, "producer": name, "file": file} for r in f(service, path, content or "")]
                         except Exception as e:  # noqa: BLE001
-                            out.append({"producer": name, "kind": "error", "service": service, "path": path, "name": f"{type(e).__name__}: {e}"})
+                            out.append({"producer": name, "kind": "error", "service": service, "path": path, "name": f"{type(e).__name__}: {e}", "file": file})
             yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in out], kinds.get(n, pa.string())) for n in names], names=list(names))
 
     return files.select("service", "path", "content").mapInArrow(run, RECORDS)
@@ -169,7 +171,8 @@ def errors(records: DataFrame) -> DataFrame:
 def extract(files: DataFrame, floor: float = weights.PRECISION_FLOOR) -> tuple[Graph, DataFrame, DataFrame]:
     """(graph, rejected edges, errors) of a source tree (path, content)."""
     placed = assign(files, discover(files))
-    found = extract_records(placed).persist()
+    # Written once: what follows reads the records many times.
+    found = materialise(extract_records(placed))
     # Manifests lie at a service's root, so their own name is the service's.
     graph, rejected = build(found, floor)
     return graph, rejected, errors(found)
