@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import compat
 from .graph import Graph
-from .traverse import breadth_first
+from .traverse import breadth_first, reached
 
 #: Action when a policy names none.
 DEFAULT_ACTION = {"info": "log", "warning": "alert", "error": "alert", "critical": "block"}
@@ -158,7 +158,7 @@ def select_violations(found: DataFrame, severity: str | None = None, policy_id:
 
 
 def can_promote(found: DataFrame, frontiers: DataFrame) -> DataFrame:
-    """Frontiers (id) that no blocking violation names."""
+    """Frontiers (id) that no blocking violation names; the path of a violation is its node alone."""
     blocked = found.filter("onViolation = 'block'").select(F.col("nodeId").alias("id")).filter("id is not null").distinct()
     return frontiers.join(blocked, "id", "left_anti")
 
@@ -174,7 +174,8 @@ def applicable(graph: Graph, policies: list[Policy]) -> DataFrame:
     """(node, policyId, role): which policies say something about which nodes.
 
     role is "subject" for nodes a rule judges and "region" for nodes that the
-    rule's edges reach.
+    rule's edges reach; for a blast-radius rule these are the dependents of its
+    subjects, to the rule's depth.
     """
     out = graph.nodes.select(F.col("id").alias("node"), F.lit("").alias("policyId"), F.lit("").alias("role")).filter("false")
     for p in policies:
@@ -185,6 +186,10 @@ def applicable(graph: Graph, policies: list[Policy]) -> DataFrame:
             if kind == "field-guard" and r.get("nodeKind"):
                 nodes = nodes.filter(F.col("kind") == r["nodeKind"])
             out = out.union(nodes.select("id", F.lit(p.id), F.lit("subject")))
+        if kind == "blast-radius":
+            reach = reached(graph, graph.nodes.filter(F.col("type") == subject).select("id"), "up", r.get("depth") or 10)
+            others = reach.join(graph.nodes.filter(F.col("type") != subject).select("id"), "id", "left_semi")
+            out = out.union(others.select("id", F.lit(p.id), F.lit("region")))
         if kind == "structural":
             out = out.union(graph.nodes.filter(F.col("type") == r["toNodeType"]).select("id", F.lit(p.id), F.lit("region")))
         if kind == "provenance":

@@ -52,6 +52,21 @@ def breadth_first(graph: Graph, roots: list[str] | DataFrame, direction: str, de
     return out.select("root", "node", F.col("distance").cast("long").alias("distance"), "path", weights.clamp(F.col("confidence")).alias("confidence"), last["type"].alias("type"), last["provenance"].alias("provenance"), "edges")
 
 
+def reached(graph: Graph, start: DataFrame, direction: str, depth: int) -> DataFrame:
+    """(id) of nodes within depth of any of the start nodes (id), these left out: one row a node, whoever reaches it."""
+    best = materialise(graph.best_edges(direction).select("near", F.col("far").alias("id")))
+    seen = now = materialise(start.select("id").distinct())
+    found = None
+    for _ in range(depth):
+        step = now.withColumnRenamed("id", "near").join(best, "near").select("id").distinct()
+        now = materialise(step.join(seen, "id", "left_anti"))
+        if now.isEmpty():
+            break
+        found = now if found is None else found.union(now)
+        seen = seen.union(now)
+    return now.filter("false") if found is None else found
+
+
 def blast_radius(graph: Graph, roots: list[str] | DataFrame, depth: int = 10) -> DataFrame:
     """Everything that depends on each root: root, node, distance, provenance, path, confidence."""
     return breadth_first(graph, roots, "up", depth).select("root", "node", "distance", "provenance", "path", "confidence").orderBy("root", "distance", "node")

@@ -170,6 +170,7 @@ ORACLE_SQL: dict[str, str] = {
       select b.n = 0 as allowed, a.n + b.n as violations, b.n as blocking from a, b""",
     "policy_applicable": G + """ select 'p-structural' as "policyId", case when type = 'ServiceNode' then 'subject' else 'region' end as role, count(*) as n from nodes where type in ('ServiceNode', 'DatabaseNode') group by all
       union all select 'p-provenance', 'subject', count(distinct source) from edges where type = 'DEPENDS_ON' union all select 'p-provenance', 'region', count(distinct target) from edges where type = 'DEPENDS_ON'""",
+    "policy_reach": G + _bfs("up", "type = 'DatabaseNode'", 2) + " select id as node, 'subject' as role from nodes where type = 'DatabaseNode' union all select distinct node, 'region' from found where node not in (select id from nodes where type = 'DatabaseNode')",
     "stale_sweep": G + f" select type, case when {_TURNED} then 'STALE' else provenance end as provenance, count(*) as n, round(sum(case when {_TURNED} then 0.3 else coalesce(confidence, 0) end), 6)::double as c from edges group by 1, 2",
     "stale_events": G + f""" select id as "edgeId", type as "edgeType", {_THRESHOLD}::bigint as "thresholdMs", (epoch_ms(timestamp '{bound.NOW}') - epoch_ms(lastObserved))::bigint as "ageMs" from edges where {_TURNED}""",
     "trace_stitch": G

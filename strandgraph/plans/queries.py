@@ -327,6 +327,13 @@ def policy_applicable(spark, sf_dir):
     return policy.applicable(bound.graph(spark, sf_dir), p).groupBy("policyId", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def policy_reach(spark, sf_dir):
+    """Nodes that a blast-radius rule on databases has to do with: the databases, and what depends on them."""
+    p = [_policy("blast-radius", nodeType="DatabaseNode", maxAffected=60, depth=2)]
+    return policy.applicable(bound.graph(spark, sf_dir), p).select("node", "role")
+
+
 _THRESHOLDS = {"CALLS": 365 * 86_400_000, "CONNECTS_TO": 3_600_000}
 
 

@@ -43,7 +43,7 @@ _DIGEST = """substring(sha1(concat_ws(' ', id, name, case when type = 'ServiceNo
   case when type = 'InfraNode' then 'kind=' || kind end, case when type = 'FileNode' then 'service=' || service end, case when type = 'FileNode' then 'path=' || path end)), 1, 16)"""
 
 TRACED_SQL: dict[str, str] = {
-    "extract_incremental": """with s as (select count(*) as s from supplier), p as (select page_id as n, 'sup-' || (page_id % s) as own, 'sup-' || ((page_id * 3 + case when page_id % 10 = 0 then 1 else 0 end) % s) as dest, s from pages, s),
+    "extract_incremental": """with s as (select count(*) as s from supplier), p as (select page_id as n, 'sup-' || (page_id % s) as own, 'sup-' || ((page_id * 3 + page_id // s // 2 + case when page_id % 10 = 0 then 1 else 0 end) % s) as dest, s from pages, s),
       later as (select * from p where n % 7 <> 0)
       select 'edge' as kind, 'CONTAINS:service:' || own || '->file:' || own || ':src/page' || n || '.js' as id from later
       union all select 'edge', 'CALLS:file:' || own || ':src/page' || n || '.js->service:' || dest from later
@@ -73,4 +73,12 @@ TRACED_SQL: dict[str, str] = {
     + f""", a as (select 'divergence' as kind, 'divergence|host-mismatch|' || source || '|' || target as key from ({_HOSTS})
       union select 'stale', 'stale|' || id || '|2001-11-04 00:00:00' from raw_edges where type = 'CONNECTS_TO' and provenance = 'OBSERVED' union select 'policy', 'policy|' || id from nodes where type = 'ServiceNode' and owner is null)
       select kind, key, 1::bigint as n from a""",
+    "snapshot_versions": G
+    + """ select id, type, case when kind = 'sql-table' and k % 50 = 0 then 3 when kind <> 'sql-table' then 3 when k % 4 <> 3 then 0 end::int as n from nodes where type = 'InfraNode'
+      union all select id, 'OBSERVED', spanCount::int from raw_edges where type = 'CONNECTS_TO' and provenance = 'OBSERVED'""",
+    "unobserved_quiet": G
+    + """, third as (select source, target from raw_edges where provenance = 'OBSERVED' and source <> target and target like 'service:%' and try_cast(regexp_extract(source, '^service:customer-(\\d+)$', 1) as int) % 3 = 0)
+      select id from nodes where type = 'ServiceNode' and id not in (select source from third union select target from third)""",
+    "page_call_sites": """with s as (select count(*) as s from supplier), p as (select page_id as n, 'service:sup-' || (page_id % s) as service, 'service:sup-' || ((page_id * 3 + page_id // s // 2) % s) as target, 'file:sup-' || (page_id % s) || ':src/page' || page_id || '.js' as file from pages, s)
+      select service, target, min(file) as file from p group by 1, 2 having count(*) = 1""",
 }

@@ -55,16 +55,21 @@ def load_graph(spark: SparkSession, path: str) -> Graph:
     return Graph(spark.read.schema(NODES).parquet(f"{base}/nodes"), spark.read.schema(EDGES).parquet(f"{base}/edges"), meta["exportedAt"])
 
 
-def _migrate(version: int, nodes: list[dict], edges: list[dict]) -> tuple[list[dict], list[dict]]:
-    """Older documents, brought to the current shape: retired fields go, frontier provenance becomes observed."""
-    if not 1 <= version <= SNAPSHOT_VERSION:
-        raise ValueError(f"unknown snapshot version {version}")
-    if version < 3:
-        for e in edges:
-            if e.get("provenance") == "FRONTIER":
-                e["provenance"] = "OBSERVED"
-                e["id"] = e["id"].replace(":FRONTIER:", ":OBSERVED:")
-    return nodes, edges
+def migrated(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of older documents (with ``schemaVersion``) in the current shape.
+
+    Before version 3 a provenance FRONTIER meant an observed edge, whose id
+    follows from its ends; before version 6 tables had no list of columns.
+    Fields that were retired (version 2) are not read, and versions 4, 5 and 7
+    only allowed more.
+    """
+    table = (F.col("type") == "InfraNode") & F.col("kind").isin("sql-table", "supabase-table")
+    bare = (F.col("schemaVersion") < 6) & table & F.col("columns").isNull()
+    nodes = nodes.withColumn("columns", F.when(bare, F.array().cast(nodes.schema["columns"].dataType)).otherwise(F.col("columns")))
+    old = F.coalesce((F.col("schemaVersion") < 3) & (F.col("provenance") == "FRONTIER"), F.lit(False))
+    whole = F.col("type").isNotNull() & F.col("source").isNotNull() & F.col("target").isNotNull()
+    observed = F.concat("type", F.lit(":OBSERVED:"), "source", F.lit("->"), "target")
+    return nodes, edges.withColumns({"id": F.when(old & whole, observed).otherwise(F.col("id")), "provenance": F.when(old, "OBSERVED").otherwise(F.col("provenance"))})
 
 
 def _for_json(kind):
@@ -76,16 +81,33 @@ def _for_json(kind):
     return T.MapType(T.StringType(), _for_json(kind.valueType)) if isinstance(kind, T.MapType) else kind
 
 
+DOCUMENT = "struct<schemaVersion:int,exportedAt:string,graph:struct<nodes:array<string>,edges:array<string>>>"
+
+
+def read_snapshots(texts: DataFrame) -> Graph:
+    """The graph of exported documents (value): {schemaVersion, exportedAt, graph: {nodes: [{key, attributes}], edges: [...]}}.
+
+    Documents of any version are migrated; an unknown version is refused.
+    """
+    read = texts.select(F.from_json("value", DOCUMENT).alias("d")).select(F.coalesce("d.schemaVersion", F.lit(1)).alias("schemaVersion"), "d.exportedAt", "d.graph")
+    about = read.agg(F.min("schemaVersion").alias("low"), F.max("schemaVersion").alias("high"), F.max("exportedAt").alias("at")).first()
+    for version in (about["low"], about["high"]):
+        if version is not None and not 1 <= version <= SNAPSHOT_VERSION:
+            raise ValueError(f"unknown snapshot version {version}")
+
+    def rows(kind: str, schema: T.StructType) -> DataFrame:
+        each = read.select("schemaVersion", F.explode(f"graph.{kind}").alias("row"))
+        parsed = F.from_json(F.coalesce(F.get_json_object("row", "$.attributes"), "row"), _for_json(schema))
+        kept = T.StructType([*schema.fields, T.StructField("schemaVersion", T.IntegerType())])
+        return conform(each.select(parsed.alias("r"), "schemaVersion").select("r.*", "schemaVersion"), kept)
+
+    nodes, edges = migrated(rows("nodes", NODES), rows("edges", EDGES))
+    return Graph(conform(nodes, NODES), conform(edges, EDGES), about["at"] or "1970-01-01 00:00:00")
+
+
 def read_snapshot_json(spark: SparkSession, text: str) -> Graph:
-    """An exported graph document {schemaVersion, exportedAt, graph: {nodes: [{key, attributes}], edges: [...]}}."""
-    document = json.loads(text)
-    graph = document.get("graph", {})
-    nodes = [n.get("attributes", n) for n in graph.get("nodes", [])]
-    edges = [e.get("attributes", e) for e in graph.get("edges", [])]
-    nodes, edges = _migrate(int(document.get("schemaVersion", 1)), nodes, edges)
-    lines = lambda rows: spark.sparkContext.parallelize([json.dumps(r) for r in rows], 1)
-    read = lambda rows, schema: spark.read.schema(_for_json(schema)).json(lines(rows)) if rows else empty(spark, schema)
-    return Graph(conform(read(nodes, NODES), NODES), conform(read(edges, EDGES), EDGES), document.get("exportedAt") or "1970-01-01 00:00:00")
+    """The graph of one exported document."""
+    return read_snapshots(spark.createDataFrame([(text,)], "value string"))
 
 
 def load_diff_side(spark: SparkSession, where: str) -> Graph:
@@ -94,7 +116,7 @@ def load_diff_side(spark: SparkSession, where: str) -> Graph:
         with urlopen(where, timeout=30) as reply:  # noqa: S310
             return read_snapshot_json(spark, reply.read().decode())
     if where.endswith(".json"):
-        return read_snapshot_json(spark, "\n".join(r[0] for r in spark.read.text(where, wholetext=True).collect()))
+        return read_snapshots(spark.read.text(where, wholetext=True))
     return load_graph(spark, where)
 
 

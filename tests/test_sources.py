@@ -41,6 +41,10 @@ def test_snapshots(spark, tmp_path):
     assert (old["id"], old["provenance"]) == ("CALLS:OBSERVED:service:a->frontier:x", "OBSERVED")
     with pytest.raises(ValueError):
         tables.read_snapshot_json(spark, json.dumps({"schemaVersion": 99}))
+    bare = lambda v: {"schemaVersion": v, "graph": {"nodes": [{"id": "infra:sql-table:t", "type": "InfraNode", "kind": "sql-table", "name": "t", "pgDriverVersion": "1"}, {"id": "infra:x:y", "type": "InfraNode", "kind": "x"}]}}
+    for version, columns in ((1, []), (5, []), (6, None)):
+        got = {r["id"]: r["columns"] for r in tables.read_snapshot_json(spark, json.dumps(bare(version))).nodes.collect()}
+        assert got == {"infra:sql-table:t": columns, "infra:x:y": None}
 
 
 def test_ledgers(spark, tmp_path):
