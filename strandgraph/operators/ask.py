@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import divergence, incidents as inc, traverse
+from . import divergence, incidents as inc, rootcause, traverse
 from .graph import Graph
 
 # Intents in order (the first whose pattern occurs decides), and words that name no node.
@@ -114,30 +114,50 @@ def unobserved(graph: Graph) -> DataFrame:
     return graph.nodes.filter("type = 'ServiceNode'").join(ends, "id", "left_anti").select("id")
 
 
+# The sections of an answer about a node, in order, by intent.
+SECTIONS = {
+    "root-cause": ("root-cause", "incidents", "blast", "observed", "divergence"),
+    "blast-radius": ("blast", "dependencies", "observed", "incidents"),
+    "dependencies": ("dependencies", "observed", "blast"),
+    "observed": ("observed", "dependencies", "incidents"),
+    "incidents": ("incidents", "root-cause", "observed"),
+    "divergence": ("divergence", "observed", "dependencies", "incidents"),
+    "overview": ("dependencies", "observed", "blast", "incidents", "divergence"),
+}
+
+
+def _section(kind: str, graph: Graph, node: str, incidents: DataFrame) -> DataFrame:
+    if kind == "root-cause":
+        return rootcause.navigated_causes(graph, [node], incidents)
+    if kind == "blast":
+        return traverse.blast_radius(graph, [node])
+    if kind == "observed":
+        return traverse.observed_dependencies(graph, [node])[0]
+    if kind == "dependencies":
+        return traverse.transitive_dependencies(graph, [node])
+    return inc.history(incidents, node) if kind == "incidents" else divergence.divergences(graph, node=node)
+
+
 def ask(graph: Graph, question: str, incidents: DataFrame) -> dict:
-    """{intent, entities, sections}: the sections are lazy DataFrames."""
+    """{intent, entities, scope, sections} of a question.
+
+    Sections are DataFrames in the order of ``SECTIONS`` about the node that the
+    question names best, without those that say nothing.  If it names none,
+    divergences, incidents and overviews are answered for the whole graph, and
+    other questions not at all (scope None).
+    """
     spark = graph.spark
     asked = spark.createDataFrame([(1, question)], "q int, text string")
     kind = asked.select(intent(F.col("text"))).first()[0]
     names = [r["node"] for r in matched_entities(entity_scores(graph.nodes, asked, "q", "text"), "q").collect()]
-    sections: dict[str, DataFrame] = {}
+    scope, made = None, {}
     if names:
-        makers = {
-            "root-cause": lambda: {"rootCause": traverse.expand(graph, names, "up", incidents)},
-            "blast-radius": lambda: {"blastRadius": traverse.blast_radius(graph, names)},
-            "divergence": lambda: {"divergences": divergence.divergences(graph, node=names[0])},
-            "incidents": lambda: {"incidents": inc.history(incidents, names[0])},
-            "observed": lambda: {"observedDependencies": traverse.observed_dependencies(graph, names)[0]},
-            "dependencies": lambda: {"dependencies": traverse.transitive_dependencies(graph, names)},
-            "overview": lambda: {"dependencies": traverse.transitive_dependencies(graph, names), "blastRadius": traverse.blast_radius(graph, names)},
-        }
-        sections = makers[kind]()
-        if kind != "incidents":
-            sections["incidents"] = inc.history(incidents, names[0])
+        scope, made = "node", {k: _section(k, graph, names[0], incidents) for k in SECTIONS[kind]}
     elif kind == "divergence":
-        sections = {"divergences": divergence.divergences(graph).limit(3)}
+        scope, made = "global", {"divergence": divergence.divergences(graph).limit(3)}
     elif kind == "incidents":
-        sections = {"incidents": inc.rollup(incidents)}
-    else:
-        sections = {"shape": shape(graph), "busiest": busiest(graph), "unobserved": unobserved(graph)}
-    return {"intent": kind, "entities": names, "sections": sections}
+        scope, made = "global", {"incidents": inc.rollup(incidents)}
+    elif kind == "overview":
+        found = divergence.divergences(graph).agg(F.count(F.lit(1)).alias("n"))
+        scope, made = "global", {"shape": shape(graph), "busiest": busiest(graph), "incidents": inc.rollup(incidents), "divergence": found}
+    return {"intent": kind, "entities": names, "scope": scope, "sections": {k: df for k, df in made.items() if not df.isEmpty()}}

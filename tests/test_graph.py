@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandgraph.engine import Engine, NotFound
-from strandgraph.operators import divergence, lifecycle, policy, rootcause, traverse
+from strandgraph.operators import ask, divergence, lifecycle, policy, rootcause, traverse
 from strandgraph.operators.graph import Graph
 from strandgraph.schema import EDGES, INCIDENTS, NODES, table
 
@@ -187,6 +187,10 @@ def test_engine(demo, spark):
     e = Engine(spark, {"default": demo})
     assert e.search("SERVICE:a").count() == 1
     assert e.ask("what breaks if b dies")["intent"] == "blast-radius"
+    assert [*e.ask("what does db depend on")["sections"]] == ["blast"]
+    told = ask.ask(demo, "why is db failing", table(spark, INCIDENTS, [incident("i1", "database:db")]).withColumn("ordinal", F.lit(1)))
+    assert (told["entities"][0], told["scope"], [*told["sections"]][:3]) == ("database:db", "node", ["root-cause", "incidents", "blast"])
+    assert e.ask("who calls")["scope"] is None and [*e.ask("hello")["sections"]] == ["shape", "busiest", "divergence"]
     with pytest.raises(NotFound):
         e.node("service:none")
     with pytest.raises(NotFound):
