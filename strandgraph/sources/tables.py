@@ -219,15 +219,12 @@ def source_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = (
 
 def owners_of(paths: DataFrame, codeowners: str, spark: SparkSession) -> DataFrame:
     """(path, owner) by the first matching rule of an ownership file."""
-    rules = []
-    for line in codeowners.splitlines():
-        parts = line.split("#")[0].split()
-        if len(parts) >= 2:
-            rules.append((len(rules), _glob(parts[0]), parts[1]))
+    rules = [(_glob(parts[0]), parts[1]) for line in codeowners.splitlines() if len(parts := line.split("#")[0].split()) >= 2]
     if not rules:
         return paths.select("path", F.lit(None).cast("string").alias("owner")).filter("false")
-    table = spark.createDataFrame(rules, "ordinal int, pattern string, owner string")
-    return paths.select("path").distinct().crossJoin(F.broadcast(table)).filter("path rlike pattern").groupBy("path").agg(F.min_by("owner", "ordinal").alias("owner"))
+    # The first rule that matches, as one expression: no row meets more rules than it needs.
+    owner = F.coalesce(*(F.when(F.col("path").rlike(pattern), F.lit(who)) for pattern, who in rules))
+    return paths.select("path").distinct().withColumn("owner", owner).filter("owner is not null")
 
 
 def _glob(pattern: str) -> str:
@@ -246,8 +243,6 @@ def instrumentation(packages: DataFrame, registry: DataFrame) -> DataFrame:
     """
     from ..functions import versions
 
-    joined = packages.join(F.broadcast(registry), "package").filter(F.col("fromVersion").isNull() | ~F.coalesce(versions.older(F.col("version"), F.col("fromVersion")), F.lit(False)))
+    joined = packages.join(registry, "package").filter(F.col("fromVersion").isNull() | ~F.coalesce(versions.older(F.col("version"), F.col("fromVersion")), F.lit(False)))
     return joined.groupBy("package", "version").agg(F.min_by("coverage", "ordinal").alias("coverage"))
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["LOGS"]
