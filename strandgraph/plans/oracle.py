@@ -130,12 +130,12 @@ ORACLE_SQL: dict[str, str] = {
     "route_normalise": r"""with p as (select page_id, regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '[?#].*$', '') as x from pages), q as (select page_id, regexp_replace(case when x like '/%' then x else '/' || x end, '/+$', '') as x from p)
       select page_id, case when x = '' then '/' else array_to_string(list_transform(string_split(x, '/'), lambda s: case when regexp_matches(s, '^(?:[:*].*|\{.*\}|\[.*\]|<.*>|\$\{.*\}|\d+|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|[0-9a-fA-F]{24,})$') then ':param' else lower(s) end), '/') end as template from q""",
     "url_host": r"select lower(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1), '')) as host, count(*) as n from pages group by 1",
-    "parent_span_join": """with s as (select distinct on (l_orderkey, l_linenumber) l_orderkey as t, l_linenumber as i, 'supplier-' || l_suppkey as service from lineitem)
+    "parent_span_join": """with s as (select l_orderkey as t, l_linenumber as i, 'supplier-' || min(l_suppkey) as service from lineitem group by 1, 2)
       select p.service as "parentService", c.service, count(*) as n from s c join s p on p.t = c.t and p.i = c.i - 1 where c.i > 1 group by all""",
     "shape_counts": G + " select 'node' as kind, type as name, count(*) as n from nodes group by all union all select 'provenance', provenance, count(*) from edges group by all union all select 'edge', type, count(*) from edges group by all",
     "busiest": G + " select near as service, count(*) as n from down join nodes n on n.id = near and n.type = 'ServiceNode' where down.type <> 'CONTAINS' group by near order by n desc, service limit 6",
     "unobserved": G + " select id from nodes where type = 'ServiceNode' and id not in (select source from edges where provenance = 'OBSERVED' union select target from edges where provenance = 'OBSERVED')",
-    "symbol_range_join": """with sym as (select * from (values ('outer', 1, 60), ('outer.mid', 10, 30), ('outer.mid.low', 20, 25), ('late', 20, 25)) v(q, a, b)), site as (select distinct on (l_orderkey * 10 + l_linenumber) l_orderkey * 10 + l_linenumber as site, l_suppkey as s, l_quantity::int as line, case when l_returnflag = 'R' then 'late' else 'other' end as f from lineitem),
+    "symbol_range_join": """with sym as (select * from (values ('outer', 1, 60), ('outer.mid', 10, 30), ('outer.mid.low', 20, 25), ('late', 20, 25)) v(q, a, b)), site as (select l_orderkey * 10 + l_linenumber as site, l_suppkey as s, l_quantity::int as line, case when l_returnflag = 'R' then 'late' else 'other' end as f from lineitem qualify row_number() over (partition by l_orderkey * 10 + l_linenumber order by l_suppkey, l_quantity::int, f) = 1),
       hit as (select *, 'symbol:supplier-' || s || ':src/app.py#' || q as symbol from site join sym on line between a and b qualify row_number() over (partition by site order by case when split_part(q, '.', -1) = f then 0 else 1 end, b - a, -a, symbol) = 1)
       select symbol, count(*) as n, sum(site)::bigint as sites from hit group by all""",
     "divergence_missing_observed": G + f' , m as ({_ALL_MISSING}) select type, source, target, edgeType as "edgeType", "column", round(c, 6) as confidence from m',
