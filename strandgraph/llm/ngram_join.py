@@ -270,8 +270,8 @@ def _verify(percent: int):
     return run
 
 
-def _by_token(rows: DataFrame, table: DataFrame, count: str, total: int) -> tuple[DataFrame, DataFrame]:
-    """(rows joined with table, rows that it lacks) by token, without a task that gets all rows of a frequent one.
+def _by_token(rows: DataFrame, table: DataFrame, count: str, total: int) -> DataFrame:
+    """rows joined with table by token, without a task that gets all rows of a frequent one.
 
     table has one row a token, ``count`` of ``rows`` have it, and there are
     ``total`` rows.  Tokens with more than total / HEAVY rows are broadcast,
@@ -279,8 +279,32 @@ def _by_token(rows: DataFrame, table: DataFrame, count: str, total: int) -> tupl
     """
     heavy = F.col(count) * HEAVY > total
     few, many = F.broadcast(table.filter(heavy)), table.filter(~heavy)
-    rest = rows.join(few.select("token"), "token", "left_anti")
-    return rows.join(few, "token").unionByName(rest.join(many, "token")), rest.join(many.select("token"), "token", "left_anti")
+    return rows.join(few, "token").unionByName(rows.join(few.select("token"), "token", "left_anti").join(many, "token"))
+
+
+def meeting(prefix: DataFrame, percent: int, block: int) -> DataFrame:
+    """(b1, b2, node): the nodes of (token, node, n, block) that two blocks, or one, have to compare.
+
+    Rows are one for each token and block, with the nodes that have it: no more
+    than a block holds, however frequent the token.  A token of more nodes than
+    a block holds would meet each of them with each block: such tokens pair
+    blocks, and all their nodes in those meet.
+    """
+    held = prefix.groupBy("token", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.collect_list(F.struct("node", "n")).alias("members"))
+    held = checkpoint(held)
+    everywhere = held.groupBy("token").agg(F.sum(F.size("members")).alias("k")).filter("k > 1")
+    held = checkpoint(held.join(everywhere, "token"))
+    there = held.select("token", F.col("block").alias("other"), F.col("low").alias("olow"), F.col("high").alias("ohigh"), "k")
+    near = f"ohigh * 100 >= {percent} * low and high * 100 >= {percent} * olow"
+    rare = held.filter(F.col("k") <= block).drop("k").join(there.filter(F.col("k") <= block).drop("k"), "token").filter(f"(block <> other or size(members) > 1) and {near}")
+    fits = F.filter("members", lambda m: (m["n"] * 100 >= F.col("olow") * percent) & (F.col("ohigh") * 100 >= m["n"] * percent))
+    rare = rare.select(F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), F.explode(fits["node"]).alias("node"))
+    dense = held.filter(F.col("k") > block).drop("k")
+    pairs = dense.join(there.filter(F.col("k") > block).drop("k"), "token").filter(f"(block < other or block = other and size(members) > 1) and {near}")
+    pairs = pairs.select(F.col("block").alias("b1"), F.col("other").alias("b2")).distinct()
+    both = pairs.select("b1", "b2", F.col("b1").alias("block")).union(pairs.filter("b1 < b2").select("b1", "b2", F.col("b2").alias("block")))
+    nodes = dense.select("block", F.explode("members.node").alias("node")).distinct()
+    return rare.union(both.join(nodes, "block").select("b1", "b2", "node")).distinct()
 
 
 def _sum(df: DataFrame, what: str) -> int:
@@ -312,7 +336,7 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     each = sets.select("node", F.explode("tokens").alias("token"))
     often = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("token", F.floor(F.log2("df")).cast("int").alias("level"), "df")
-    common, _ = _by_token(each, often, "df", _sum(sets, "size(tokens)"))
+    common = _by_token(each, often, "df", _sum(sets, "size(tokens)"))
     common = common.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("level", "token"))).alias("shared"))
     least = f"cast(ceil(n * {percent} / 100.0) as int)"
     common = common.join(classes.select("node", "n", "times"), "node").filter(f"size(shared) >= {least}")
@@ -325,19 +349,7 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     nodes = checkpoint(nodes.drop("near").join(placed, "node"))
     length = f"size(tokens) - {least} + 1"
     prefix = nodes.select("node", "n", "block", F.explode(F.expr(f"slice(tokens, 1, {length})")).alias("token"))
-    # A token of more nodes than a block holds would meet each of them with each block: such tokens pair blocks.
-    hot = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > block)
-    dense, rare = _by_token(prefix, hot, "k", _sum(nodes, length))
-    dense = dense.drop("k")
-    there = lambda p: p.groupBy("token", F.col("block").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("k"))
-    meet = rare.join(there(rare), "token").filter(f"(block <> other or k > 1) and n * 100 >= {percent} * low and high * 100 >= {percent} * n")
-    meet = meet.select(F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "node")
-    side = there(dense)
-    first = side.select("token", F.col("other").alias("b1"), F.col("low").alias("low1"), F.col("high").alias("high1"), F.col("k").alias("k1"))
-    second = side.select("token", F.col("other").alias("b2"), "low", "high")
-    pairs = first.join(second, "token").filter(f"(b1 < b2 or b1 = b2 and k1 > 1) and high * 100 >= {percent} * low1 and high1 * 100 >= {percent} * low").select("b1", "b2").distinct()
-    both = pairs.select("b1", "b2", F.col("b1").alias("block")).union(pairs.filter("b1 < b2").select("b1", "b2", F.col("b2").alias("block")))
-    meet = meet.union(both.join(dense.select("node", "block").distinct(), "block").select("b1", "b2", "node")).distinct()
+    meet = meeting(prefix, percent, block)
     groups = meet.join(nodes, "node").groupBy("b1", "b2")
     found = checkpoint(groups.applyInArrow(_verify(percent), "node long, root long, links long, own boolean"))
 
