@@ -10,6 +10,22 @@ def edge(a, b, kind="CALLS", provenance="OBSERVED", **more):
     return {"id": f"{kind}:{mark}{a}->{b}", "source": a, "target": b, "type": kind, "provenance": provenance, **more}
 
 
+def test_diff_sends_digests_of_what_is_equal(spark):
+    signal = lambda n, hist: (n, 0, 0.0, None, hist, None)
+    before = [edge(f"service:a{i}", "service:b", callCount=i, signal=signal(i, {1: 2, 3: 4})) for i in range(6)]
+    after = [dict(r) for r in before[1:]] + [edge("service:new", "service:b")]
+    after[0]["signal"] = signal(1, {3: 4, 1: 2})
+    after[1] |= {"callCount": 9, "provenance": "STALE"}
+    after[2]["signal"] = signal(3, {1: 2, 3: 5})
+    b, a = table(spark, EDGES, before), table(spark, EDGES, after)
+    d = lifecycle.diff(b, a)
+    got = {r["id"]: (r["change"], r["fields"] and tuple(r["fields"])) for r in d.collect()}
+    assert got == {before[0]["id"]: ("removed", None), after[-1]["id"]: ("added", None), before[2]["id"]: ("changed", ("provenance", "callCount")), before[3]["id"]: ("changed", ("signal",))}
+    # No join takes whole rows of both sides that have not been found to differ.
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "FullOuter" not in plan and "LeftSemi" in plan
+
+
 def test_stitch_sends_twins_of_declared_edges_only(spark, monkeypatch):
     nodes = [{"id": f"service:{n}", "type": "ServiceNode", "name": n} for n in "abcd"]
     edges = [edge("service:a", "service:b", provenance="EXTRACTED"), edge("service:b", "service:c", provenance="EXTRACTED"), edge("service:b", "service:d", provenance="EXTRACTED"), edge("service:b", "service:d", provenance="OBSERVED")]
