@@ -119,44 +119,43 @@ def declared_database(graph: Graph, of: DataFrame | None = None) -> DataFrame:
 TARGET = ("type", "name", "service", "engine", "host", "provider", "kind", "operationType", "operationName", "rpcService", "rpcMethod", "channel")
 
 
+#: What ``placed`` tells of a span.
+PLACE = ("_svc", "_known", "_file", "_rel", "_line", "_symbol", "_src", "site", "_peer", "_to", "_declared")
+
+
 def placed(spans: DataFrame, graph: Graph) -> DataFrame:
-    """spans with the node of their service and the file or symbol of their call site.
-
-    ``_svc`` and ``_name`` are the fused service, ``_known`` whether the graph
-    has it; ``_file`` and ``_rel`` the declared file of the call site (else the
-    path as observed), ``_symbol`` the symbol around its line, ``_minted`` the
-    one to be made where the file has symbols but none there; ``_src`` is the
-    finest of these.  Each service and call site is matched once, and spans
-    meet what is told of theirs in one join, which sends no span as long as
-    there are few of them.
+    """spans with the node of their service, the file or symbol of their call site, and what their peer is.
+
+    ``_svc`` is the fused service, ``_known`` whether the graph has it;
+    ``_file`` and ``_rel`` the declared file of the call site (else the path as
+    observed), ``_symbol`` the symbol around its line; ``_src`` is the finest of
+    these, ``site`` all of them, with the symbol to be made (``minted``) where
+    the file has symbols but none there.  ``_to`` is the service of ``_peer``,
+    ``_declared`` the database that a service without one declares.  All that
+    differs between spans in this (``_at``) is matched once, and spans meet it
+    in one join, which sends no span as long as there is little of it.
     """
     a = F.col("attributes")
     path = F.nullif(F.regexp_replace(F.replace(sp.code_path(a), F.lit("\\"), F.lit("/")), r"^(?:[A-Za-z]:)?/+", ""), F.lit(""))
-    s = spans.withColumn("env", F.coalesce("env", F.lit("unknown"))).withColumns({"_path": path, "_line": sp.code_line(a), "_fn": sp.code_function(a)})
-    by = ["service", "env", "_path", "_line", "_fn"]
-    seen = materialise(s.filter("service is not null").select(*by).distinct())
-    return beside(s, materialise(_places(seen, graph)), by)
-
-
-def beside(rows: DataFrame, found: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
-    """rows with what is found of theirs: ``found`` has a row for each value of ``by``, of which some may be null.
-
-    ``found`` is cut (``materialise``), so that Spark sees its size.
-    """
-    found = found.withColumnsRenamed({c: f"_of{c}" for c in by})
-    same = F.lit(True)
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_of{c}"))
-    return rows.join(found, same, how).drop(*(f"_of{c}" for c in by))
-
-
-def _places(sites: DataFrame, graph: Graph) -> DataFrame:
-    """(service, env, _path, _line, _fn) of distinct call sites with their place in the graph, as ``placed`` tells it."""
-    fused = fuse_services(sites, graph.nodes).withColumnsRenamed({"id": "_svc", "name": "_name", "known": "_known"})
-    s = sites.join(fused, ["service", "env"])
-    seen = s.filter("_path is not null").select(F.col("_name").alias("service"), F.col("_path").alias("path"))
-    files = reconcile_files(seen, graph.nodes).select(F.col("service").alias("_name"), F.col("path").alias("_path"), F.col("file").alias("_declared_file"))
-    s = s.join(files, ["_name", "_path"], "left").withColumn("_file", F.coalesce("_declared_file", ids.file_id("_name", "_path")))
+    at = F.struct("service", "env", path.alias("_path"), sp.code_line(a).alias("_line"), sp.code_function(a).alias("_fn"), sp.peer(a).alias("_peer"), "dbSystem")
+    s = spans.withColumn("env", F.coalesce("env", F.lit("unknown"))).withColumn("_at", at)
+    seen = materialise(s.filter("service is not null").select("_at").distinct())
+    # Structs are equal where the same fields are null.
+    return s.join(materialise(_places(seen.select("_at", "_at.*"), graph)), "_at").drop("_at")
+
+
+def _places(seen: DataFrame, graph: Graph) -> DataFrame:
+    """``_at`` of distinct spans and their ``PLACE``."""
+    fused = fuse_services(seen, graph.nodes).withColumnsRenamed({"id": "_svc", "name": "_name", "known": "_known"})
+    s = materialise(seen.join(fused, ["service", "env"]))
+    paths = s.filter("_path is not null").select(F.col("_name").alias("service"), F.col("_path").alias("path"))
+    files = reconcile_files(paths, graph.nodes).select(F.col("service").alias("_name"), F.col("path").alias("_path"), F.col("file").alias("_declared_file"))
+    hosts = s.filter("_peer is not null").select(F.col("_peer").alias("host"), "env").distinct()
+    resolved = resolve_hosts(hosts, graph.nodes).withColumnsRenamed({"host": "_peer", "service": "_to"})
+    users = s.filter("dbSystem is not null and _peer is null").select(F.col("_svc").alias("id")).distinct()
+    local = declared_database(graph, users).withColumnsRenamed({"service": "_svc", "engine": "dbSystem", "database": "_declared"})
+    s = s.join(files, ["_name", "_path"], "left").join(resolved, ["_peer", "env"], "left").join(local, ["_svc", "dbSystem"], "left")
+    s = s.withColumn("_file", F.coalesce("_declared_file", ids.file_id("_name", "_path")))
     s = s.withColumn("_rel", ids.file_path("_file"))
     sites = s.filter("_file is not null and _line is not null").select(F.col("_file").alias("file"), F.col("_line").alias("line"), F.col("_fn").alias("function")).distinct()
     sites = sites.withColumn("site", F.struct("file", "line", "function"))
@@ -166,7 +165,8 @@ def _places(sites: DataFrame, graph: Graph) -> DataFrame:
     s = s.join(around, near, "left").drop(around["_file"], around["_line"], around["_f"]).join(full, "_file", "left")
     new = F.col("_symbol").isNull() & F.col("_full") & F.col("_fn").isNotNull() & F.col("_line").isNotNull()
     s = s.withColumn("_minted", F.when(new, ids.symbol_id("_name", "_rel", "_fn")))
-    return s.withColumn("_src", F.coalesce("_symbol", "_minted", "_file", "_svc"))
+    site = F.struct(F.col("_svc").alias("svc"), F.col("_name").alias("name"), F.col("_file").alias("file"), F.col("_rel").alias("path"), F.col("_minted").alias("minted"), F.col("_fn").alias("function"), F.col("_line").alias("line"))
+    return s.withColumn("_src", F.coalesce("_symbol", "_minted", "_file", "_svc")).withColumn("site", site).select("_at", *PLACE)
 
 
 def _target(node_type: str, label, **fields) -> Column:
@@ -210,12 +210,10 @@ def caller_pairs(spans: DataFrame, arrived: str | None = None, window: str = "5
     return child.join(above, same).filter("child.service <> parent.service").select("child", "parent")
 
 
-def _sited(s: DataFrame) -> DataFrame:
-    """Placed spans with the evidence and the site of their call."""
+def _evidence() -> Column:
+    """What a placed span tells of the site of its call."""
     no_text = F.lit(None).cast("string")
-    evidence = F.when(F.col("_rel").isNotNull(), F.struct(F.col("_rel").alias("file"), F.col("_line").alias("line"), no_text.alias("snippet"), F.col("httpMethod").alias("method"), F.col("httpRoute").alias("pathTemplate"), no_text.alias("hostSource")))
-    site = F.struct(F.col("_svc").alias("svc"), F.col("_name").alias("name"), F.col("_file").alias("file"), F.col("_rel").alias("path"), F.col("_minted").alias("minted"), F.col("_fn").alias("function"), F.col("_line").alias("line"))
-    return s.withColumns({"evidence": evidence, "site": site})
+    return F.when(F.col("_rel").isNotNull(), F.struct(F.col("_rel").alias("file"), F.col("_line").alias("line"), no_text.alias("snippet"), F.col("httpMethod").alias("method"), F.col("httpRoute").alias("pathTemplate"), no_text.alias("hostSource")))
 
 
 def with_pairs(spans: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
@@ -279,16 +277,8 @@ EVALUATED = (
 )
 
 
-def evaluated(spans: DataFrame, graph: Graph) -> DataFrame:
+def evaluated(s: DataFrame) -> DataFrame:
     """``EVALUATED`` of placed spans with ``_typed``, the calls their protocol tells of (null if it tells nothing), and ``_calls``, these or those to a peer."""
-    s = spans.withColumn("_peer", sp.peer(F.col("attributes")))
-    asked = materialise(s.filter("_peer is not null or dbSystem is not null").select("_peer", "env", "_svc", "dbSystem").distinct())
-    hosts = asked.filter("_peer is not null").select(F.col("_peer").alias("host"), "env").distinct()
-    resolved = resolve_hosts(hosts, graph.nodes).withColumnsRenamed({"host": "_peer", "service": "_to"})
-    s = beside(s, materialise(resolved), ["_peer", "env"], "left")
-    users = asked.filter("dbSystem is not null and _peer is null").select(F.col("_svc").alias("id")).distinct()
-    local = declared_database(graph, users).withColumnsRenamed({"service": "_svc", "engine": "dbSystem", "database": "_declared"})
-    s = beside(s, materialise(local), ["_svc", "dbSystem"], "left")
     out, serves = sp.calls_out(F.col("kind")), sp.serves(F.col("kind"))
 
     def call(kind: str, target, node, source="_src"):
@@ -331,7 +321,7 @@ def evaluated(spans: DataFrame, graph: Graph) -> DataFrame:
     stream = sp.is_stream(F.col("durationNanos"), F.col("attributes"), F.col("websocketChannel"))
     # Columns belong to the table that the same statement names.
     facts = {"ts": F.timestamp_micros((F.col("startTimeUnixNano") / 1000).cast("long")), "isError": sp.is_error(F.col("statusCode"), F.col("attributes")), "ms": sp.latency_ms(F.col("durationNanos"), stream)}
-    out = _sited(s).withColumns(facts).withColumn("_typed", typed).withColumn("_calls", F.coalesce("_typed", http))
+    out = s.withColumn("evidence", _evidence()).withColumns(facts).withColumn("_typed", typed).withColumn("_calls", F.coalesce("_typed", http))
     return out.select(*(c for c in EVALUATED if c in out.columns))
 
 
@@ -341,7 +331,7 @@ def evidence_type():
 
 def dispatch(spans: DataFrame, graph: Graph) -> DataFrame:
     """(type, source, target, ts, isError, ms, evidence, traceId, spanId) of every call that spans tell of."""
-    return materialise(calls(materialise(evaluated(placed(with_pairs(spans), graph), graph)), graph)).drop("node", "site", "dbColumns")
+    return materialise(calls(materialise(evaluated(placed(with_pairs(spans), graph))), graph)).drop("node", "site", "dbColumns")
 
 
 def observed_edges(spans: DataFrame, graph: Graph, dedupe: bool = False) -> DataFrame:
@@ -392,7 +382,7 @@ def land(spans: DataFrame, graph: Graph, dedupe: bool = False, pairs: DataFrame
         # Read several times: requests are parsed once.
         spans = materialise(spans)
     # Both are read many times below: cut their plans, so that spans are joined once.
-    every = materialise(evaluated(placed(with_pairs(spans, pairs), graph), graph))
+    every = materialise(evaluated(placed(with_pairs(spans, pairs), graph)))
     told = materialise(calls(every, graph))
     at = every if pairs is None else every.filter("_role is null")
     known = graph.nodes.select("id")
