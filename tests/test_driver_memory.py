@@ -1,7 +1,10 @@
 """Joins that once sent a side that grows with the graph through the driver."""
 
-from strandgraph.operators import lifecycle
-from strandgraph.operators.graph import Graph, materialise
+import re
+
+from strandgraph.operators import ask, lifecycle
+from strandgraph.operators import graph as graphs
+from strandgraph.operators.graph import Graph, materialise, side
 from strandgraph.schema import EDGES, NODES, table
 
 
@@ -24,3 +27,35 @@ def test_a_merge_sends_no_side_through_the_driver(spark):
     assert merged.nodes.count() == 6
     for df in (merged.nodes, merged.edges):
         assert "Join" in planned(df) and "Broadcast" not in planned(df)
+
+
+def sent(df):
+    """The columns of files of which each broadcast is made."""
+    lines = planned(df).split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    out = []
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = [x for j, x in enumerate(lines) if j > i and all(depth(y) > depth(line) for y in lines[i + 1 : j + 1])]
+            out.append({c for x in below for m in re.findall(r"FileScan parquet \[([^\]]*)\]", x) for c in re.findall(r"(\w+)#", m)})
+    return out
+
+
+def test_questions_go_to_the_nodes(spark, monkeypatch):
+    g = graph(spark)
+    asked = spark.createDataFrame([(1, "why is n1 failing?"), (2, "n2 and service:n3"), (3, "")], "q int, question string")
+    got = []
+    for few in (graphs.FEW, 0):
+        monkeypatch.setattr(graphs, "FEW", few)
+        scores = ask.entity_scores(g.nodes, asked, "q", "question")
+        got.append(sorted(tuple(r) for r in scores.collect()))
+        assert not any("id" in columns for columns in sent(scores))
+    assert got[0] == got[1] and [r[:2] for r in got[0]] == [(1, "service:n1"), (2, "service:n2"), (2, "service:n3")]
+
+
+def test_a_small_side_is_sent_and_a_large_one_dealt(spark, monkeypatch):
+    g = graph(spark)
+    ids = materialise(g.nodes.select("id"))
+    assert "Broadcast" in planned(g.edges.join(side(ids.withColumnRenamed("id", "source")), "source"))
+    monkeypatch.setattr(graphs, "FEW", 5)
+    assert "Broadcast" not in planned(g.edges.join(side(ids.withColumnRenamed("id", "source")), "source"))
