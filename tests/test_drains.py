@@ -41,6 +41,19 @@ def test_stale_at_the_threshold(spark, tmp_path):
     assert "Pandas" not in plan
 
 
+def test_a_later_observation_tells_before_time_does(spark, tmp_path):
+    """Edges seen again in the last ten minutes, by when time has not told yet that they had been stale."""
+    limit = 3_600_000
+    end = limit + 300_000
+    early = end - 600_000 - limit
+    seen = [("again", 0), ("again", end), ("just", end - limit), ("just", end), ("never", 0), ("often", 0), ("often", 0), ("often", limit - 5), ("often", end - 1), ("time", early - 1), ("time", end), ("both", early), ("both", end), ("both", end)]
+    rows = spark.createDataFrame(seen, "id string, ms long").select("id", F.lit("CALLS").alias("type"), F.timestamp_millis(1_700_000_000_000 + F.col("ms")).alias("ts"))
+    for slices in (1, 3):
+        got = timers.drain_stale(spark, rows, str(tmp_path / str(slices)), slices=slices)
+        told = sorted((r["edgeId"], r["last"] - 1_700_000_000_000, r["n"]) for r in got.select("edgeId", F.unix_millis("lastObserved").alias("last"), (F.unix_millis("transitionedAt") - F.unix_millis("lastObserved")).alias("n")).collect())
+        assert told == [("again", 0, limit + 1), ("both", early, limit + 1), ("time", early - 1, limit + 1)]
+
+
 def test_edge_events_compare_ids(spark, tmp_path):
     t = live.LiveTable(spark, str(tmp_path / "t"), parts=1)
     edge = lambda i: {"id": f"CALLS:OBSERVED:service:n{i}->service:z", "source": f"service:n{i}", "target": "service:z", "type": "CALLS", "provenance": "OBSERVED", "callCount": 1}
