@@ -2,7 +2,7 @@
 
 import re
 
-from strandgraph.operators import ask, lifecycle
+from strandgraph.operators import ask, lifecycle, traverse
 from strandgraph.operators import graph as graphs
 from strandgraph.operators.graph import Graph, materialise, side
 from strandgraph.schema import EDGES, NODES, table
@@ -59,3 +59,30 @@ def test_a_small_side_is_sent_and_a_large_one_dealt(spark, monkeypatch):
     assert "Broadcast" in planned(g.edges.join(side(ids.withColumnRenamed("id", "source")), "source"))
     monkeypatch.setattr(graphs, "FEW", 5)
     assert "Broadcast" not in planned(g.edges.join(side(ids.withColumnRenamed("id", "source")), "source"))
+
+
+def test_a_walk_ranks_edges_it_may_use(spark, monkeypatch):
+    """Of a ring of 40 and two callers of one node, walks from that node use few edges."""
+    g = graph(spark, 40)
+    more = [{"id": f"CALLS:OBSERVED:service:{a}->service:{b}", "source": f"service:{a}", "target": f"service:{b}", "type": "CALLS", "provenance": "OBSERVED", "callCount": 1} for a, b in (("a", "root"), ("b", "a"))]
+    nodes = [{"id": f"service:{n}", "type": "ServiceNode", "name": n} for n in ("a", "b", "root")]
+    g = Graph(g.nodes.unionByName(table(spark, NODES, nodes)), g.edges.unionByName(table(spark, EDGES, more)))
+    made, plain = [], traverse.materialise
+    monkeypatch.setattr(traverse, "materialise", lambda df: (lambda out: (made.append(out.count()), out)[1])(plain(df)))
+    for few in (graphs.FEW, 0):
+        monkeypatch.setattr(traverse, "FEW", few)
+        monkeypatch.setattr(graphs, "FEW", few)
+        (r,) = traverse.longest_incoming_walks(g, ["service:root"]).collect()
+        assert r["path"] == ["service:root", "service:a", "service:b"]
+        assert max(made) <= 3
+
+
+def test_no_list_of_nodes_goes_through_the_driver(spark):
+    g = graph(spark)
+    roots = spark.createDataFrame([("service:n1",), ("service:nowhere",)], "root string")
+    for asked in (["service:n1", "service:nowhere"], roots):
+        found = traverse.roots_frame(g, asked)
+        assert [r[0] for r in found.collect()] == ["service:n1"]
+        assert not any("id" in columns for columns in sent(found))
+    for df in (g.owners(), g.call_sources(), g.scope()):
+        assert df.count() == 6 and not sent(df)
