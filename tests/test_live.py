@@ -221,3 +221,29 @@ def test_written_questions(spark):
     words = df.limit(1).select(ask.tokens(F.lit("Why does the orderService call checkout-api at runtime?")).alias("t")).first()["t"]
     assert words == ["order", "checkout", "api"]
     assert conform(df, struct("q string")).columns == ["q"]
+
+
+def test_large_tables_are_merged_some_partitions_at_a_time(spark, tmp_path, monkeypatch):
+    """The same rows and events, however many partitions are merged at once; edges that no fresh one meets are not joined."""
+    steps = [
+        {"edges": table(spark, EDGES, [edge(i) for i in range(60)]), "nodes": table(spark, NODES, [node(i) for i in range(20)])},
+        {"edges": table(spark, EDGES, [edge(i, 3) for i in range(50, 90)])},
+        {"edges": live.removal(spark.createDataFrame([(edge(i)["id"],) for i in range(40, 60)], "id string"), EDGES).unionByName(table(spark, EDGES, [edge(41, 9), edge(99)]))},
+    ]
+    seen = []
+    for at_once in (live.AT_ONCE, 0):
+        monkeypatch.setattr(live, "AT_ONCE", at_once)
+        merges, merge = [], live.merge_edges
+        counted = lambda old, fresh, merge=merge, merges=merges: merges.append(old.count()) or merge(old, fresh)
+        kinds = live.GRAPH_KINDS | {"edges": live.Kind(EDGES, "id", counted, "edge-added", None, "edge-removed")}
+        t = live.LiveTable(spark, str(tmp_path / str(at_once)), parts=3, kinds=kinds)
+        for b, fresh in enumerate(steps):
+            t.commit(b, fresh)
+        assert not t.folder.names("fresh") and sum(merges) == 10 + 20
+        assert (len(merges) > 6) == (at_once == 0)
+        events = sorted((r["batch"], r["event"], r["id"]) for r in t.changes().collect())
+        seen.append((sorted((r["id"], r["callCount"]) for r in t.read().collect()), t.read("nodes").count(), events))
+    assert seen[0] == seen[1]
+    calls = {edge(i)["id"]: n for i, n in [*((i, 1) for i in range(40)), *((i, 3) for i in range(60, 90)), (41, 9), (99, 1)]}
+    assert dict(seen[0][0]) == calls and seen[0][1] == 20
+    assert [e for e in seen[0][2] if e[0] == 2] == sorted([(2, "edge-removed", edge(i)["id"]) for i in range(40, 60) if i != 41] + [(2, "edge-added", edge(99)["id"])])
