@@ -2,10 +2,10 @@
 
 import re
 
-from strandgraph.operators import ask, lifecycle, traverse
+from strandgraph.operators import ask, ingest, lifecycle, traverse
 from strandgraph.operators import graph as graphs
 from strandgraph.operators.graph import Graph, materialise, side
-from strandgraph.schema import EDGES, NODES, table
+from strandgraph.schema import EDGES, NODES, SPANS, table
 
 
 def graph(spark, n=6):
@@ -86,3 +86,19 @@ def test_no_list_of_nodes_goes_through_the_driver(spark):
         assert not any("id" in columns for columns in sent(found))
     for df in (g.owners(), g.call_sources(), g.scope()):
         assert df.count() == 6 and not sent(df)
+
+
+def test_landed_spans_and_known_ids_are_dealt(spark, monkeypatch):
+    """Children meet their parents, and what is new meets the ids of the graph, without either going through the driver."""
+    g = graph(spark)
+    rows = [{"service": "n1", "env": "unknown", "traceId": "t", "spanId": "1", "kind": 2, "attributes": {}}, {"service": "new", "env": "unknown", "traceId": "t", "spanId": "2", "parentSpanId": "1", "kind": 2, "attributes": {}}]
+    spans = materialise(table(spark, SPANS, rows))
+    pairs = materialise(ingest.caller_pairs(spans))
+    joined, calls = [], ingest.calls
+    monkeypatch.setattr(ingest, "calls", lambda *a: joined.append(calls(*a)) or joined[-1])
+    for given in (None, pairs):
+        done = ingest.land(spans, g, pairs=given)
+        assert [r["id"] for r in done.nodes.collect()] == ["service:new"]
+        assert [r["id"] for r in done.edges.collect()] == ["CALLS:OBSERVED:service:n1->service:new"]
+        assert not any({"_svc", "_src"} & columns for columns in sent(joined[-1]))
+        assert not any(columns == {"id"} for df in (done.nodes, done.edges) for columns in sent(df))

@@ -239,7 +239,7 @@ def test_large_tables_are_merged_some_partitions_at_a_time(spark, tmp_path, monk
         t = live.LiveTable(spark, str(tmp_path / str(at_once)), parts=3, kinds=kinds)
         for b, fresh in enumerate(steps):
             t.commit(b, fresh)
-        assert not t.folder.names("fresh") and sum(merges) == 10 + 20
+        assert not t.folder.names("fresh") and sum(merges) == 10 + 1
         assert (len(merges) > 6) == (at_once == 0)
         events = sorted((r["batch"], r["event"], r["id"]) for r in t.changes().collect())
         seen.append((sorted((r["id"], r["callCount"]) for r in t.read().collect()), t.read("nodes").count(), events))
