@@ -6,6 +6,7 @@ from strandgraph.operators import ask, ingest, lifecycle, traverse
 from strandgraph.operators import graph as graphs
 from strandgraph.operators.graph import Graph, materialise, side
 from strandgraph.schema import EDGES, NODES, SPANS, table
+from strandgraph.streaming import live
 
 
 def graph(spark, n=6):
@@ -102,3 +103,12 @@ def test_landed_spans_and_known_ids_are_dealt(spark, monkeypatch):
         assert [r["id"] for r in done.edges.collect()] == ["CALLS:OBSERVED:service:n1->service:new"]
         assert not any({"_svc", "_src"} & columns for columns in sent(joined[-1]))
         assert not any(columns == {"id"} for df in (done.nodes, done.edges) for columns in sent(df))
+
+
+def test_edges_of_a_live_table_ask_declared_ids_by_key(spark, tmp_path):
+    g = graph(spark)
+    t = live.LiveTable(spark, str(tmp_path / "t"), parts=1)
+    t.commit(0, {"edges": g.edges.filter("source = 'service:n1'"), "failing": g.nodes.select("id").withColumnRenamed("id", "service")})
+    found = t.edges(g)
+    assert [r["source"] for r in found.collect()] == ["service:n1"]
+    assert not any(columns == {"id"} for columns in sent(found))
